@@ -29,15 +29,15 @@ def _arithmetic(*prefixes: str):
 
     def query(spark, sf) -> DataFrame:
         made = pair_expressions(A, B)
-        return lineitem(spark, sf, A, B).select(*LINE_KEYS, *[F.round(made[n], 6).alias(n) for n in names])
+        return lineitem(spark, sf, A, B).select(*LINE_KEYS, *[made[n].alias(n) for n in names])
 
-    sql = ", ".join(f"round({_ARITHMETIC_SQL[n]}, 6) AS {n}" for n in names)
+    sql = ", ".join(f"{_ARITHMETIC_SQL[n]} AS {n}" for n in names)
     return query, f"SELECT {KEYS_SQL}, {sql} FROM lineitem"
 
 
 def arithmetic_features(spark, sf) -> DataFrame:
     stage = PairArithmetic(pairs=[(A, B)])
-    return stage.transform(lineitem(spark, sf, A, B)).select(*LINE_KEYS, *[r6(n) for n in stage.outputs()])
+    return stage.transform(lineitem(spark, sf, A, B)).select(*LINE_KEYS, *stage.outputs())
 
 
 def clean_text(spark, sf) -> DataFrame:
@@ -89,19 +89,20 @@ def generated(spark, sf) -> DataFrame:
     for stage in fit_specs(df, SPECS):
         result = stage.transform(result)
     made = [c for c in result.columns if c not in start]
-    return result.select(*LINE_KEYS, *[c if c.endswith("_count") else r6(c) for c in made])
+    return result.select(*LINE_KEYS, *[r6(c) if "_avg_" in c else c for c in made])
 
 
 def _generated_sql() -> str:
     cells = []
     for a, b in SPECS.pairs:
-        cells += [f"round({a} + {b}, 6) AS sum_{a}_{b}", f"round({a} - {b}, 6) AS difference_{a}_{b}",
-                  f"round({b} - {a}, 6) AS difference_{b}_{a}", f"round({a} * {b}, 6) AS multiplied_{a}_{b}",
-                  f"round(CASE WHEN {b} <> 0 THEN {a} / {b} ELSE 0 END, 6) AS division_{a}_{b}",
-                  f"round(CASE WHEN {a} <> 0 THEN {b} / {a} ELSE 0 END, 6) AS division_{b}_{a}"]
+        cells += [f"{a} + {b} AS sum_{a}_{b}", f"{a} - {b} AS difference_{a}_{b}",
+                  f"{b} - {a} AS difference_{b}_{a}", f"{a} * {b} AS multiplied_{a}_{b}",
+                  f"CASE WHEN {b} <> 0 THEN {a} / {b} ELSE 0 END AS division_{a}_{b}",
+                  f"CASE WHEN {a} <> 0 THEN {b} / {a} ELSE 0 END AS division_{b}_{a}"]
     for key, values in SPECS.grouped().items():
-        cells += [f"round({s}({v}) OVER (PARTITION BY {key}), 6) AS group_by_{key}_{s}_{v}"
-                  for v in values for s in ("min", "max", "avg")]
+        cells += [f"{s}({v}) OVER (PARTITION BY {key}) AS group_by_{key}_{s}_{v}"
+                  for v in values for s in ("min", "max")]
+        cells += [f"round(avg({v}) OVER (PARTITION BY {key}), 6) AS group_by_{key}_avg_{v}" for v in values]
         cells.append(f"count(*) OVER (PARTITION BY {key}) AS group_by_{key}_count")
     return f"SELECT {KEYS_SQL}, {', '.join(cells)} FROM lineitem"
 
