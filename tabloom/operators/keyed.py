@@ -80,15 +80,17 @@ def attach(df: DataFrame, lookup: Lookup, on: str | None = None) -> DataFrame:
     hot_names = [f"__hot_{v}" for v in values]
     hot = hot_frame.select(ref(lookup.key), *[ref(v).alias(h) for v, h in zip(values, hot_names)])
     joined = _left_join(df, hot, on, lookup.key, hot_names)
-    is_hot = ref("__hot_n").isNotNull()
     # The task number spreads copies of one row; it is the same when a task is retried.
     spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[ref(c) for c in _hashable(df)]), F.lit(SPREAD)) + 1
-    joined = joined.withColumn("__salt", F.when(is_hot, spread).otherwise(F.lit(0).cast("bigint")))
+    salt = F.when(ref("__hot_n").isNotNull(), spread).otherwise(F.lit(0).cast("bigint"))
+    joined = joined.withColumn("__place", F.xxhash64(ref(on), salt))
+    # The place is a hash of key and salt, so that the salt takes part in the partitioning; a constant
+    # salt column would be optimised into a filter.
     cold = cold_frame.select(ref(lookup.key).alias("__key"),
-                             *[ref(v).alias(f"__cold_{v}") for v in values],
-                             F.lit(0).cast("bigint").alias("__cold_salt"))
+                             F.xxhash64(ref(lookup.key), F.lit(0).cast("bigint")).alias("__cold_place"),
+                             *[ref(v).alias(f"__cold_{v}") for v in values])
     joined = joined.join(
-        cold, ref(on).eqNullSafe(ref("__key")) & (ref("__salt") == ref("__cold_salt")), "left")
+        cold, (ref("__place") == ref("__cold_place")) & ref(on).eqNullSafe(ref("__key")), "left")
     merged = [F.coalesce(ref(f"__hot_{v}"), ref(f"__cold_{v}")).alias(v) for v in values]
     return joined.select(*[ref(c) for c in df.columns], *merged)
 
