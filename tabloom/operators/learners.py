@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
@@ -45,11 +45,12 @@ class Learner:
     grid: Callable[[Setting], dict[str, list]] = lambda s: {}
     # Trees take categorical slots as such and want them indexed.
     indexed: bool = False
-    params: dict = field(default_factory=dict)
+    # Column that ranks the rows for ROC and PR curves.
+    raw: str = "rawPrediction"
 
     def estimator(self, setting: Setting, **params) -> Estimator:
         made = self.make(setting)
-        made._set(featuresCol=setting.features, labelCol=setting.label, **{**self.params, **params})
+        made._set(featuresCol=setting.features, labelCol=setting.label, **params)
         return made
 
 
@@ -110,7 +111,9 @@ _ALL = [
         "naive_bayes", (CLASSIFICATION, MULTICLASS),
         lambda s: NaiveBayes(modelType="multinomial" if s.non_negative else "gaussian"),
         lambda s: {"smoothing": Choice((0.5, 1.0, 1.5)), "modelType": Choice(_bayes_types(s))},
-        lambda s: {"smoothing": [0.5, 1.0, 1.5], "modelType": list(_bayes_types(s))}),
+        lambda s: {"smoothing": [0.5, 1.0, 1.5], "modelType": list(_bayes_types(s))},
+        # Its raw prediction is the joint likelihood of one class, which does not compare classes.
+        raw="probability"),
     Learner(
         "linear_regression", (REGRESSION,),
         lambda s: LinearRegression(maxIter=30),
