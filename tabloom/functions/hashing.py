@@ -6,16 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from tabloom.functions.columns import as_text
+from tabloom.functions.columns import as_text, ref
 
 BUCKETS = 1000
 
 
-def hash_bucket(keys: Sequence[str], seed: int = 0, buckets: int = BUCKETS) -> Column:
-    """A bucket in [0, buckets) from the md5 of the seed and the key columns.
+def hash_bucket(keys: Sequence[str], seed: int = 0, buckets: int = BUCKETS, portable: bool = False) -> Column:
+    """A bucket in [0, buckets) from a hash of the seed and the key columns.
 
     It depends on the values only, so it does not move when the data is re-partitioned or a task is
-    retried, and any other engine with md5 computes the same bucket.
+    retried.  The default hash is fast; the ``portable`` one is the md5 of the values as text, which any
+    other engine can compute.
     """
+    if not portable:
+        return F.pmod(F.xxhash64(F.lit(seed), *[ref(k) for k in keys]), F.lit(buckets))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[as_text(k) for k in keys]))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.lit(buckets)

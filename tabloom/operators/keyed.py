@@ -66,6 +66,12 @@ def measure(frame: DataFrame, key: str, rows: int | None = None, max_bytes: int
     return Lookup(frame if fixed is None else fixed, key, small, size["total"])
 
 
+def numeric_lookup(frame: DataFrame, key: str, rows: int, total: int) -> Lookup:
+    """A lookup of known length that holds numbers only and is stored already."""
+    small = rows <= BROADCAST_ROWS and rows * 16 * len(frame.columns) <= BROADCAST_BYTES
+    return Lookup(frame, key, small, total)
+
+
 def attach(df: DataFrame, lookup: Lookup, on: str | None = None) -> DataFrame:
     """``df`` with the lookup's value columns; NULL where the key is not in the lookup.
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.columns import as_number, ref
+from tabloom.operators.partitions import spread
 from tabloom.operators.quantiles import exact_quantiles
 
 FLAG = "outlier"
@@ -121,7 +122,7 @@ def flag_by_isolation_forest(df: DataFrame, columns: Sequence[str], trees: int =
             expected += float(_average_path(n))
         return pd.Series(np.where(np.isnan(rows).any(axis=1), np.nan, 2.0 ** (-total / max(expected, 1e-12))))
 
-    scored = df.withColumn("outlier_score", score(*[as_number(c) for c in columns]))
+    scored = spread(df).withColumn("outlier_score", score(*[as_number(c) for c in columns]))
     value = F.col("outlier_score")
     return scored.withColumn(FLAG, F.when(value.isNull() | F.isnan(value), F.lit(0))
                              .when(value > threshold, F.lit(-1)).otherwise(F.lit(1)))

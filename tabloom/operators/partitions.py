@@ -1,16 +1,44 @@
-"""Partitioning of frames that are read many times."""
+"""Partitioning of tables that are read many times."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+# Rows that keep a core busy for much longer than it takes to start a task.
+ROWS_PER_TASK = 50_000
+
+
+def few_files(df: DataFrame) -> bool:
+    """Whether the table comes from fewer files than there are cores, so that cores would stay idle."""
+    return len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
+
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in partitions of even size, if it comes from fewer files than there are cores.
+    """``df`` over as many cores as its rows can use, if it comes from few files.
 
-    An iterative fit reads its frame dozens of times: a table in one big file would keep one core busy,
-    and a tiny one in many partitions would pay for the tasks.  A rebalance at run time gives the number
-    that suits the size.  A table in many files is left as it is, without a shuffle.
+    A table in many files has enough partitions; it is left as it is, without a shuffle.
     """
+    if not few_files(df):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.hint("rebalance") if len(df.inputFiles()) < cores else df
+    return df.repartition(max(1, min(cores, -(-df.count() // ROWS_PER_TASK))))
+
+
+@contextmanager
+def working_copy(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` for several passes: spread and kept if it comes from few files, else read anew each time.
+
+    Columnar files give a pass the few columns it needs; a copy of a large table would not be cheaper.
+    """
+    if not few_files(df):
+        yield df
+        return
+    copy = spread(df).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield copy
+    finally:
+        copy.unpersist()

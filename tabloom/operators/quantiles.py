@@ -111,21 +111,27 @@ def _first_pass(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, S
 Bracket = tuple[str, float, float]
 
 
+def _values(df: DataFrame, brackets: Sequence[Bracket]) -> tuple[DataFrame, list[Column]]:
+    """The columns of the brackets as numbers, and the one of each bracket.
+
+    A generator computes them once per row; a projection would be inlined into every comparison.
+    """
+    columns = sorted({b[0] for b in brackets})
+    row = F.struct(*[as_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    return df.select(F.inline(F.array(row))), [F.col(f"v{columns.index(b[0])}") for b in brackets]
+
+
 def _counts(df: DataFrame, brackets: Sequence[Bracket]) -> dict[Bracket, tuple[int, int, int, int]]:
-    row = df.agg(*[F.count_if(test).alias(f"c{i}_{j}") for i, (c, low, high) in enumerate(brackets)
-                   for j, test in enumerate((as_number(c) < low, as_number(c) <= low,
-                                             as_number(c) < high, as_number(c) <= high))]).first()
+    values, own = _values(df, brackets)
+    row = values.agg(*[F.count_if(test).alias(f"c{i}_{j}") for i, ((_, low, high), v) in enumerate(zip(brackets, own))
+                       for j, test in enumerate((v < low, v <= low, v < high, v <= high))]).first()
     return {b: tuple(row[f"c{i}_{j}"] for j in range(4)) for i, b in enumerate(brackets)}
 
 
 def _inner_grids(df: DataFrame, brackets: Sequence[Bracket]) -> dict[Bracket, Sequence[float]]:
     """The grid of the values strictly inside each bracket; brackets without any are left out."""
-    columns = sorted({b[0] for b in brackets})
-    values = df.select([as_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    hits = []
-    for i, (column, low, high) in enumerate(brackets):
-        value = F.col(f"v{columns.index(column)}")
-        hits.append(((value > low) & (value < high), F.lit(i), value))
+    values, own = _values(df, brackets)
+    hits = [((v > low) & (v < high), F.lit(i), v) for i, ((_, low, high), v) in enumerate(zip(brackets, own))]
     inside = values.filter(reduce(lambda a, b: a | b, [test for test, _, _ in hits]))
     long = inside.select(F.explode(F.array(*[
         F.when(test, F.struct(i.alias("bracket"), value.alias("value"))) for test, i, value in hits])).alias("hit"))

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabloom.functions.hashing import BUCKETS, hash_bucket
 
 
-def split_number(weights: Sequence[float], keys: Sequence[str], seed: int = 0) -> Column:
+def split_number(weights: Sequence[float], keys: Sequence[str], seed: int = 0, portable: bool = False) -> Column:
     """0 for rows of the first part, 1 for the second, and so on."""
     total = sum(weights)
     edges = [round(BUCKETS * w / total) for w in accumulate(weights)][:-1]
-    bucket = hash_bucket(keys, seed, BUCKETS)
+    bucket = hash_bucket(keys, seed, BUCKETS, portable)
     number = F.lit(0)
     for edge in edges:
         number = number + F.when(bucket >= edge, 1).otherwise(0)
@@ -22,10 +22,10 @@ def split_number(weights: Sequence[float], keys: Sequence[str], seed: int = 0) -
 
 
 def hash_split(df: DataFrame, weights: Sequence[float], keys: Sequence[str] | None = None,
-               seed: int = 0) -> list[DataFrame]:
+               seed: int = 0, portable: bool = False) -> list[DataFrame]:
     """Disjoint parts that together hold every row; equal keys go to the same part.
 
     Without ``keys`` the whole row is the key, so copies of a row never straddle train and test.
     """
-    number = split_number(weights, keys or df.columns, seed)
+    number = split_number(weights, keys or df.columns, seed, portable)
     return [df.filter(number == i) for i in range(len(weights))]

@@ -46,7 +46,8 @@ def clean_text(spark, sf) -> DataFrame:
 
 
 def split_rows(spark, sf) -> DataFrame:
-    parts = hash_split(load_table(spark, sf, "orders", ["o_orderkey"]), [0.8, 0.2], ["o_orderkey"], seed=7)
+    parts = hash_split(load_table(spark, sf, "orders", ["o_orderkey"]), [0.8, 0.2], ["o_orderkey"], seed=7,
+                       portable=True)
     train, test = (p.withColumn("part", F.lit(name)) for p, name in zip(parts, ("train", "test")))
     return train.unionByName(test)
 

@@ -13,6 +13,7 @@ from tabloom.operators.assemble import assembler, normalizer, slicer, slot_map,
 from tabloom.operators.encode import category_encoder, label_indexer, slot_indexer
 from tabloom.operators.generate import GroupThen, PairArithmetic, QuantileBuckets, polynomial_names, polynomial_stages
 from tabloom.operators.impute import MissingValueExpander
+from tabloom.operators.partitions import spread, working_copy
 from tabloom.operators.projection import project_2d
 from tabloom.operators.roles import column_roles
 from tabloom.operators.scratch import scratch_path
@@ -287,7 +288,8 @@ def _auto(spark, sf):
     plan = AutoFeatures("flagged", ignore=("demand", *LINE_KEYS), budget=2, seed=3)
     roles = column_roles(df, "flagged").without(plan.ignore)
     df = used_columns(df, [*LINE_KEYS, "flagged", *roles.numeric, *roles.categorical])
-    return df, plan.fit(df)
+    with working_copy(df) as rows:
+        return spread(df), plan.fit(rows)
 
 
 def auto_features(spark, sf) -> DataFrame:

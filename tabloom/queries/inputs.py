@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.functions.hashing import hash_bucket
 from tabloom.sources.tables import load_table
 
 LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -44,11 +43,16 @@ def bucket_sql(seed: int, keys: list[str], buckets: int = 1000) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {text})), 1, 8))::BIGINT % {buckets})"
 
 
+# Multipliers that scatter the keys of a line.
+_PRIMES = {"l_orderkey": 7919, "l_partkey": 104729, "l_suppkey": 1299709, "l_linenumber": 15485863}
+_NOISE = " + ".join(f"{k} * {p}" for k, p in _PRIMES.items())
+
+
 def labelled_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     """Line items with a binary label ``flagged`` and a numeric label ``demand``; both depend on some of
-    the columns, plus noise from a hash of the key."""
+    the columns, plus noise from the key."""
     df = load_table(spark, sf, "lineitem", [*LINE_KEYS, *LINE_NUMBERS, "l_returnflag", "l_linestatus"])
-    noise = hash_bucket(LINE_KEYS, 99) / 1000.0
+    noise = sum(F.col(k) * p for k, p in _PRIMES.items()) % 1000 / 1000.0
     risk = (F.col("l_quantity") * 0.02 + F.col("l_discount") * 5
             + F.when(F.col("l_returnflag") == "R", 0.5).otherwise(0.0) + noise * 0.4)
     return df.select("*", (risk > 1.0).cast("int").alias("flagged"),
@@ -58,8 +62,8 @@ def labelled_lineitem(spark: SparkSession, sf: str) -> DataFrame:
 LABELLED_SQL = f"""labelled AS (
   SELECT *,
          CASE WHEN l_quantity * 0.02 + l_discount * 5 + CASE WHEN l_returnflag = 'R' THEN 0.5 ELSE 0.0 END
-              + {bucket_sql(99, LINE_KEYS)} / 1000.0 * 0.4 > 1.0 THEN 1 ELSE 0 END AS flagged,
-         l_quantity * 3 - l_discount * 200 + {bucket_sql(99, LINE_KEYS)} / 1000.0 * 20 AS demand
+              + ({_NOISE}) % 1000 / 1000.0 * 0.4 > 1.0 THEN 1 ELSE 0 END AS flagged,
+         l_quantity * 3 - l_discount * 200 + ({_NOISE}) % 1000 / 1000.0 * 20 AS demand
   FROM lineitem)"""
 
 

@@ -138,7 +138,7 @@ def _vectors(spark, sf, label: str) -> tuple[DataFrame, DataFrame]:
     df = labelled_lineitem(spark, sf).withColumn("returned", (F.col("l_returnflag") == "R").cast("double"))
     frame = assembler(_INPUTS).transform(df).select(*LINE_KEYS, FEATURES, F.col(label).cast("double").alias("label"))
     train, test = hash_split(frame, [0.8, 0.2], LINE_KEYS, seed=1)
-    return spread(train).persist(StorageLevel.MEMORY_AND_DISK), test
+    return spread(train).persist(StorageLevel.MEMORY_AND_DISK), spread(test)
 
 
 def _fit(name: str, task: str, **params) -> Callable:
@@ -242,7 +242,7 @@ def _search_frames(spark, sf, label: str) -> tuple[DataFrame, DataFrame, DataFra
         "noise_b": F.pmod(F.xxhash64(F.lit(1), *LINE_KEYS), F.lit(1000)) / 1000.0})
     frame = assembler(_CANDIDATES).transform(df).select(*LINE_KEYS, FEATURES, F.col(label).cast("double").alias("label"))
     frame = spread(frame).persist(StorageLevel.MEMORY_AND_DISK)
-    train, validation = hash_split(frame, [0.75, 0.25], LINE_KEYS, seed=2)
+    train, validation = hash_split(frame, [0.75, 0.25], LINE_KEYS, seed=2, portable=True)
     return frame, train, validation
 
 
@@ -311,7 +311,8 @@ def cross_validation(spark, sf) -> DataFrame:
     """Mean RMSE over three folds of a line with and without intercept."""
     estimator = LEARNERS["linear_regression"].estimator(Setting(width=1))
     grid = param_grid(estimator, {"fitIntercept": [True, False]})
-    model = cross_validate(_one_column(spark, sf), estimator, grid, make_evaluator(REGRESSION), LINE_KEYS, seed=4)
+    model = cross_validate(_one_column(spark, sf), estimator, grid, make_evaluator(REGRESSION), LINE_KEYS, seed=4,
+                           portable=True)
     rows = [(p.split("=")[1] == "True", s) for p, s in grid_scores(grid, model.avgMetrics)]
     return spark.createDataFrame(rows, "fit_intercept boolean, rmse double").select(
         "fit_intercept", F.round("rmse", 5).alias("rmse"))
