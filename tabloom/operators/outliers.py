@@ -80,15 +80,19 @@ def flag_by_isolation_forest(df: DataFrame, columns: Sequence[str], trees: int =
                              seed: int = 42, threshold: float = 0.5) -> DataFrame:
     """Outlier if the isolation score (in ``outlier_score``) is above ``threshold``.
 
-    Each tree is grown on about ``sample`` rows, as the method defines; all rows are scored.  The drawn
-    rows are those with the smallest seeded hashes, a bounded top-k in which copies of a row count
-    separately.  Trees grow in parallel tasks, and the forest has at most 2 * sample nodes per tree.
+    Each tree is grown on about ``sample`` rows, as the method defines; all rows are scored.  Rows are
+    drawn by a seeded hash below a limit set from the row count, so nothing is sorted and each task draws
+    its own few; copies of a row are drawn separately.  Trees grow in parallel tasks, and the forest has
+    at most 2 * sample nodes per tree.
     """
     columns = list(columns)
     complete = df.select([as_number(c).alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
     names = complete.columns
     order = F.xxhash64(F.lit(seed), *names, F.spark_partition_id(), F.monotonically_increasing_id())
-    drawn = complete.withColumn("__order", order).orderBy("__order").limit(trees * sample)
+    drawn = complete.withColumn("__order", order)
+    n, wanted = complete.count(), trees * sample * 1.1
+    if n > wanted:
+        drawn = drawn.filter(F.col("__order") < -(1 << 63) + int(wanted / n * (1 << 64)))
     drawn = drawn.withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), "__order"), F.lit(trees)).cast("int"))
 
     def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

@@ -10,34 +10,42 @@ from pyspark.sql import DataFrame
 
 # Rows that keep a core busy for much longer than it takes to start a task.
 ROWS_PER_TASK = 50_000
+# More rows per core than this come in enough row groups, however few the files are.
+MOST_ROWS_PER_CORE = 5_000_000
 
 
-def few_files(df: DataFrame) -> bool:
-    """Whether the table comes from fewer files than there are cores, so that cores would stay idle."""
-    return len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
+def even_partitions(df: DataFrame) -> int | None:
+    """Partitions that suit a small table in few files; None for any other table.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many cores as its rows can use, if it comes from few files.
-
-    A table in many files has enough partitions; it is left as it is, without a shuffle.
+    Fewer files than cores leave cores idle.  A table in many files, or without files to count, is left
+    as it is.
     """
-    if not few_files(df):
-        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, min(cores, -(-df.count() // ROWS_PER_TASK))))
+    if not 0 < len(df.inputFiles()) < cores:
+        return None
+    rows = df.count()
+    if rows > cores * MOST_ROWS_PER_CORE:
+        return None
+    return max(1, min(cores, -(-rows // ROWS_PER_TASK)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many cores as its rows can use, if it is small and comes from few files."""
+    partitions = even_partitions(df)
+    return df.repartition(partitions) if partitions else df
 
 
 @contextmanager
 def working_copy(df: DataFrame) -> Iterator[DataFrame]:
-    """``df`` for several passes: spread and kept if it comes from few files, else read anew each time.
+    """``df`` for several passes: spread and kept if it is small, else read anew each time.
 
     Columnar files give a pass the few columns it needs; a copy of a large table would not be cheaper.
     """
-    if not few_files(df):
+    partitions = even_partitions(df)
+    if not partitions:
         yield df
         return
-    copy = spread(df).persist(StorageLevel.MEMORY_AND_DISK)
+    copy = df.repartition(partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield copy
     finally:
