@@ -14,7 +14,7 @@ from tabloom.operators.evaluate import CLASSIFICATION, MULTICLASS, REGRESSION, e
 from tabloom.operators.learners import LEARNERS, Setting
 from tabloom.operators.partitions import spread
 from tabloom.operators.scoring import LearnerScorer, MomentScorer, subset_scorer
-from tabloom.operators.search import cross_validate, grid_scores, param_grid, tune, validate_once
+from tabloom.operators.search import cross_validate, grid_scores, grid_search, param_grid, tune
 from tabloom.operators.select import Selection, SubsetSearch
 from tabloom.operators.split import hash_split
 from tabloom.plans.automl import AutoML, AutoMLResult, Budget
@@ -334,12 +334,13 @@ def _grid(name: str) -> Callable:
         frame, _, _ = _search_frames(spark, sf, "flagged")
         try:
             setting = Setting(width=len(_CANDIDATES), non_negative=True)
-            estimator = LEARNERS[name].estimator(setting)
-            grid = param_grid(estimator, LEARNERS[name].grid(setting))
-            model = validate_once(frame, estimator, grid, make_evaluator(MULTICLASS, "f1"))
+            model, held_out = grid_search(frame, LEARNERS[name], setting, make_evaluator(MULTICLASS, "f1"), LINE_KEYS,
+                                          "single_split")
         finally:
             frame.unpersist()
-        return spark.createDataFrame(grid_scores(grid, model.validationMetrics), "params string, score double")
+        rows = grid_scores(model.getEstimatorParamMaps(), model.validationMetrics)
+        return spark.createDataFrame([(p, s, held_out.value) for p, s in rows],
+                                     "params string, score double, best_on_held_out double")
     return query
 
 

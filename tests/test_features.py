@@ -12,7 +12,7 @@ from pyspark.ml.feature import Imputer, QuantileDiscretizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabloom.operators import encode, keyed, outliers
+from tabloom.operators import encode, keyed, outliers, partitions
 from tabloom.operators.assemble import assembler, normalizer, slicer, slot_map, standardizer
 from tabloom.operators.encode import CategoryIndexer, category_encoder, label_indexer, limit_cardinality, slot_indexer
 from tabloom.operators.generate import (
@@ -230,6 +230,33 @@ def test_outlier_flags(spark):
     assert ((flags["a"] < q1 - 1.5 * (q3 - q1)) | (flags["a"] > q3 + 1.5 * (q3 - q1))).equals(flags["outlier"] == -1)
 
 
+def test_small_inputs_are_spread(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(8).write.parquet(str(tmp_path / "many"))
+    monkeypatch.setattr(partitions, "ROWS_PER_TASK", 400)
+    one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "many"))
+    assert partitions.even_partitions(one) == 3 and partitions.even_partitions(many) is None
+    assert partitions.even_partitions(spark.range(10)) is None
+    with partitions.working_copy(one) as copy:
+        assert copy.is_cached and copy.count() == 1000
+    assert not copy.is_cached
+    with partitions.working_copy(many) as same:
+        assert same is many
+    monkeypatch.setattr(partitions, "MOST_ROWS_PER_CORE", 100)
+    assert partitions.even_partitions(one) is None
+
+
+def test_forest_draws_from_a_large_table(spark):
+    """More rows than the trees take: each tree sees about its sample."""
+    df = spark.range(20000).select(F.rand(1).alias("a"), F.rand(2).alias("b"))
+    df = df.unionByName(spark.createDataFrame([(9.0, 9.0)], "a double, b double"))
+    flagged = outliers.flag_by_isolation_forest(df, ["a", "b"], trees=20, sample=64).cache()
+    assert flagged.count() == 20001
+    far = flagged.filter("a = 9.0").first()
+    assert far["outlier"] == -1
+    assert flagged.filter(F.col("outlier_score") > far["outlier_score"]).count() < 200
+
+
 def test_projection(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=400)

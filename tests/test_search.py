@@ -14,7 +14,7 @@ from tabloom.operators.concurrent import run_together
 from tabloom.operators.evaluate import CLASSIFICATION, MULTICLASS, REGRESSION, Score, evaluate, make_evaluator
 from tabloom.operators.learners import LEARNERS, RACES, Setting, learner_for, race
 from tabloom.operators.scoring import LearnerScorer, MomentScorer, subset_scorer
-from tabloom.operators.search import cross_validate, grid_scores, optimise, param_grid, validate_once
+from tabloom.operators.search import cross_validate, grid_scores, grid_search, optimise, param_grid, validate_once
 from tabloom.operators.select import SubsetSearch, adapt, keep_chances, playout
 from tabloom.operators.space import Choice, IntUniform, Uniform, parzen_point, random_point
 from tabloom.operators.split import hash_split
@@ -194,6 +194,11 @@ def test_grids(spark, table):
     evaluator = make_evaluator(CLASSIFICATION, label="flag")
     crossed = cross_validate(table, estimator, grid, evaluator, ["id"])
     assert len(crossed.avgMetrics) == 4 and max(crossed.avgMetrics) > 0.95
+    model, held_out = grid_search(table, LEARNERS["decision_tree"], Setting(label="flag"),
+                                  make_evaluator(MULTICLASS, label="flag"), ["id"], "single_split")
+    assert len(model.validationMetrics) == 4 and held_out.value > 0.8
+    with pytest.raises(ValueError):
+        grid_search(table, learner, Setting(label="flag"), evaluator, ["id"], "none")
     once = validate_once(table, estimator, grid, evaluator, seed=1)
     named = grid_scores(grid, once.validationMetrics)
     assert named[0][0] == "elasticNetParam=0.0, regParam=0.1" and max(s for _, s in named) > 0.95
@@ -279,17 +284,24 @@ def test_classification_run(spark, raw, tmp_path):
     new = raw.filter("id < 50")
     assert [r["prediction"] for r in loaded.transform(new).orderBy("id").collect()] == [
         r["prediction"] for r in result.best.model.transform(new).orderBy("id").collect()]
+    path = result.write_feature_group(result.best, "toy", F.lit(7), F.col("id"))
+    rows = spark.read.parquet(path)
+    assert rows.columns[:2] == ["toyID", "EventTime"] and rows.count() == result.frame.raw_train.count()
+    defined = spark.read.parquet(str(tmp_path / "feature_definitions")).orderBy("position").collect()
+    assert {r["feature"] for r in defined} == set(rows.columns)
     assert spark.read.json(str(tmp_path / "metrics")).count() == 2
     assert spark.read.parquet(str(tmp_path / "meta_features")).count() > 0
 
 
 def test_same_seed_same_result(spark, raw):
     job = AutoML("price", REGRESSION, budget=SMALL, learners=("linear_regression",), keys=("id",),
-                 ignore=("class", "grade"), seed=4, baseline=True)
+                 ignore=("class", "grade"), seed=4, baseline=True,
+                 spaces={"linear_regression": {"regParam": Uniform(0.5, 0.6)}})
     one, two = job.run(raw).best, job.run(raw.repartition(3)).best
     assert one.selection.columns == two.selection.columns and one.tuned.params == two.tuned.params
     assert one.score.value == pytest.approx(two.score.value, rel=1e-6)
     assert one.score.value < 5 and one.plain.metric == "rmse"
+    assert 0.5 <= one.tuned.params["regParam"] <= 0.6 and len(one.tuned.trials) == 2
 
 
 def test_multiclass_run_without_test_split(spark, raw):
