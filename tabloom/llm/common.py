@@ -45,10 +45,11 @@ def pieces(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES)
         start = stop
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(starts, codes, distinct): the words of text i, ASCII letters in lower case, are
     ``distinct[codes[starts[i]:starts[i + 1]]]``.  NULL is an empty text."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = lists.values.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
     starts = lists.offsets.to_numpy().astype(np.int64)

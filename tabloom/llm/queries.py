@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from tabloom.llm.chat import OP6_SQL, op6_chat_format
 from tabloom.llm.language import op10_language_id
+from tabloom.llm.line_dedup import op9_line_dedup
 from tabloom.llm.mixing import op1_mix_sources
+from tabloom.llm.near_duplicates import op4_minhash_near_dedup
+from tabloom.llm.packing import op8_pack_sequences
 from tabloom.llm.quality import op7_quality_classifier
 
 _WORDS = r"length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -61,6 +65,10 @@ FROM lines"""
 
 QUERIES = {
     "op1_mix_sources": (op1_mix_sources, OP1_SQL),
+    "op4_minhash_near_dedup": (op4_minhash_near_dedup, None),
+    "op6_chat_format": (op6_chat_format, OP6_SQL),
     "op7_quality_classifier": (op7_quality_classifier, None),
+    "op8_pack_sequences": (op8_pack_sequences, None),
+    "op9_line_dedup": (op9_line_dedup, None),
     "op10_language_id": (op10_language_id, None),
 }
