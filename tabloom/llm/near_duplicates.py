@@ -4,9 +4,9 @@
    one number for each band of minima.  Texts with equal sets are one node (the smallest doc_id), so copies
    never meet in a bucket.
 2. Nodes that share a band's number share a bucket.  Buckets never emit all their pairs.  First every member is tested
-   against the bucket's smallest node; then, in buckets that still hold several components, against the member
-   with the most links so far; the pairs between different components that are then still untested are tested at
-   last, each in the first band that it shares.  So no candidate is lost and pairs inside a component cost nothing.
+   against the bucket's smallest node.  In buckets whose other members still lie in several components, the pairs
+   between components are tested in blocks of bounded size, each pair in the first band that it shares, and only
+   links come out.  So no candidate is lost and pairs inside a component cost nothing.
 3. A test compares the minima first (five standard deviations of tolerance), then the full sets, exactly.
 4. Components by alternating large-star and small-star until the edges stay the same.
 
@@ -33,6 +33,7 @@ from tabloom.llm.common import mix, pieces, table, word_hashes, words, written
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 SHORT = np.uint64(0x1D8E4E27C47D124F)
+BLOCK = 1024  # members of a bucket that are compared in one task
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,11 @@ class Rule:
         return (rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1),
                 rng.integers(0, 1 << 32, n, dtype=np.uint32))
 
+    def numbers(self, minima: np.ndarray) -> np.ndarray:
+        """The bands' numbers of rows of minima."""
+        m = minima.astype(np.uint64).reshape(-1, self.bands, self.rows)
+        return mix((m * ODD[:self.rows]).sum(2) + np.arange(self.bands, dtype=np.uint64) * SHORT)
+
     def least_equal(self) -> float:
         """Share of equal minima below which a pair is not tested further."""
         p = self.percent / 100
@@ -88,7 +94,6 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, fingerprint of the set (NULL if empty), band numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = rule.hashes()
-        numbers = np.arange(rule.bands, dtype=np.uint64) * SHORT
         for batch in batches:
             for piece in pieces(batch):
                 sets = shingle_sets(piece.column("text"), rule.words)
@@ -96,8 +101,7 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
                 for s in sets:
                     prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     if len(s):
-                        m = minima(s, a, b).astype(np.uint64).reshape(rule.bands, rule.rows)
-                        bands.append(mix((m * ODD[:rule.rows]).sum(1) + numbers))
+                        bands.append(rule.numbers(minima(s, a, b))[0])
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 lists = np.concatenate([[0], np.cumsum((sizes > 0) * rule.bands)]).astype(np.int32)
                 flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
@@ -154,6 +158,56 @@ def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             .select("a", "b", "membersa", "membersb").mapInArrow(exact, schema))
 
 
+def crossing(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The links (a, b) between different components in the buckets of ``members`` (bucket, node, root, blocks).
+
+    A bucket is dealt out in blocks of about ``BLOCK`` members, and each pair of blocks is a group of its own.  A pair
+    of members is tested in the first band that it shares, unless links of the group already connect it.
+    """
+    kind = members.schema["node"].dataType.simpleString()
+    rows = (members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("bucket", "node", "root", "block", F.least("block", "k").alias("low"), F.greatest("block", "k").alias("high"))
+            .join(sets, "node"))
+
+    def run(group: pa.Table) -> pa.Table:
+        node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
+        root, block = group.column("root").to_numpy(), group.column("block").to_numpy()
+        low = np.stack([np.frombuffer(x, np.uint32) for x in group.column("minima").to_pylist()])
+        bands = rule.numbers(low)
+        full = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
+        here = np.uint64(group.column("bucket")[0].as_py() & 0xFFFFFFFFFFFFFFFF)
+        least = rule.least_equal() * low.shape[1]
+        up, found = {}, []
+
+        def top(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        inner = group.column("low")[0].as_py() == group.column("high")[0].as_py()
+        for i in range(len(node)):
+            js = np.arange(i + 1, len(node))
+            if not inner:
+                js = js[block[js] != block[i]]
+            js = js[(root[js] != root[i]) & (100 * np.minimum(n[js], n[i]) >= rule.percent * np.maximum(n[js], n[i]))]
+            js = js[(low[js] == low[i]).sum(1) >= least] if len(js) else js
+            if len(js):
+                same = bands[js] == bands[i]
+                js = js[same.any(1) & (bands[i][same.argmax(1)] == here)]
+            for j in js:
+                a, b = top(root[i]), top(root[j])
+                if a != b:
+                    common = len(np.intersect1d(full[i], full[j], assume_unique=True))
+                    if 100 * common >= rule.percent * (n[i] + n[j] - common):
+                        up[max(a, b)] = min(a, b)
+                        found.append((node[i], node[j]))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, group.schema.field("node").type), "b": pa.array(b, group.schema.field("node").type)})
+
+    return rows.groupBy("bucket", "low", "high").applyInArrow(run, f"a {kind}, b {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b) but the roots: root is the smallest node of its component."""
     def smallest(pairs: DataFrame) -> DataFrame:
@@ -200,39 +254,15 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     links = written(linked(tested, sets, rule), "links")
     roots = components(links)
 
-    def unsettled() -> DataFrame:
-        """(bucket, node, root) of the buckets with more than one component."""
-        own = members.select("bucket", "node").distinct().join(roots, "node", "left").withColumn(
-            "root", F.coalesce("root", "node"))
-        several = own.groupBy("bucket").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).filter("_l <> _h")
-        return own.join(several.select("bucket"), "bucket")
-
-    # Against the best linked member of each bucket.
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    rest = written(unsettled().join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "unsettled")
-    best = rest.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("least"), "root")).alias("best"))
-    pairs = (rest.join(best, "bucket").filter("root <> best.root")
-             .select(F.col("node").alias("a"), (-F.col("best.least")).alias("b")).distinct()
-             .join(tested, ["a", "b"], "left_anti"))
-    pairs = written(pairs, "tested")
-    links2 = written(linked(pairs, sets, rule), "links")
-    both = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links2)
-    roots = components(both)
-
-    # What still crosses components, each pair in the first bucket that it shares.
-    sizes = sets.groupBy("node").agg(F.max("n").alias("n"))
-    lists = members.select("bucket", "node").groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("own"))
-    last = written(unsettled().join(lists, "node").join(sizes, "node"), "unsettled")
-    left, right = (last.select("bucket", *[F.col(c).alias(c + s) for c in ("node", "root", "own", "n")]) for s in "ab")
-    crossing = left.join(right, "bucket").filter(
-        (F.col("nodea") > F.col("nodeb")) & (F.col("roota") != F.col("rootb"))
-        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * rule.percent)
-        & (F.array_min(F.array_intersect("owna", "ownb")) == F.col("bucket")))
-    done = tested.union(pairs).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    crossing = crossing.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).join(done, ["a", "b"], "left_anti")
-    links3 = written(linked(crossing, sets, rule), "links")
-    if not links3.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links3))
+    # What the hubs left open: pairs of other members of a bucket, in different components.
+    others = members.filter("node <> hub").select("bucket", "node").distinct().join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    several = (others.groupBy("bucket").agg(F.min("root").alias("_l"), F.max("root").alias("_h"),
+                                            F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+               .filter("_l <> _h").select("bucket", "blocks"))
+    links = written(crossing(others.join(several, "bucket"), sets, rule), "links")
+    if not links.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
     named = nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
     out = all_.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print"))

@@ -11,7 +11,7 @@ shuffled and memory is bounded; ``sequence_id`` holds the partition's number in
 reads the same rows in the same order and packs them in the same way.
 
 Tokenizing: texts are cut at ASCII white space, which the tokenizer drops, so a word's ids don't depend on its
-neighbours; distinct words of a batch are encoded once and kept for the next batches of the task.
+neighbours (``plain`` adds blanks where it cuts); distinct words of a batch are encoded once and kept for the next batches of the task.
 
 Edge cases: a NULL or empty text is the end id alone; repeated rows are packed as often as they come; an empty
 table gives no sequence.  Other columns are not read.
@@ -19,11 +19,14 @@ table gives no sequence.  Other columns are not read.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -120,13 +123,26 @@ class Packer:
                 self._close(segments)
 
 
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts with the same ids and fewer distinct words: a blank between an ASCII letter and the mark after it, where
+    the tokenizer cuts anyway, and ASCII letters in lower case, as it reads them.  Where a text of the
+    batch may hold a special token or marks that compose with letters, the case stays."""
+    if not pc.any(pc.match_substring_regex(texts, r"<\||\p{M}")).as_py():
+        texts = pc.ascii_lower(texts)
+    return pc.replace_substring_regex(texts, r"([A-Za-z])([.,;:!?])", r"\1 \2")
+
+
 class Words:
     """Ids of words by a tokenizer file, each distinct word encoded once while it is kept."""
 
     def __init__(self, path: str, end: int, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.end = Tokenizer.from_file(path), most, end
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -136,12 +152,26 @@ class Words:
         self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.sizes[0], self.count = 1, 1  # entry 0 is the end id
 
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+    def _encoded(self, new: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word).  Words of letters only, of which each ends with the one id that the
+        vocabulary marks as a word's end, are encoded many in a line."""
+        lines = [" ".join(new[i:i + 128]) for i in range(0, len(new), 128)] if letters else new
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        if letters:
+            sizes = np.diff(np.flatnonzero(self.closes[flat]) + 1, prepend=0)
+        return flat, sizes
+
+    def _learn(self, words_: pa.Array) -> None:
+        simple = pc.match_substring_regex(words_, r"^\p{L}+$")
+        for letters, new in ((True, words_.filter(simple)), (False, words_.filter(pc.invert(simple)))):
+            part = new.to_pylist()
+            if not part:
+                continue
+            flat, sizes = self._encoded(part, letters)
+            if len(sizes) != len(part):  # a letter that the tokenizer reads otherwise
+                flat, sizes = self._encoded(part, False)
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while self.count + len(part) > len(self.sizes):
@@ -155,16 +185,17 @@ class Words:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, starts): the ids of text i, the end id last, are ids[starts[i]:starts[i + 1]]."""
-        starts, codes, distinct = words(texts, lower=False)
+        starts, codes, distinct = words(plain(texts), lower=False)
         if self.count > self.most:
             self._clear()
         names = distinct.to_pylist()
-        self._learn([w for w in names if w not in self.known])
+        self._learn(distinct.filter(pa.array([w not in self.known for w in names], pa.bool_())))
         entry = np.fromiter(map(self.known.get, names, [0] * len(names)), np.int64, len(names))
         entries = np.insert(entry[codes], starts[1:], 0)
         sizes = self.sizes[entries]
         ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.starts[entries] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        shift = (self.starts[entries] - ends + sizes).astype(np.int32)
+        ids = self.ids[np.repeat(shift, sizes) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
         last = starts[1:] + np.arange(len(texts))
         return ids, np.concatenate([[0], ends[last]]) if len(texts) else np.zeros(1, np.int64)
 

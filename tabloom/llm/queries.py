@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tabloom.llm.ann import op5_nearest_neighbours
 from tabloom.llm.chat import OP6_SQL, op6_chat_format
 from tabloom.llm.language import op10_language_id
 from tabloom.llm.line_dedup import op9_line_dedup
@@ -9,6 +10,7 @@ from tabloom.llm.mixing import op1_mix_sources
 from tabloom.llm.near_duplicates import op4_minhash_near_dedup
 from tabloom.llm.packing import op8_pack_sequences
 from tabloom.llm.quality import op7_quality_classifier
+from tabloom.llm.topk import OP3_SQL, op3_exact_top_k
 
 _WORDS = r"length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -65,7 +67,9 @@ FROM lines"""
 
 QUERIES = {
     "op1_mix_sources": (op1_mix_sources, OP1_SQL),
+    "op3_exact_top_k": (op3_exact_top_k, OP3_SQL),
     "op4_minhash_near_dedup": (op4_minhash_near_dedup, None),
+    "op5_nearest_neighbours": (op5_nearest_neighbours, None),
     "op6_chat_format": (op6_chat_format, OP6_SQL),
     "op7_quality_classifier": (op7_quality_classifier, None),
     "op8_pack_sequences": (op8_pack_sequences, None),
