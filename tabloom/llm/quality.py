@@ -174,6 +174,16 @@ def learned(stats: DataFrame, labels: DataFrame, label: str = "quality", key: st
     return fit(stats.filter(crc32_of(key) % fold != held).join(known, key))
 
 
+def accepted(df: DataFrame, model: Discriminant, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose score is at least ``least``, in one pass without a shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, text):
+                yield piece.filter(pa.array(model.score(statistics(piece.column(text))) >= least))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(with_statistics(table(spark, sf_dir, "documents")), "quality-statistics")
     model = learned(stats, table(spark, sf_dir, "labels"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tabloom.llm.ann import op5_nearest_neighbours
 from tabloom.llm.chat import OP6_SQL, op6_chat_format
 from tabloom.llm.language import op10_language_id
+from tabloom.llm.language_model import op2_lm_score
 from tabloom.llm.line_dedup import op9_line_dedup
 from tabloom.llm.mixing import op1_mix_sources
 from tabloom.llm.near_duplicates import op4_minhash_near_dedup
@@ -67,6 +68,7 @@ FROM lines"""
 
 QUERIES = {
     "op1_mix_sources": (op1_mix_sources, OP1_SQL),
+    "op2_lm_score": (op2_lm_score, None),
     "op3_exact_top_k": (op3_exact_top_k, OP3_SQL),
     "op4_minhash_near_dedup": (op4_minhash_near_dedup, None),
     "op5_nearest_neighbours": (op5_nearest_neighbours, None),
