@@ -16,7 +16,7 @@ document come back.
 Jobs: (1) tokens, and words that are frequent in a piece of text, of which the driver gets those that are to be split,
 at most two for each shard; (2) counts of all words, sent to the shards that need them; (3) trigrams to the shards, sums to the
 documents.  What is shuffled are compressed arrays, a row for each piece of text and shard.  Counts are exact but for equal
-64-bit hashes of different words.  A pair (u, v) isn't split, so one pair that makes up most of a corpus is one task.
+56-bit hashes of different words.  A pair (u, v) isn't split, so one pair that makes up most of a corpus is one task.
 
 Edge cases: a NULL or empty text is one end; a NULL id trains and isn't held out; repeated rows count each time; without
 training rows every token has the probability 1 (N and V are 0); an empty table gives an empty result.  Other columns are not
@@ -36,68 +36,103 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tabloom.llm.common import crc32_of, mix, pieces, table, word_hashes, words, written
 from tabloom.llm.elias_fano import EliasFano
 
-BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C2B2AE35)
+MASK = np.uint64((1 << 56) - 1)
+BEGIN, END = np.uint64(0x297A4D3F84D5B5), np.uint64(0xE31DA4C2B2AE35)
 STEP = 1 / 2048  # of a stored log10
-PIECE = 16 << 20
+PIECE = 32 << 20
 _CODEC = "zstd"
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, _CODEC, asbytes=True)
+def packed(head: list[int], *arrays: np.ndarray) -> bytes:
+    """The numbers of the head, then the arrays, each as planes of bytes, compressed."""
+    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays if len(a))
+    return np.array([len(raw), *head], np.int64).tobytes() + pa.compress(raw, _CODEC, asbytes=True)
 
 
-def unpacked(data: bytes, *kinds: tuple) -> list[np.ndarray]:
-    """Arrays of the (type, length) pairs."""
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), _CODEC, asbytes=True)
+def unpacked(data: bytes, head: int, *kinds: tuple) -> list[np.ndarray]:
+    """Arrays of the (type, length) pairs, after a head of so many numbers."""
+    raw = pa.decompress(data[8 * (head + 1):], heads(data, 1, 0)[0], _CODEC, asbytes=True)
     out, at = [], 0
     for kind, n in kinds:
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * size
     return out
 
 
+def heads(data: bytes, n: int, at: int = 8) -> list[int]:
+    return np.frombuffer(data, np.int64, n, at).tolist()
+
+
 def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint16 if not len(a) or a.max() < 1 << 16 else np.uint32)
 
 
+def steps_of(a: np.ndarray) -> np.ndarray:
+    """Differences, wrapping around; the running sum in the same type gives them back."""
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
 class Deal:
-    """Which shard a context goes to."""
+    """Which shard a context goes to.  Words that are split have a number; their contexts are classes of u (for BEGIN,
+    of the row)."""
 
     def __init__(self, shards: int, split: dict[int, int]):
         self.shards = shards
         order = sorted(split)
         self.hot, self.ways = np.array(order, np.uint64), np.array([split[h] for h in order], np.uint64)
 
-    def context(self, v: np.ndarray, u: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """The key of the context v, of which a split word has one for each class of u (BEGIN: of the row)."""
-        key = v.copy()
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, v), len(self.hot) - 1)
-            is_hot = self.hot[at] == v
-            of = np.where(v[is_hot] == BEGIN, row[is_hot].astype(np.uint64), u[is_hot])
-            key[is_hot] = mix(v[is_hot] + np.uint64(1) + mix(of) % self.ways[at[is_hot]])
-        return key
+    def shard(self, hashes: np.ndarray) -> np.ndarray:
+        return (mix(hashes) % np.uint64(self.shards)).astype(np.int32)
+
+    def split_at(self, hashes: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``v`` of split words, and their numbers."""
+        if not len(self.hot):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        number = np.minimum(np.searchsorted(self.hot, hashes), len(self.hot) - 1)
+        number[self.hot[number] != hashes] = -1
+        at = np.flatnonzero(number[v] >= 0)
+        return at, number[v[at]]
+
+    def kind(self, hashes: np.ndarray, at: np.ndarray, number: np.ndarray, u: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The class of the split contexts."""
+        of = np.where(self.hot[number] == BEGIN, row[at].astype(np.uint64), hashes[u[at]])
+        return (mix(of) % self.ways[number]).astype(np.int64)
+
+    def shards_of(self, hashes: np.ndarray, v: np.ndarray, u: np.ndarray, row: np.ndarray) -> np.ndarray:
+        out = self.shard(hashes)[v]
+        at, number = self.split_at(hashes, v)
+        out[at] = self.shard(self.hot[number] + np.uint64(1) + self.kind(hashes, at, number, u, row).astype(np.uint64))
+        return out
 
-    def shard(self, context: np.ndarray) -> np.ndarray:
-        return (mix(context) % np.uint64(self.shards)).astype(np.int64)
+    def contexts(self, hashes: np.ndarray, v: np.ndarray, u: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, int]:
+        """(number of the context, how many there may be): v itself, or a number above all words."""
+        out = v.astype(np.int64)
+        at, number = self.split_at(hashes, v)
+        first = len(hashes) + np.cumsum(self.ways.astype(np.int64)) - self.ways.astype(np.int64)
+        out[at] = first[number] + self.kind(hashes, at, number, u, row)
+        return out, len(hashes) + int(self.ways.sum())
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the distinct tokens, codes of w, starts of the texts, row of each token); BEGIN is code 0, END code 1."""
+    """(hashes of the distinct tokens in order, codes of w, starts of the texts, row of each token)."""
     starts, codes, distinct = words(texts)
-    hashes = np.concatenate([np.array([BEGIN, END]), word_hashes(distinct)])
-    w = np.insert(codes.astype(np.int64) + 2, starts[1:], 1)
+    hashes = np.concatenate([np.array([BEGIN, END]), word_hashes(distinct) & MASK])
+    hashes, place = np.unique(hashes, return_inverse=True)
+    place = place.astype(np.int32)
+    w = np.insert(place[2:][codes], starts[1:], place[1])
     starts = starts + np.arange(len(starts))
-    return hashes, w, starts, np.repeat(np.arange(len(texts)), np.diff(starts))
+    return hashes, w, starts, np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts))
 
 
-def before(w: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
-    out = np.zeros_like(w)
-    out[steps:] = w[:-steps] if steps < len(w) else w[:0]
+def before(hashes: np.ndarray, w: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
+    begin = np.searchsorted(hashes, BEGIN)
+    out = np.full_like(w, begin)
+    out[steps:] = w[:max(0, len(w) - steps)]
     for s in range(steps):
         at = starts[:-1] + s
-        out[at[at < starts[1:]]] = 0
+        out[at[at < starts[1:]]] = begin
     return out
 
 
@@ -117,14 +152,15 @@ def frequent(docs: DataFrame, share: int = 512) -> DataFrame:
     """(h, n, learnt): tokens in all and in training rows (h NULL), and words that make up 1/share of a piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, piece in _numbered(batches):
-            hashes, w, starts, row = trigrams(piece.column("text"))
-            learnt = int(np.diff(starts)[_learns(piece)].sum())
-            counts = np.bincount(w, minlength=len(hashes))
-            counts[0] = piece.num_rows
-            often = np.flatnonzero(counts * share >= len(w))
+            starts, codes, distinct = words(piece.column("text"))
+            sizes = np.diff(starts) + 1
+            total, learnt = int(sizes.sum()), int(sizes[_learns(piece)].sum())
+            counts = np.bincount(codes, minlength=len(distinct))
+            often = np.flatnonzero(counts * share >= total)
+            names = [BEGIN, *(word_hashes(distinct.take(pa.array(often))) & MASK)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *hashes[often].view(np.int64).tolist()], pa.int64()), pa.array([len(w), *counts[often].tolist()]),
-                 pa.array([learnt, *[0] * len(often)])], ["h", "n", "learnt"])
+                [pa.array([None, *map(int, names)], pa.int64()), pa.array([total, piece.num_rows, *counts[often].tolist()]),
+                 pa.array([learnt, *[0] * len(names)])], ["h", "n", "learnt"])
 
     return docs.mapInArrow(run, "h long, n long, learnt long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt"))
 
@@ -134,14 +170,16 @@ def word_needs(docs: DataFrame, deal: Deal) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, piece in _numbered(batches):
             hashes, w, starts, row = trigrams(piece.column("text"))
-            v, u = before(w, starts, 1), before(w, starts, 2)
-            shard = deal.shard(deal.context(hashes[v], hashes[u], row))
+            v, u = before(hashes, w, starts, 1), before(hashes, w, starts, 2)
+            shard = deal.shards_of(hashes, v, u, row)
             counts = np.bincount(w[_learns(piece)[row]], minlength=len(hashes))
-            pair = np.unique(w * deal.shards + shard)
+            pair = w.astype(np.int64) * deal.shards + shard
+            pair.sort()
+            pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])]
             word, to = pair // deal.shards, pair % deal.shards
-            used = np.unique(word)
+            used = word[np.concatenate([[True], word[1:] != word[:-1]])]
             bucket = (hashes[used] % np.uint64(deal.shards)).astype(np.int64)
-            order = np.lexsort((hashes[used], bucket))
+            order = np.argsort(bucket, kind="stable")
             lists = np.bincount(word, minlength=len(hashes))[used]
             first = np.cumsum(lists) - lists
             names, data, edges = [], [], np.searchsorted(bucket[order], np.arange(deal.shards + 1))
@@ -149,9 +187,9 @@ def word_needs(docs: DataFrame, deal: Deal) -> DataFrame:
                 part = order[edges[b]:edges[b + 1]]
                 sizes = lists[part]
                 at = np.repeat(first[part] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-                head = np.array([len(part), len(at)], np.int64)
+                head = [len(part), len(at)]
                 names.append(int(b))
-                data.append(packed(head, np.diff(hashes[used][part], prepend=np.uint64(0)), counts[used][part].astype(np.uint32),
+                data.append(packed(head, steps_of(hashes[used][part]), counts[used][part].astype(np.uint32),
                                    sizes.astype(np.uint32), to[at].astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
@@ -164,8 +202,8 @@ def word_counts(needs: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         words_, counts, sizes, to = [], [], [], []
         for data in group.column("data").to_pylist():
-            n, m = unpacked(data, (np.int64, 2))[0]
-            _, h, c, s, t = unpacked(data, (np.int64, 2), (np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint32, m))
+            n, m = heads(data, 2)
+            h, c, s, t = unpacked(data, 2, (np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint32, m))
             words_.append(np.cumsum(h, dtype=np.uint64)), counts.append(c), sizes.append(s), to.append(t)
         h, of = np.unique(np.concatenate(words_), return_inverse=True)
         c = np.bincount(of, np.concatenate(counts), len(h)).astype(np.int64)
@@ -174,7 +212,7 @@ def word_counts(needs: DataFrame) -> DataFrame:
         shard, word = pair // len(h), pair % len(h)
         names, edges = np.unique(shard, return_index=True)
         edges = np.append(edges, len(shard))
-        data = [packed(np.array([len(p)], np.int64), np.diff(h[p], prepend=np.uint64(0)), c[p])
+        data = [packed([len(p)], steps_of(h[p]), c[p])
                 for p in (word[a:b] for a, b in zip(edges[:-1], edges[1:]))]
         return pa.table({"shard": pa.array([-1, *names.tolist()], pa.int32()),
                          "distinct": pa.array([int((c > 0).sum()), *[0] * len(names)], pa.int64()),
@@ -188,24 +226,26 @@ def to_shards(docs: DataFrame, deal: Deal) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, piece in _numbered(batches):
             hashes, w, starts, row = trigrams(piece.column("text"))
-            v, u = before(w, starts, 1), before(w, starts, 2)
-            context = deal.context(hashes[v], hashes[u], row)
-            shard = deal.shard(context)
+            v, u = before(hashes, w, starts, 1), before(hashes, w, starts, 2)
+            shard = deal.shards_of(hashes, v, u, row)
             learns = _learns(piece)
-            order = np.argsort(shard << 32 | v, kind="stable")
+            order = np.argsort(shard.astype(np.int64) << 32 | v, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(deal.shards + 1))
             names, data = [], []
+            place = np.zeros(len(hashes), np.int32)
             for s in np.flatnonzero(np.diff(edges)):
                 part = order[edges[s]:edges[s + 1]]
-                used, codes = np.unique(np.concatenate([u[part], v[part], w[part]]), return_inverse=True)
-                by_hash = np.argsort(hashes[used])
-                place = np.empty(len(used), np.int64)
-                place[by_hash] = np.arange(len(used))
-                codes = small(place[codes])
+                met = np.zeros(len(hashes), bool)
+                for codes in (own := [x[part] for x in (u, v, w)]):
+                    met[codes] = True
+                used = np.flatnonzero(met)
+                place[used] = np.arange(len(used), dtype=np.int32)
+                kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+                own = [place[codes].astype(kind) for codes in own]
                 rows = small(row[part])
-                head = np.array([len(part), len(used), codes.itemsize, rows.itemsize, piece.num_rows], np.int64)
+                head = [len(part), len(used), own[0].itemsize, rows.itemsize, piece.num_rows]
                 names.append(int(s))
-                data.append(packed(head, np.diff(hashes[used][by_hash], prepend=np.uint64(0)), codes, rows,
+                data.append(packed(head, steps_of(hashes[used]), own[0], steps_of(own[1]), own[2], steps_of(rows),
                                    np.packbits(learns)))
             ids = piece.column("doc_id").cast(pa.string()).to_pylist()
             columns = [ids, (~learns).tolist(), np.diff(starts).tolist()]
@@ -232,13 +272,20 @@ def steps(p: np.ndarray) -> np.ndarray:
     return np.clip(np.round(-np.log10(np.maximum(p, 1e-31)) / STEP), 0, 65535).astype(np.uint16)
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct a * width + b in order, and the place of each pair among them."""
+    return np.unique(a * width + b, return_inverse=True)
+
+
 class Trie:
-    """The model of the contexts of a shard; tokens and contexts are numbers of the shard."""
+    """The model of the contexts of a shard, from its distinct trigrams in order of (v, u, w) and their counts; tokens and
+    contexts are numbers of the shard."""
 
-    def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, n_contexts: int, n_words: int, p1: np.ndarray):
+    def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, times: np.ndarray, n_contexts: int, n_words: int,
+                 p1: np.ndarray):
         self.words = n_words
-        pair, at = np.unique(v * n_words + w, return_inverse=True)
-        counts = np.bincount(at, minlength=len(pair))
+        pair, at = distinct_pairs(v, w, n_words)
+        counts = np.bincount(at, times, len(pair)).astype(np.int64)
         of = pair // n_words
         total = np.bincount(of, counts, n_contexts)
         d = discounts(counts)[np.minimum(counts, 3)]
@@ -247,16 +294,15 @@ class Trie:
         pointers = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n_contexts))])
         rank = at - pointers[v]  # of w among the successors of v
 
-        outer, node = np.unique(v * n_words + u, return_inverse=True)
+        outer, node = distinct_pairs(v, u, n_words)
         width = int(np.diff(pointers).max(initial=0)) + 1
-        triple, at3 = np.unique(node * width + rank, return_inverse=True)
-        counts3 = np.bincount(at3, minlength=len(triple))
-        of3 = triple // width
-        total3 = np.bincount(of3, counts3, len(outer))
-        d3 = discounts(counts3)[np.minimum(counts3, 3)]
+        triple = node * width + rank  # in order: the rank grows with w
+        of3 = node
+        total3 = np.bincount(of3, times, len(outer))
+        d3 = discounts(times)[np.minimum(times, 3)]
         left3 = np.bincount(of3, d3, len(outer)) / np.maximum(total3, 1)
         lower = p2[pointers[outer[of3] // n_words] + triple % width] if len(triple) else np.zeros(0)
-        p3 = (counts3 - d3) / total3[of3] + left3[of3] * lower if len(triple) else np.zeros(0)
+        p3 = (times - d3) / total3[of3] + left3[of3] * lower if len(triple) else np.zeros(0)
 
         self.width, self.known = width, total > 0
         self.next = EliasFano(pair, n_contexts * n_words + 1)          # successors of v
@@ -307,28 +353,30 @@ def shard_sums(deal: Deal, n_learnt: int, n_distinct: int):
     def run(dealt: pa.Table, counted: pa.Table) -> pa.Table:
         hashes, counts = [], []
         for data in counted.column("data").to_pylist():
-            n = int(unpacked(data, (np.int64, 1))[0][0])
-            _, h, c = unpacked(data, (np.int64, 1), (np.uint64, n), (np.int64, n))
+            n, = heads(data, 1)
+            h, c = unpacked(data, 1, (np.uint64, n), (np.int64, n))
             hashes.append(np.cumsum(h, dtype=np.uint64)), counts.append(c)
         parts, dictionaries, learnt, numbers = [], [], [], dealt.column("piece").to_pylist()
         for data in dealt.column("data").to_pylist():
-            n, used, size, row_size, rows = unpacked(data, (np.int64, 5))[0].tolist()
+            n, used, size, row_size, rows = heads(data, 5)
             kinds = {2: np.uint16, 4: np.uint32}
-            _, h, codes, row, bits = unpacked(data, (np.int64, 5), (np.uint64, used), (kinds[size], 3 * n), (kinds[row_size], n),
-                                              (np.uint8, -(-rows // 8)))
+            h, *own, row, bits = unpacked(data, 5, (np.uint64, used), *[(kinds[size], n)] * 3, (kinds[row_size], n),
+                                             (np.uint8, -(-rows // 8)))
             dictionaries.append(np.cumsum(h, dtype=np.uint64))
-            parts.append((codes.reshape(3, n), row))
+            own[1] = np.cumsum(own[1], dtype=own[1].dtype)
+            parts.append((own, np.cumsum(row, dtype=row.dtype)))
             learnt.append(np.unpackbits(bits, count=rows).astype(bool))
         if not parts:
             return pa.table({"piece": pa.array([], pa.int64()), "data": pa.array([], pa.binary()),
                              "head": pa.array([], dealt.schema.field("head").type)})
         names = np.unique(np.concatenate(dictionaries))
         codes = [np.searchsorted(names, d).astype(np.int32) for d in dictionaries]
-        u, v, w = (np.concatenate([c[p[i]] for c, (p, _) in zip(codes, parts)]).astype(np.int64) for i in range(3))
-        row = np.concatenate([r for _, r in parts]).astype(np.int64)
+        u, v, w = (np.concatenate([c[p[i]] for c, (p, _) in zip(codes, parts)]) for i in range(3))
+        row = np.concatenate([r for _, r in parts]).astype(np.int32)
         first = np.concatenate([[0], np.cumsum([len(x) for x in learnt])])
         doc = row + np.repeat(first[:-1], [len(r) for _, r in parts])
         trains = np.concatenate(learnt)[doc]
+        del parts, dictionaries, codes
         count = np.zeros(len(names), np.int64)  # of the words that are predicted here
         if hashes:
             h, c = np.concatenate(hashes), np.concatenate(counts)
@@ -336,28 +384,35 @@ def shard_sums(deal: Deal, n_learnt: int, n_distinct: int):
             at = np.minimum(np.searchsorted(h[order], names), len(h) - 1)
             count = np.where(h[order][at] == names, c[order][at], 0)
         log_p1 = np.log10(count + 1.0) - floor
-        # Contexts: v, or v and a class of u.
-        keys, context = np.unique(deal.context(names[v], names[u], row), return_inverse=True)
-        trie = Trie(context[trains], u[trains], w[trains], len(keys), len(names), 10 ** log_p1)
+        context, n_contexts = deal.contexts(names, v, u, row)
+        outer, node = distinct_pairs(context, u, len(names))
+        triple, at = distinct_pairs(node, w, len(names))
+        del context, node, u, v, row
+        times = np.bincount(at[trains], minlength=len(triple))
+        pair, w3 = outer[triple // len(names)], triple % len(names)
+        del triple
+        known = np.flatnonzero(times)
+        trie = Trie(pair[known] // len(names), pair[known] % len(names), w3[known], times[known], n_contexts, len(names), 10 ** log_p1)
         trie.mapped()
-        score = np.empty(len(w))
-        for i in range(0, len(w), 1 << 19):
-            now = slice(i, i + (1 << 19))
-            score[now] = trie.log10(context[now], u[now], w[now], log_p1[w[now]])
+        score = np.empty(len(w3))
+        for i in range(0, len(w3), 1 << 18):
+            now = slice(i, i + (1 << 18))
+            score[now] = trie.log10(pair[now] // len(names), pair[now] % len(names), w3[now], log_p1[w3[now]])
+        score = score[at]
         total = int(first[-1])
         found = np.bincount(doc, minlength=total)
         sums = [np.bincount(doc, x, total) for x in (score, log_p1[w], count[w] > 0)]
         out = []
         for low, high in zip(first[:-1], first[1:]):
             at = np.flatnonzero(found[low:high])
-            out.append(packed(np.array([len(at)], np.int64), at.astype(np.uint32), sums[0][low:high][at], sums[1][low:high][at],
+            out.append(packed([len(at)], at.astype(np.uint32), sums[0][low:high][at], sums[1][low:high][at],
                               sums[2][low:high][at].astype(np.uint32)))
         return pa.table({"piece": pa.array(numbers, pa.int64()), "data": pa.array(out, pa.binary()), "head": dealt.column("head")})
 
     return run
 
 
-def scored(docs: DataFrame, held: Column, shard_tokens: int = 4_000_000) -> DataFrame:
+def scored(docs: DataFrame, held: Column, shard_tokens: int = 3_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
@@ -376,8 +431,8 @@ def scored(docs: DataFrame, held: Column, shard_tokens: int = 4_000_000) -> Data
         head = next(h for h in group.column("head").to_pylist() if h is not None)
         score, base, known = np.zeros(len(head)), np.zeros(len(head)), np.zeros(len(head), np.int64)
         for data in sorted(group.column("data").to_pylist()):
-            n = int(unpacked(data, (np.int64, 1))[0][0])
-            _, at, a, b, c = unpacked(data, (np.int64, 1), (np.uint32, n), (np.float64, n), (np.float64, n), (np.uint32, n))
+            n, = heads(data, 1)
+            at, a, b, c = unpacked(data, 1, (np.uint32, n), (np.float64, n), (np.float64, n), (np.uint32, n))
             score[at] += a
             base[at] += b
             known[at] += c
