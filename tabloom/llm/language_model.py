@@ -412,7 +412,7 @@ def shard_sums(deal: Deal, n_learnt: int, n_distinct: int):
     return run
 
 
-def scored(docs: DataFrame, held: Column, shard_tokens: int = 3_000_000) -> DataFrame:
+def scored(docs: DataFrame, held: Column, shard_tokens: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
