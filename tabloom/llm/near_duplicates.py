@@ -138,16 +138,15 @@ def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = rule.least_equal() * rule.bands * rule.rows
         for batch in batches:
-            left, right = (raw.to_pylist() for raw in (batch.column("minimaa"), batch.column("minimab")))
-            good = [bool((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum() >= least)
-                    for x, y in zip(left, right)]
+            good = [bool((np.frombuffer(x.as_buffer(), np.uint32) == np.frombuffer(y.as_buffer(), np.uint32)).sum() >= least)
+                    for x, y in zip(batch.column("minimaa"), batch.column("minimab"))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("membersa").to_pylist(), batch.column("membersb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("membersa"), batch.column("membersb")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * common >= rule.percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -173,9 +172,9 @@ def crossing(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
         root, block = group.column("root").to_numpy(), group.column("block").to_numpy()
-        low = np.stack([np.frombuffer(x, np.uint32) for x in group.column("minima").to_pylist()])
+        low = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("minima")])
         bands = rule.numbers(low)
-        full = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("members")]
         here = np.uint64(group.column("bucket")[0].as_py() & 0xFFFFFFFFFFFFFFFF)
         least = rule.least_equal() * low.shape[1]
         up, found = {}, []

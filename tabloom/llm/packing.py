@@ -135,7 +135,7 @@ def plain(texts: pa.Array) -> pa.Array:
 class Words:
     """Ids of words by a tokenizer file, each distinct word encoded once while it is kept."""
 
-    def __init__(self, path: str, end: int, most: int = 400_000):
+    def __init__(self, path: str, end: int, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
@@ -220,7 +220,7 @@ def packed(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
         for batch in batches:
             key_type = batch.column(key).type
-            for piece in pieces(batch, text, 4 << 20):
+            for piece in pieces(batch, text):
                 ids, starts = encoder.encode(piece.column(text))
                 for k, low, high in zip(piece.column(key).to_pylist(), starts[:-1], starts[1:]):
                     loss = np.ones(high - low, np.int64)

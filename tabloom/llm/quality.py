@@ -56,9 +56,8 @@ def statistics(texts: pa.Array) -> np.ndarray:
     n = len(texts)
     raw, offsets = raw_bytes(texts)
     size = np.diff(offsets)
-    doc = np.repeat(np.arange(n), size)
-    kinds = KINDS[raw]
-    by_kind = np.bincount(doc * 7 + kinds, minlength=7 * n).reshape(n, 7).astype(float)
+    doc = np.repeat(np.arange(n, dtype=np.int32), size)
+    by_kind = np.bincount(doc * 7 + KINDS[raw], minlength=7 * n).reshape(n, 7).astype(float)
     by_byte = np.bincount(doc * 256 + raw, minlength=256 * n).reshape(n, 256).astype(float)
     bytes_ = np.maximum(size, 1).astype(float)
     share = by_byte / bytes_[:, None]
