@@ -200,6 +200,16 @@ class Words:
         return ids, np.concatenate([[0], ends[last]]) if len(texts) else np.zeros(1, np.int64)
 
 
+_KEPT: dict[tuple, Words] = {}  # of this Python worker
+
+
+def encoder_of(path: str, end: int) -> Words:
+    """Read once for all tasks of a worker."""
+    if (path, end) not in _KEPT:
+        _KEPT[path, end] = Words(path, end)
+    return _KEPT[path, end]
+
+
 def packed(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limits: Limits = Limits(), end: int = 1,
            wait: int = 1024) -> DataFrame:
     """Rows of (key, start, ids, doc_tokens, sequence_id, offset), one for each piece; ``ids`` are little-endian
@@ -207,7 +217,7 @@ def packed(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     slim = df.select(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Words(tokenizer, end), Packer(limits, TaskContext.get().partitionId() << 33, wait)
+        encoder, packer = encoder_of(tokenizer, end), Packer(limits, TaskContext.get().partitionId() << 33, wait)
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*packer.out))
