@@ -11,6 +11,11 @@ from tabloom.functions.columns import as_text, ref
 BUCKETS = 1000
 
 
+def row_hash(keys: Sequence[str], seed: int = 0) -> Column:
+    """A signed 64-bit hash of the seed and the key columns."""
+    return F.xxhash64(F.lit(seed), *[ref(k) for k in keys])
+
+
 def hash_bucket(keys: Sequence[str], seed: int = 0, buckets: int = BUCKETS, portable: bool = False) -> Column:
     """A bucket in [0, buckets) from a hash of the seed and the key columns.
 
@@ -19,6 +24,6 @@ def hash_bucket(keys: Sequence[str], seed: int = 0, buckets: int = BUCKETS, port
     other engine can compute.
     """
     if not portable:
-        return F.pmod(F.xxhash64(F.lit(seed), *[ref(k) for k in keys]), F.lit(buckets))
+        return F.pmod(row_hash(keys, seed), F.lit(buckets))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[as_text(k) for k in keys]))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.lit(buckets)

@@ -138,11 +138,9 @@ def polynomial_names(columns: Sequence[str]) -> tuple[str, str]:
     return f"vectorized_{joined}", f"feature_polynomially_expanded_{joined}"
 
 
-def polynomial_stages(columns: Sequence[str], degree: int = 3, max_slots: int = 5000) -> list[Transformer]:
+def polynomial_stages(columns: Sequence[str], degree: int = 3) -> list[Transformer]:
     """Assemble the columns and expand them to all monomials up to ``degree``."""
     slots = polynomial_slots(len(columns), degree)
-    if slots > max_slots:
-        raise ValueError(f"{len(columns)} columns expand to {slots} slots, more than {max_slots}")
     vector, expanded = polynomial_names(columns)
     return [VectorAssembler(inputCols=list(columns), outputCol=vector, handleInvalid="keep"),
             PolynomialExpansion(degree=degree, inputCol=vector, outputCol=expanded),

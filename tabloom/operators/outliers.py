@@ -80,26 +80,31 @@ def flag_by_isolation_forest(df: DataFrame, columns: Sequence[str], trees: int =
                              seed: int = 42, threshold: float = 0.5) -> DataFrame:
     """Outlier if the isolation score (in ``outlier_score``) is above ``threshold``.
 
-    Each tree is grown on about ``sample`` rows, as the method defines; all rows are scored.  Rows are
-    drawn by a seeded hash below a limit set from the row count, so nothing is sorted and each task draws
-    its own few; copies of a row are drawn separately.  Trees grow in parallel tasks, and the forest has
-    at most 2 * sample nodes per tree.
+    Each tree is grown on ``min(sample, n)`` rows of its own draw, as the method defines; all rows are scored.  Equal
+    rows are counted first.  For each tree a hash of the values decides how many of the copies are drawn: their
+    share, rounded up or down by the hash.  So the draw depends on the values alone, not on partitions or retries, and copies
+    are drawn like any rows.  Trees grow in parallel tasks, and the forest has at most 2 * sample nodes per tree.
     """
     columns = list(columns)
     complete = df.select([as_number(c).alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
     names = complete.columns
-    order = F.xxhash64(F.lit(seed), *names, F.spark_partition_id(), F.monotonically_increasing_id())
-    drawn = complete.withColumn("__order", order)
-    n, wanted = complete.count(), trees * sample * 1.1
-    if n > wanted:
-        drawn = drawn.filter(F.col("__order") < -(1 << 63) + int(wanted / n * (1 << 64)))
-    drawn = drawn.withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), "__order"), F.lit(trees)).cast("int"))
+    counted = complete.groupBy(*names).agg(F.count(F.lit(1)).alias("__copies"))
+    n = complete.count()
+    # Six deviations more than the sample, so that no tree falls short of it.
+    share = min(1.0, (sample + 6 * sample ** 0.5 + 10) / max(n, 1))
+    draw = lambda t: F.xxhash64(F.lit(seed), t, *names) / float(1 << 64) + 0.5
+    drawn = counted.withColumn("__draw", F.explode(F.filter(F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.struct(t.alias("tree"), F.floor(F.col("__copies") * share + draw(t)).alias("times"))),
+        lambda x: x.times > 0))).select("__draw.tree", "__draw.times", *names)
 
     def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0])])
-        part = part.sort_values("__order")[:sample]
-        grown = _grow(part[names].to_numpy(dtype=float), rng)
-        return pd.DataFrame({"tree": int(key[0]), "n": len(part), "node": range(len(grown)),
+        part = part.sort_values(names)
+        rows = np.repeat(part[names].to_numpy(dtype=float), part["times"].to_numpy(), axis=0)
+        rows = rows[rng.permutation(len(rows))[:sample]]
+        grown = _grow(rows, rng)
+        return pd.DataFrame({"tree": int(key[0]), "n": len(rows), "node": range(len(grown)),
                              **{k: v for k, v in zip(("feature", "cut", "left", "right", "path"), zip(*grown))}})
 
     schema = "tree int, n int, node int, feature int, cut double, left int, right int, path double"

@@ -297,7 +297,7 @@ def _trials(sampler: str) -> Callable:
         try:
             train, validation = hash_split(frame, [0.7, 0.3], LINE_KEYS, seed=3)
             tuned = tune(train, validation, LEARNERS["logistic_regression"], Setting(), make_evaluator(CLASSIFICATION),
-                         trials=8, sampler=sampler, seed=1)
+                         trials=12, sampler=sampler, seed=1)
         finally:
             frame.unpersist()
         rows = [(i, p["regParam"], p["elasticNetParam"], s.value, p == tuned.params)
@@ -398,7 +398,7 @@ QUERIES = {
     "best_run": (best, f"SELECT * FROM ({_BOARD}) ORDER BY score, algorithm LIMIT 1"),
     "fit_logistic_regression": (_fit("logistic_regression", CLASSIFICATION), None),
     "fit_random_forest": (_fit("random_forest", CLASSIFICATION), None),
-    "fit_gbt_classifier": (_fit("gradient_boosted_trees", CLASSIFICATION, maxIter=5), None),
+    "fit_gbt_classifier": (_fit("gradient_boosted_trees", CLASSIFICATION), None),
     "fit_perceptron": (_fit("multilayer_perceptron", CLASSIFICATION), None),
     "fit_linear_svc": (_fit("linear_svc", CLASSIFICATION), None),
     "fit_fm_classifier": (_fit("factorization_machine", CLASSIFICATION), None),

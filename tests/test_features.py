@@ -89,12 +89,19 @@ def test_category_indexer(spark, monkeypatch, labels):
     assert rows(model.transform(new)) == rows(want.transform(new))
 
 
-def test_one_hot_slots(spark):
+@pytest.mark.parametrize("labels", [100_000, 1])
+def test_one_hot_slots(spark, monkeypatch, labels):
+    """The same slots by either index; zeros for NULL and values that were not there."""
+    monkeypatch.setattr(encode, "LABELS", labels)
+    three = spark.createDataFrame([(v,) for v in ["a", "a", "a", "b", "b", "c"]], "k string")
+    new = spark.createDataFrame([("a",), ("b",), ("c",), ("z",), (None,)], "k string")
+    found = category_encoder(three, ["k"]).transform(new).select("k", vector_to_array("one_hot_encoded_k").alias("v"))
+    assert {r["k"]: r["v"] for r in found.collect()} == {
+        "a": [1.0, 0.0, 0.0], "b": [0.0, 1.0, 0.0], "c": [0.0, 0.0, 1.0], "z": [0.0] * 3, None: [0.0] * 3}
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string")
     model = category_encoder(df, ["k"])
     got = {r["k"]: r["v"] for r in model.transform(df).select("k", vector_to_array("one_hot_encoded_k").alias("v")).collect()}
     assert got == {"a": [1.0, 0.0], "b": [0.0, 1.0], None: [0.0, 0.0]}
-    assert "one_hot_encoded_k" not in category_encoder(df, ["k"], one_hot_limit=1).transform(df).columns
     assert category_encoder(df, []).transform(df).columns == ["k"]
 
 
@@ -165,8 +172,6 @@ def test_polynomials(spark):
         df = stage.transform(df)
     assert df.first()[polynomial_names(["a", "b"])[1]].toArray().tolist() == [2, 4, 8, 3, 6, 12, 9, 18, 27]
     assert slot_map(df, [polynomial_names(["a", "b"])[1]]).width == polynomial_slots(2) == 9
-    with pytest.raises(ValueError):
-        polynomial_stages([f"c{i}" for i in range(40)], max_slots=1000)
 
 
 def test_scaling_and_slots(spark):
@@ -257,6 +262,16 @@ def test_forest_draws_from_a_large_table(spark):
     assert flagged.filter(F.col("outlier_score") > far["outlier_score"]).count() < 200
 
 
+def test_forest_on_a_small_table(spark):
+    """Every tree sees its sample; partitions don't matter."""
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b)) for a, b in rng.normal(size=(399, 2))] + [(8.0, 8.0)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    one, eight = ({(r["a"], r["b"]): r["outlier_score"] for r in outliers.flag_by_isolation_forest(
+        df.repartition(n), ["a", "b"]).collect()} for n in (1, 8))
+    assert one == eight and one[8.0, 8.0] == max(one.values()) > 0.6
+
+
 def test_projection(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=400)

@@ -96,3 +96,9 @@ def test_odd_column_names(spark):
     got = {r["column"]: r["n_missing"] for r in missing_counts(df).collect()}
     assert got == {"a.b": 0, "c d": 1}
     assert df.select(F.col("`a.b`")).count() == 2
+
+
+def test_split_by_small_weights(spark):
+    parts = hash_split(spark.range(200_000), [0.9996, 0.0004], ["id"])
+    small = parts[1].count()
+    assert 40 < small < 130 and parts[0].count() == 200_000 - small

@@ -311,3 +311,12 @@ def test_multiclass_run_without_test_split(spark, raw):
                                               source="scaledFeatures"))
     assert result.frame.classes == 3 and result.best.score.value > 0.2
     assert result.best.score == result.best.tuned.score
+
+
+def test_sampler_does_not_depend_on_parallelism(spark):
+    space = {"x": Uniform(0.0, 1.0)}
+    points = {(sampler, n): [p["x"] for p, _ in optimise(
+        lambda p: Score("rmse", (p["x"] - 0.3) ** 2, False), space, 12, sampler, seed=3, parallelism=n).trials]
+        for sampler in ("tpe", "random") for n in (1, 4)}
+    assert points["tpe", 1] == points["tpe", 4] and points["random", 1] == points["random", 4]
+    assert points["tpe", 1][5:] != points["random", 1][5:]
