@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import crc32_of, mix, pieces, table, word_hashes, words, written
+from tabloom.llm.common import batches_of, crc32_of, mix, pieces, table, word_hashes, words, written
 from tabloom.llm.elias_fano import EliasFano
 
 MASK = np.uint64((1 << 56) - 1)
@@ -416,6 +416,7 @@ def scored(docs: DataFrame, held: Column, shard_tokens: int = 2_000_000) -> Data
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
+    batches_of(docs.sparkSession, 2 * PIECE)  # whole pieces: a row for each piece and shard is shuffled
     often = frequent(docs)
     tokens, learnt = often.filter("h is null").select(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("learnt"), F.lit(0))).first()
     limit = shard_tokens // 2

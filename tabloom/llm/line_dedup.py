@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import WORD, table, written
+from tabloom.llm.common import WORD, in_arrow, table, written
 
 
 def lines_of(text: str) -> Column:
@@ -131,7 +131,7 @@ def deletions(docs: DataFrame, least_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(gone, pa.list_(pa.int32()))],
                                              ["doc_id", "gone"])
 
-    found = both.select("doc_id", "first", "seq").mapInArrow(run, f"doc_id {kind}, gone array<int>")
+    found = in_arrow(both.select("doc_id", "first", "seq"), run, f"doc_id {kind}, gone array<int>")
     return (found.filter(F.size("gone") > 0).groupBy("doc_id")
             .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import mix, pieces, table, word_hashes, words, written
+from tabloom.llm.common import in_arrow, mix, pieces, table, word_hashes, words, written
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -109,8 +109,8 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
                     [piece.column("doc_id"), pa.array(sizes), pa.array(prints, pa.binary()),
                      pa.ListArray.from_arrays(lists, pa.array(flat))], ["doc_id", "n_shingles", "print", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {_kind(docs)}, n_shingles long, print binary, bands array<long>")
+    return in_arrow(
+        docs.select("doc_id", "text"), run, f"doc_id {_kind(docs)}, n_shingles long, print binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -125,7 +125,7 @@ def full_sets(docs: DataFrame, rule: Rule) -> DataFrame:
                      pa.array([minima(s, a, b).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                      pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "minima", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"node {_kind(docs)}, n long, minima binary, members binary")
+    return in_arrow(docs.select("doc_id", "text"), run, f"node {_kind(docs)}, n long, minima binary, members binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -152,9 +152,9 @@ def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     schema = f"a {kind}, b {kind}"
-    likely = likely.select("a", "b", "minimaa", "minimab").mapInArrow(first, schema)
-    return (likely.join(side("a", "members"), "a").join(side("b", "members"), "b")
-            .select("a", "b", "membersa", "membersb").mapInArrow(exact, schema))
+    likely = in_arrow(likely.select("a", "b", "minimaa", "minimab"), first, schema)
+    full = likely.join(side("a", "members"), "a").join(side("b", "members"), "b")
+    return in_arrow(full.select("a", "b", "membersa", "membersb"), exact, schema)
 
 
 def crossing(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:

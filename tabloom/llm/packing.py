@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import pieces, table, words
+from tabloom.llm.common import in_arrow, pieces, table, words
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,7 @@ def plain(texts: pa.Array) -> pa.Array:
 class Words:
     """Ids of words by a tokenizer file, each distinct word encoded once while it is kept."""
 
-    def __init__(self, path: str, end: int, most: int = 250_000):
+    def __init__(self, path: str, end: int, most: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
@@ -242,8 +242,8 @@ def packed(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         if packer.out:
             yield out()
 
-    return slim.mapInArrow(run, f"`{key}` {slim.schema[key].dataType.simpleString()}, start long, ids binary, "
-                                "doc_tokens long, sequence_id long, offset long")
+    return in_arrow(slim, run, f"`{key}` {slim.schema[key].dataType.simpleString()}, start long, ids binary, "
+                               "doc_tokens long, sequence_id long, offset long")
 
 
 def pieces_of(df: DataFrame) -> DataFrame:

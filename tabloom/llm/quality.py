@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import crc32_of, pieces, raw_bytes, table, words, written
+from tabloom.llm.common import crc32_of, in_arrow, pieces, raw_bytes, table, words, written
 
 STATISTICS = ("log_words", "log_word_length", "letters", "digits", "symbols", "stops", "capitals", "high_bytes",
               "word_variety", "line_variety", "log_line_length", "symbol_words", "top_word", "byte_entropy")
@@ -96,7 +96,7 @@ def with_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
 
     slim = df.select(*keep, text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*keep).schema)
-    return slim.mapInArrow(run, f"{fields}, statistics array<double>")
+    return in_arrow(slim, run, f"{fields}, statistics array<double>")
 
 
 @dataclass
@@ -163,7 +163,7 @@ def scored(stats: DataFrame, model: Discriminant) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(model.score(x))], [*keep, "score"])
 
     fields = ", ".join(f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in keep)
-    return stats.mapInArrow(run, f"{fields}, score double")
+    return in_arrow(stats, run, f"{fields}, score double")
 
 
 def learned(stats: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", fold: int = 3,
@@ -180,7 +180,7 @@ def accepted(df: DataFrame, model: Discriminant, least: float = 0.5, text: str =
             for piece in pieces(batch, text):
                 yield piece.filter(pa.array(model.score(statistics(piece.column(text))) >= least))
 
-    return df.mapInArrow(run, df.schema)
+    return in_arrow(df, run, df.schema)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
