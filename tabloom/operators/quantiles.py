@@ -6,15 +6,18 @@ pass counts the rows below, at and between the ends of every bracket and takes t
 between them, until the target is an end of its bracket or its rank in a short bracket is exact.  Hot
 values become ends and drop out.  A pass moves no data but sketches and the few rows inside brackets, and
 shrinks a bracket at least 600-fold: two passes for a million rows, four or five for 10^12.
+
+The first pass reads a fixed number of columns in a job, so plans and results have one size however wide the table is.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.columns import as_number
@@ -23,6 +26,8 @@ from tabloom.operators.concurrent import run_together
 GRID = 4000
 ACCURACY = 20_000
 MAX_PASSES = 40
+COLUMNS_PER_JOB = 16
+JOBS = 4  # at a time
 # Grid steps that cover the sketch's rank error on both sides, plus one for rounding.
 MARGIN = 2 + math.ceil(GRID / ACCURACY)
 
@@ -37,6 +42,10 @@ class _Target:
     margin: int = MARGIN
 
 
+def _parts(items: Sequence, size: int) -> list[Sequence]:
+    return [items[i:i + size] for i in range(0, len(items), size)]
+
+
 def _points() -> Column:
     """The grid as one constant array."""
     text = ",".join(repr(i / GRID) for i in range(GRID + 1))
@@ -91,7 +100,7 @@ def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]],
         brackets = sorted({(t.column, t.low, t.high) for t in targets if t.value is None})
         if not brackets:
             return {(t.column, t.rank): t.value for t in targets}
-        counts, grids = run_together([lambda: _counts(df, brackets), lambda: _inner_grids(df, brackets)], 2)
+        counts, grids = _look(df, brackets)
         for target in targets:
             if target.value is None:
                 bracket = (target.column, target.low, target.high)
@@ -101,6 +110,11 @@ def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]],
 
 def _first_pass(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, Sequence[float]]]:
     """Per column: its number of present values and their grid."""
+    found = run_together([lambda p=part: _first_grids(df, p) for part in _parts(columns, COLUMNS_PER_JOB)], JOBS)
+    return {c: grid for part in found for c, grid in part.items()}
+
+
+def _first_grids(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, Sequence[float]]]:
     values = df.select([as_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
     points = _points()
     row = values.agg(*[e for i in range(len(columns)) for e in (
@@ -111,33 +125,46 @@ def _first_pass(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, S
 Bracket = tuple[str, float, float]
 
 
-def _values(df: DataFrame, brackets: Sequence[Bracket]) -> tuple[DataFrame, list[Column]]:
-    """The columns of the brackets as numbers, and the one of each bracket.
+Bracket = tuple[str, float, float]
+
 
-    A generator computes them once per row; a projection would be inlined into every comparison.
+def _look(df: DataFrame, brackets: Sequence[Bracket]) -> tuple[dict[Bracket, tuple[int, int, int, int]],
+                                                               dict[Bracket, Sequence[float]]]:
+    """The counts of each bracket, and the grid of the values strictly inside it.
+
+    Each column of an Arrow batch is sorted once and gives the counts of all its brackets by binary search, so the
+    plan doesn't grow with columns or brackets.  A batch sends a row for each bracket, and the few values inside.
     """
     columns = sorted({b[0] for b in brackets})
-    row = F.struct(*[as_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    return df.select(F.inline(F.array(row))), [F.col(f"v{columns.index(b[0])}") for b in brackets]
-
-
-def _counts(df: DataFrame, brackets: Sequence[Bracket]) -> dict[Bracket, tuple[int, int, int, int]]:
-    values, own = _values(df, brackets)
-    row = values.agg(*[F.count_if(test).alias(f"c{i}_{j}") for i, ((_, low, high), v) in enumerate(zip(brackets, own))
-                       for j, test in enumerate((v < low, v <= low, v < high, v <= high))]).first()
-    return {b: tuple(row[f"c{i}_{j}"] for j in range(4)) for i, b in enumerate(brackets)}
-
-
-def _inner_grids(df: DataFrame, brackets: Sequence[Bracket]) -> dict[Bracket, Sequence[float]]:
-    """The grid of the values strictly inside each bracket; brackets without any are left out."""
-    values, own = _values(df, brackets)
-    hits = [((v > low) & (v < high), F.lit(i), v) for i, ((_, low, high), v) in enumerate(zip(brackets, own))]
-    inside = values.filter(reduce(lambda a, b: a | b, [test for test, _, _ in hits]))
-    long = inside.select(F.explode(F.array(*[
-        F.when(test, F.struct(i.alias("bracket"), value.alias("value"))) for test, i, value in hits])).alias("hit"))
-    found = long.filter(F.col("hit").isNotNull()).groupBy("hit.bracket").agg(
-        F.percentile_approx("hit.value", _points(), ACCURACY).alias("grid")).collect()
-    return {brackets[r["bracket"]]: r["grid"] for r in found}
+    values = df.select([as_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    own = [np.array([i for i, b in enumerate(brackets) if b[0] == c]) for c in columns]
+    low, high = (np.array([b[k] for b in brackets], float) for k in (1, 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, counts, inside = [], [], []
+            for column, at in zip(batch.columns, own):
+                x = np.sort(column.drop_null().to_numpy(zero_copy_only=False))
+                ends = np.stack([np.searchsorted(x, edge[at], side) for edge in (low, high) for side in ("left", "right")])
+                parts = [x[a:b] for a, b in zip(ends[1], ends[2])]
+                names += [at, np.repeat(at, [len(p) for p in parts])]
+                counts += [ends, np.zeros((4, sum(map(len, parts))), np.int64)]
+                inside += [np.full(len(at), np.nan), *parts]
+            found = np.concatenate(inside)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(names).astype(np.int32)), *[pa.array(c) for c in np.concatenate(counts, axis=1)],
+                 pa.array(found, mask=np.isnan(found))], ["bracket", "c0", "c1", "c2", "c3", "value"])
+
+    rows = values.mapInArrow(run, "bracket int, c0 long, c1 long, c2 long, c3 long, value double").groupBy("bracket").agg(
+        *[F.sum(f"c{j}").alias(f"c{j}") for j in range(4)],
+        F.percentile_approx("value", _points(), ACCURACY).alias("grid")).toLocalIterator()
+    counts, grids = {}, {}
+    for row in rows:
+        bracket = brackets[row["bracket"]]
+        counts[bracket] = tuple(row[f"c{j}"] for j in range(4))
+        if row["grid"] is not None:
+            grids[bracket] = row["grid"]
+    return counts, grids
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],

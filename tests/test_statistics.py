@@ -49,6 +49,17 @@ def test_exact_quantiles(spark, monkeypatch, grid):
         assert np.allclose(between[c], np.quantile(present, ps))
 
 
+def test_exact_quantiles_of_a_wide_table(spark, tmp_path):
+    """Thousands of brackets: plans keep one size, and the default stack holds them."""
+    values = np.random.default_rng(3).normal(size=(20_000, 300))
+    frame = pd.DataFrame(values, columns=[f"c{i}" for i in range(300)])
+    frame.to_parquet(tmp_path / "wide.parquet")
+    ps = [i / 10 for i in range(1, 10)]
+    got = exact_quantiles(spark.read.parquet(str(tmp_path / "wide.parquet")), list(frame), ps)
+    for c in frame:
+        assert got[c] == np.quantile(frame[c].to_numpy(), ps, method="inverted_cdf").tolist()
+
+
 def test_order_statistics_at_a_border_of_hot_values(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "GRID", 20)
     values = [1.0] * 3000 + [1.5] + [2.0] * 3000 + [float("inf"), float("-inf")]
