@@ -284,8 +284,9 @@ def test_classification_run(spark, raw, tmp_path):
     new = raw.filter("id < 50")
     assert [r["prediction"] for r in loaded.transform(new).orderBy("id").collect()] == [
         r["prediction"] for r in result.best.model.transform(new).orderBy("id").collect()]
-    path = result.write_feature_group(result.best, "toy", F.lit(7), F.col("id"))
+    path = result.write_feature_group(result.best, "toy", F.lit(7))  # the id of a record is the run's key
     rows = spark.read.parquet(path)
+    assert {int(r["toyID"]) for r in rows.collect()} == {r["id"] for r in result.frame.raw_train.select("id").collect()}
     assert rows.columns[:2] == ["toyID", "EventTime"] and rows.count() == result.frame.raw_train.count()
     defined = spark.read.parquet(str(tmp_path / "feature_definitions")).orderBy("position").collect()
     assert {r["feature"] for r in defined} == set(rows.columns)
