@@ -11,25 +11,37 @@ further rounds.  A block is a run of aligned lines that are neighbours in both d
 more are deleted from the later document.  The first occurrence of a line is never deleted, since the owner of a
 line has no earlier document to share it with.
 
+Passages that begin or end inside a line are found by words, whatever the line breaks: every run of ``passage`` words that
+an earlier document has too is deleted, word for word.  A run has a fingerprint, the least hash of the half as long runs
+in it, which is the same for most neighbouring runs; only runs whose fingerprint is in two documents are compared, by 128 bits.
+
 Only hashes and positions of shared lines are shuffled, and of these only lines that both documents of a pair have come
-to the aligner; the texts move once, when the lines are taken out.  Pairs of a common owner are split by the adaptive
-skew join.
+to the aligner; the texts move twice, to the fingerprints that are shared and when lines and words are taken out.  Pairs of a
+common owner are split by the adaptive skew join.
 
 Edge cases: NULL and empty texts have no lines and stay as they are; rows of one doc_id are one document and don't
 deduplicate each other; NULL ids take no part and stay as they are; texts without deletions stay as they are, byte for byte; in
-others the lines left are joined by line feeds; an empty table gives an empty result.
+others the lines left are joined by line feeds, and what is left around words taken out of a line by a blank; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import WORD, in_arrow, table, written
+from tabloom.llm.common import WORD, in_arrow, mix, pieces, table, word_hashes, words, written
+
+_WORDS = re.compile(WORD)
+#: Odd bases of the two hashes of a run of words.
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def lines_of(text: str) -> Column:
@@ -104,16 +116,16 @@ def deleted_lines(first: list[tuple], later: list[tuple], least_words: int) -> l
 
 
 def deletions(docs: DataFrame, least_words: int) -> DataFrame:
-    """doc_id and ``gone``, the sorted places of its deleted lines, of documents that lose any."""
+    """doc_id, version and ``gone``, the sorted places of its deleted lines, of documents (doc_id, version, text) that lose any."""
     line = F.trim(F.col("line"))
-    lines = (docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(lines_of("text")).alias("at", "line"))
-             .select("doc_id", "at", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"),
+    lines = (docs.select("doc_id", "version", F.posexplode(lines_of("text")).alias("at", "line"))
+             .select("doc_id", "version", "at", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"),
                      F.regexp_count("line", F.lit(WORD)).alias("w")))
     lines = written(lines, "lines")
     shared = (lines.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
               .filter("owner <> last").drop("last"))
     marked = written(lines.join(shared, ["h", "g"]), "shared-lines")
-    ordered = written(marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "h", "g", "w"))).alias("seq")),
+    ordered = written(marked.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("at", "h", "g", "w"))).alias("seq")),
                       "shared-sequences")
     pairs = marked.filter("doc_id <> owner").select("doc_id", "owner").distinct()
     both = (pairs.join(ordered, "doc_id")
@@ -128,26 +140,160 @@ def deletions(docs: DataFrame, least_words: int) -> DataFrame:
         for batch in batches:
             gone = [deleted_lines(*([(x["at"], (x["h"], x["g"]), x["w"]) for x in s] for s in pair), least_words)
                     for pair in zip(batch.column("first").to_pylist(), batch.column("seq").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(gone, pa.list_(pa.int32()))],
-                                             ["doc_id", "gone"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(gone, pa.list_(pa.int32()))],
+                                             ["doc_id", "version", "gone"])
 
-    found = in_arrow(both.select("doc_id", "first", "seq"), run, f"doc_id {kind}, gone array<int>")
-    return (found.filter(F.size("gone") > 0).groupBy("doc_id")
+    found = in_arrow(both.select("doc_id", "version", "first", "seq"), run, f"doc_id {kind}, version long, gone array<int>")
+    return (found.filter(F.size("gone") > 0).groupBy("doc_id", "version")
             .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")))
 
 
-def deduplicated(docs: DataFrame, least_words: int = 10) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with text without the deleted lines, n_lines before and n_deleted."""
-    gone = deletions(docs.select("doc_id", "text"), least_words).select(F.col("doc_id").alias("_id"), "gone")
+def grams(h: np.ndarray, base: int, n: int) -> np.ndarray:
+    """Hashes of the runs of n words, at each word that begins one; by doubling."""
+    def longer(a: np.ndarray, m: int, b: np.ndarray, k: int) -> np.ndarray:
+        size = max(0, len(h) - m - k + 1)
+        return a[:size] * np.uint64(pow(base, k, 1 << 64)) + b[m:m + size]
+
+    out, m, power, k = h, 0, h, 1
+    while n:
+        if n & 1:
+            out, m = (longer(out, m, power, k), m + k) if m else (power, k)
+        n >>= 1
+        power, k = longer(power, k, power, k), 2 * k
+    return out
+
+
+def least(h: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n neighbours."""
+    k = 1
+    while 2 * k <= n:
+        h, k = np.minimum(h[:max(0, len(h) - k)], h[k:]), 2 * k
+    return np.minimum(h[:max(0, len(h) - n + k)], h[n - k:])
+
+
+def fingerprints(starts: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, prints): ``prints[i]`` names the run of n words at i by the least hash of the runs of n / 2 words in it, so equal
+    runs have equal prints and neighbouring runs mostly the same; those of text i that lie within it are at
+    ``first[i]`` and on."""
+    prints = least(mix(grams(hashes, BASES[0], n // 2)), n - n // 2 + 1).view(np.int64)
+    return np.minimum(np.maximum(np.diff(starts) - n + 1, 0), len(prints)), prints
+
+
+def passages(docs: DataFrame, gone: DataFrame, passage: int) -> DataFrame:
+    """doc_id, version and ``runs``: the words at which a run of ``passage`` words begins that an earlier document has too.
+
+    Exact: a run is compared by 128 bits of hash once its fingerprint is known to be in two documents."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                starts, codes, distinct = words(piece.column("text"), lower=False)
+                counts, prints = fingerprints(starts, word_hashes(distinct)[codes], passage)
+                of = [np.unique(prints[s:s + n]) for s, n in zip(starts, counts)]
+                some = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id").take(pa.array(some)), piece.column("version").take(pa.array(some)),
+                     pa.array([of[i] for i in some], pa.list_(pa.int64()))], ["doc_id", "version", "prints"])
+
+    prints = written(in_arrow(docs, printed, f"doc_id {kind}, version long, prints array<long>"), "prints")
+    prints = prints.select("doc_id", "version", F.explode("prints").alias("print"))
+    shared = (prints.groupBy("print").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+              .filter("owner <> last").select("print"))
+    hits = prints.join(shared, "print").groupBy("doc_id", "version").agg(F.collect_set("print").alias("prints"))
+    asked = docs.join(hits, ["doc_id", "version"]).join(gone, ["doc_id", "version"], "left").select(
+        "doc_id", "version", "text", "prints", "gone")
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                starts, codes, distinct = words(piece.column("text"), lower=False)
+                hashes = word_hashes(distinct)[codes]
+                counts, prints = fingerprints(starts, hashes, passage)
+                found = []
+                for i, (s, n) in enumerate(zip(starts, counts)):
+                    wanted = np.isin(prints[s:s + n], piece.column("prints")[i].values.to_numpy())
+                    if n and piece.column("gone")[i].is_valid:  # runs of deleted lines alone are settled
+                        lost = np.concatenate([[0], np.cumsum(words_gone(piece.column("text")[i].as_py(),
+                                                                         piece.column("gone")[i].as_py()))])
+                        wanted &= lost[passage:passage + n] - lost[:n] < passage
+                    found.append(np.flatnonzero(wanted))
+                row, at = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([*found, np.zeros(0, np.int64)])
+                keys = [grams(hashes, base, passage)[starts[row] + at].view(np.int64) for base in BASES]
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id").take(rows), piece.column("version").take(rows), pa.array(at, pa.int32()),
+                     *map(pa.array, keys)], ["doc_id", "version", "at", "h", "g"])
+
+    runs = written(in_arrow(asked, candidates, f"doc_id {kind}, version long, at int, h long, g long"), "runs")
+    first = (runs.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+             .filter("owner <> last").drop("last"))
+    return (runs.join(first, ["h", "g"]).filter("doc_id <> owner").groupBy("doc_id", "version")
+            .agg(F.sort_array(F.collect_list("at")).alias("runs")))
+
+
+def words_gone(text: str, gone: list[int]) -> np.ndarray:
+    """For each word of a text whether it stands in a deleted line."""
+    counts = [n for n in (len(x.split()) for x in text.encode().split(b"\n")) if n]
+    lost = np.zeros(len(counts), bool)
+    lost[gone] = True
+    return np.repeat(lost, counts)
+
+
+def without(text: str, gone: list[int], runs: list[int], passage: int) -> tuple[str, int]:
+    """The text without the deleted lines and the words of the deleted runs, and how many lines are left out as a whole."""
+    lost = words_gone(text, gone)
+    for i in runs:
+        lost[i:i + passage] = True
+    left, at, dropped = [], 0, 0
+    for line in text.split("\n"):
+        spans = [m.span() for m in _WORDS.finditer(line)]
+        keep, at = ~lost[at:at + len(spans)], at + len(spans)
+        if not spans:
+            continue
+        if keep.all():
+            left.append(line)
+        elif keep.any():
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]])))
+            left.append(" ".join(line[spans[a][0]:spans[b - 1][1]] for a, b in zip(edges[::2], edges[1::2])))
+        else:
+            dropped += 1
+    return "\n".join(left), dropped
+
+
+def deduplicated(docs: DataFrame, least_words: int = 10, passage: int = 50) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with text without the deleted lines and passages, n_lines before and
+    n_deleted, the lines of which nothing is left."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    lines = lines_of("text")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return (docs.select(*own).join(gone, F.col("doc_id") == F.col("_id"), "left")
-            .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)))
-            .withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-            .withColumn("n_deleted", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")))
-            .withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
-            .select(*own, "n_lines", "n_deleted"))
+    keyed = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
+    gone = written(deletions(keyed, least_words), "gone-lines")
+    runs = passages(keyed, gone, passage)
+    edits = gone.join(runs, ["doc_id", "version"], "full").select(
+        F.col("doc_id").alias("_id"), F.col("version").alias("_version"),
+        F.struct(*(F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in ("gone", "runs"))).alias("_edits"))
+    joined = docs.select(*own).join(
+        edits, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left")
+    lines = F.greatest(F.coalesce(F.size(lines_of("text")), F.lit(0)), F.lit(0))
+    joined = joined.withColumn("n_lines", lines).withColumn("n_deleted", F.lit(0)).select(*own, "n_lines", "n_deleted", "_edits")
+    schema = joined.drop("_edits").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edits = batch.column("_edits")
+            at = np.flatnonzero(edits.is_valid().to_numpy(zero_copy_only=False))
+            texts, dropped = batch.column("text"), np.zeros(batch.num_rows, np.int32)
+            if len(at):
+                new = []
+                for i in at:
+                    text, dropped[i] = without(texts[i].as_py(), *edits[i].as_py().values(), passage)
+                    new.append(text)
+                mask = np.zeros(batch.num_rows, bool)
+                mask[at] = True
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
+            columns = {c: batch.column(c) for c in schema.names} | {"text": texts, "n_deleted": pa.array(dropped)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return in_arrow(joined, run, schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

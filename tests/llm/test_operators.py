@@ -64,6 +64,15 @@ def test_line_dedup(docs, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def test_line_dedup_finds_passages_inside_lines(spark):
+    said = [f"said{i}" for i in range(60)]
+    rows = [(1, "head " + " ".join(said) + " tail"), (2, "x y " + " ".join(said[:25]) + "\n" + " ".join(said[25:]) + " z"),
+            (3, "q\n" + " ".join(said[:49]) + "\nr"), (3, "another text")]
+    got = {(r["doc_id"], r["text"]): r["n_deleted"] for r in line_dedup.deduplicated(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {rows[0]: 0, (2, "x y\nz"): 0, rows[2]: 0, rows[3]: 0}
+
+
 def test_classifiers(spark, docs, none):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (3, 0), (5, None), (77, 1)], "doc_id long, quality int")
     stats = quality.with_statistics(docs)
