@@ -64,6 +64,12 @@ def test_line_dedup(docs, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def test_line_dedup_takes_frequent_short_lines(spark):
+    rows = [(i, f"all rights are reserved here\nstory {i} of its own\nthe\nseldom said in five" + "!" * (i // 3)) for i in range(25)]
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {i: t if i == 0 else t.split("\n", 1)[1] for i, t in rows}
+
+
 def test_line_dedup_finds_passages_inside_lines(spark):
     said = [f"said{i}" for i in range(60)]
     rows = [(1, "head " + " ".join(said) + " tail"), (2, "x y " + " ".join(said[:25]) + "\n" + " ".join(said[25:]) + " z"),
