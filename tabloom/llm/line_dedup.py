@@ -1,24 +1,22 @@
-r"""Line deduplication by pairwise alignment.
+r"""Line deduplication by common blocks of lines, and of words.
 
 Lines that aren't blank are compared by 128 bits of hash, blanks at their ends apart.  The owner of a line is the
-document with the smallest id that has it.  A document that shares lines is paired with the owner of each of them, so a line
-gives at most one pair for each document that has it, however common it is: rare lines pair the documents that truly
-overlap, and common lines are dealt with in the same way instead of being dropped above some frequency.
+document with the smallest id that has it.  A block is a run of shared lines that are neighbours, in the same order, in two
+documents.  Blocks of ``least_words`` words or more are deleted from the later document, wherever and however often they stand
+in it.  They are found without choosing pairs of documents: every such block is made of runs with just so many words, from
+a line on or back from a line, and of all documents with such a run, told by its hash, the one with the smallest id keeps it.  So a
+block is found whatever else owns its lines, common lines need no pairs, and the cost is two short rows for each shared line.
 
-Each pair is aligned by patience diff over the lines that both have: lines that are unique in both and in the same
-order are anchors, and the stretches between anchors are aligned in turn; lines moved past an anchor are aligned in
-further rounds.  A block is a run of aligned lines that are neighbours in both documents.  Blocks of ``least_words`` words or
-more are deleted from the later document, and so are shorter lines that are frequent: the more words a line has, the fewer
-documents it takes (``frequent``).  Lines of one or two words go in blocks only.  The first occurrence of a line is never deleted, since the owner of a
-line has no earlier document to share it with.
+Shorter lines that are frequent are deleted from all documents but their owner: the more words a line has, the fewer documents
+it takes (``frequent``).  Lines of one or two words go in blocks only.  The first occurrence of a line is never deleted, since
+the owner of a line has no earlier document to share it with.
 
 Passages that begin or end inside a line are found by words, whatever the line breaks: every run of ``passage`` words that
 an earlier document has too is deleted, word for word.  A run has a fingerprint, the least hash of the half as long runs
 in it, which is the same for most neighbouring runs; only runs whose fingerprint is in two documents are compared, by 128 bits.
 
-Only hashes and positions of shared lines are shuffled, and of these only lines that both documents of a pair have come
-to the aligner; the texts move twice, to the fingerprints that are shared and when lines and words are taken out.  Pairs of a
-common owner are split by the adaptive skew join.
+Only hashes and positions of lines and runs are shuffled; the texts move twice, to the fingerprints that are shared and when
+lines and words are taken out.  Lines and runs of many documents are split by the adaptive skew join.
 
 Edge cases: NULL and empty texts have no lines and stay as they are; rows of one doc_id are one document and don't
 deduplicate each other; NULL ids take no part and stay as they are; texts without deletions stay as they are, byte for byte; in
@@ -36,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabloom.llm.common import WORD, in_arrow, mix, pieces, table, word_hashes, words, written
@@ -96,7 +95,8 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def deleted_lines(first: list[tuple], later: list[tuple], least_words: int) -> list[int]:
-    """Places of the later document's lines in common blocks; entries are (place, line, words) in order of place."""
+    """Places of the later document's lines in common blocks of one pair, by patience diff: the plain form that the tests hold
+    the blocks of all documents against.  Entries are (place, line, words) in order of place."""
     gone = []
     while first and later:
         aligned = patience([x[1] for x in first], [x[1] for x in later])
@@ -116,6 +116,27 @@ def deleted_lines(first: list[tuple], later: list[tuple], least_words: int) -> l
     return gone
 
 
+def blocks(seq: list[tuple], least_words: int) -> set[tuple[int, int, int, int]]:
+    """(place, lines, hash, other hash) of the least runs of neighbouring lines that have ``least_words`` words, from each line on
+    and back from each line: a common block of so many words is made of such runs.  Entries are (place, line, words)."""
+    out = set()
+    for step in (1, -1):
+        lines = seq[::step]
+        words_, stop = 0, 0
+        for i, (at, _, w) in enumerate(lines):
+            if stop <= i:
+                words_, stop = w, i + 1
+            while words_ < least_words and stop < len(lines) and lines[stop][0] == lines[stop - 1][0] + step:
+                words_, stop = words_ + lines[stop][2], stop + 1
+            if words_ >= least_words:
+                run = lines[i:stop][::step]
+                names = np.array([x[1] for x in run], np.int64).tobytes()
+                h, g = (int(np.uint64(xxhash.xxh3_64_intdigest(names, seed)).astype(np.int64)) for seed in (0, 1))
+                out.add((run[0][0], len(run), h, g))
+            words_ -= w
+    return out
+
+
 def frequent(words: Column, documents: Column) -> Column:
     """Whether a line goes by itself: of three words or more, in more documents the shorter it is (34 for three words, 20 for
     five, 12 for nine)."""
@@ -132,28 +153,29 @@ def deletions(docs: DataFrame, least_words: int) -> DataFrame:
     shared = (lines.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.count_distinct("doc_id").alias("n"))
               .filter("n > 1"))
     marked = written(lines.join(shared, ["h", "g"]), "shared-lines")
-    ordered = written(marked.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("at", "h", "g", "w"))).alias("seq")),
-                      "shared-sequences")
-    pairs = marked.filter("doc_id <> owner").select("doc_id", "owner").distinct()
-    both = (pairs.join(ordered, "doc_id")
-            .join(ordered.select(F.col("doc_id").alias("owner"), F.col("seq").alias("first")), "owner"))
-    common = F.array_intersect(F.transform("seq", lambda x: x.h), F.transform("first", lambda x: x.h))
-    both = both.withColumn("common", common)
-    for c in ("seq", "first"):
-        both = both.withColumn(c, F.filter(c, lambda x: F.array_contains("common", x.h)))
+    sequences = marked.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("at", "h", "g", "w"))).alias("seq"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [deleted_lines(*([(x["at"], (x["h"], x["g"]), x["w"]) for x in s] for s in pair), least_words)
-                    for pair in zip(batch.column("first").to_pylist(), batch.column("seq").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(gone, pa.list_(pa.int32()))],
-                                             ["doc_id", "version", "gone"])
-
-    found = in_arrow(both.select("doc_id", "version", "first", "seq"), run, f"doc_id {kind}, version long, gone array<int>")
+            found = []
+            for i, seq in enumerate(batch.column("seq").to_pylist()):
+                found += [(i, *x) for x in blocks([(x["at"], (x["h"], x["g"]), x["w"]) for x in seq], least_words)]
+            row, first, size, h, g = zip(*found) if found else [()] * 5
+            rows = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(rows), batch.column("version").take(rows), pa.array(first, pa.int32()),
+                 pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64())],
+                ["doc_id", "version", "at", "size", "h", "g"])
+
+    found = written(in_arrow(sequences, run, f"doc_id {kind}, version long, at int, size int, h long, g long"), "blocks")
+    first = (found.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+             .filter("owner <> last").drop("last"))
+    later = (found.join(first, ["h", "g"]).filter("doc_id <> owner").groupBy("doc_id", "version")
+             .agg(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("size") - 1))).alias("gone")))
     alone = (marked.filter((F.col("doc_id") != F.col("owner")) & frequent(F.col("w"), F.col("n")))
              .groupBy("doc_id", "version").agg(F.collect_list("at").alias("gone")))
-    return (found.filter(F.size("gone") > 0).unionByName(alone).groupBy("doc_id", "version")
+    return (later.unionByName(alone).groupBy("doc_id", "version")
             .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")))
 
 

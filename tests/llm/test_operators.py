@@ -64,6 +64,14 @@ def test_line_dedup(docs, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def test_line_dedup_finds_blocks_whatever_owns_their_lines(spark):
+    a, b = "one two three four five", "six seven eight nine ten"
+    rows = [(1, f"{a}\nfirst"), (2, f"second\n{b}"), (3, f"{a}\n{b}\nthird"), (4, f"fourth\n{a}\n{b}"), (4, f"fourth\n{a}\n{b}"),
+            (5, f"{b}\n{a}\nfifth")]
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [*rows[:3], (4, "fourth"), (4, "fourth"), rows[5]]
+
+
 def test_line_dedup_takes_frequent_short_lines(spark):
     rows = [(i, f"all rights are reserved here\nstory {i} of its own\nthe\nseldom said in five" + "!" * (i // 3)) for i in range(25)]
     out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
