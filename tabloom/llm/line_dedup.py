@@ -100,19 +100,18 @@ def deleted_lines(first: list[tuple], later: list[tuple], least_words: int) -> l
     gone = []
     while first and later:
         aligned = patience([x[1] for x in first], [x[1] for x in later])
-        if not aligned:
-            break
-        block: list[tuple] = []
+        found, block = set(), []
         for i, j in [*aligned, (None, None)]:
             if block and (i is None or first[i][0] != first[block[-1][0]][0] + 1 or later[j][0] != later[block[-1][1]][0] + 1):
                 if sum(later[y][2] for _, y in block) >= least_words:
-                    gone += [later[y][0] for _, y in block]
+                    found.update(y for _, y in block)
                 block = []
             block.append((i, j))
-        # Lines that stand in another order in the two documents are aligned in the next round.
-        used = {i for i, _ in aligned}, {j for _, j in aligned}
-        first = [x for i, x in enumerate(first) if i not in used[0]]
-        later = [x for j, x in enumerate(later) if j not in used[1]]
+        if not found:
+            break
+        # Blocks that moved or come again are aligned in the next round, against all lines of the first document.
+        gone += [later[j][0] for j in found]
+        later = [x for j, x in enumerate(later) if j not in found]
     return gone
 
 

@@ -72,6 +72,14 @@ def test_line_dedup_finds_blocks_whatever_owns_their_lines(spark):
     assert sorted((r["doc_id"], r["text"]) for r in out) == [*rows[:3], (4, "fourth"), (4, "fourth"), rows[5]]
 
 
+def test_line_dedup_takes_every_copy_of_a_block(spark):
+    rows = [(1, f"{PASSAGE}\ny"), (2, f"{PASSAGE}\nx\n{PASSAGE}")]
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["text"], r["n_deleted"]) for r in out} == {1: (rows[0][1], 0), 2: ("x", 2)}
+    lines = lambda text: [(i, c, 12) for i, c in enumerate(text)]
+    assert sorted(line_dedup.deleted_lines(lines("Py"), lines("PxP"), 10)) == [0, 2]
+
+
 def test_line_dedup_takes_frequent_short_lines(spark):
     rows = [(i, f"all rights are reserved here\nstory {i} of its own\nthe\nseldom said in five" + "!" * (i // 3)) for i in range(25)]
     out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
