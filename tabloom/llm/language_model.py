@@ -6,7 +6,9 @@ to (count of w + 1) / (all tokens + distinct tokens + 1).  Discounts for counts
 counts of each order.
 
 The corpus is dealt to shards by v, about ``shard_tokens`` tokens each; a word with more than half of that as v is split
-further by u, and stands then for as many contexts (v, class of u).  The number of shards follows the input.  Each shard
+further by u, and stands then for as many contexts (v, class of u); its pairs (v, w) are counted over all shards and sent to
+those that hold a class of it, and the counts of counts behind the discounts are sums over all shards, so neither the size of
+a shard nor their number changes a score.    The number of shards follows the input.  Each shard
 holds its part of the model as a trie: contexts v; under each v its successors w and its contexts u; under each
 (v, u) the successors, named by their rank among the successors of v.  The levels and the pointers between them are
 Elias-Fano sequences; log probabilities and the masses left over are 16-bit steps.  The levels lie in a file that is mapped
@@ -14,7 +16,8 @@ into memory.  A text's trigrams go to the shards, are looked up there by success
 document come back.
 
 Jobs: (1) tokens, and words that are frequent in a piece of text, of which the driver gets those that are to be split,
-at most two for each shard; (2) counts of all words, sent to the shards that need them; (3) trigrams to the shards, sums to the
+at most two for each shard; (2) counts of all words, and of the words
+after split words, sent to the shards that need them; (3) counts of counts of the trigrams that came to each shard; (4) trigrams to the shards, sums to the
 documents.  What is shuffled are compressed arrays, a row for each piece of text and shard.  Counts are exact but for equal
 56-bit hashes of different words.  A pair (u, v) isn't split, so one pair that makes up most of a corpus is one task.
 
@@ -258,9 +261,14 @@ def to_shards(docs: DataFrame, deal: Deal) -> DataFrame:
     return docs.mapInArrow(run, "shard int, piece long, data binary, head array<struct<id: string, held: boolean, n: long>>")
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
+def spectrum(counts: np.ndarray) -> np.ndarray:
+    """How many counts are 0, 1, 2, 3, 4, and more."""
+    return np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
     """Discounts of counts 0, 1, 2 and more, from the counts of counts."""
-    n = np.bincount(np.minimum(counts, 5), minlength=6).astype(float)
+    n = np.asarray(n, float)
     y = n[1] / max(n[1] + 2 * n[2], 1)
     d = [0.0]
     for k, (least, most) in enumerate(((0.3, 0.98), (0.5, 1.95), (0.7, 2.9)), 1):
@@ -277,19 +285,55 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray
     return np.unique(a * width + b, return_inverse=True)
 
 
+class Split:
+    """Pairs (v, w) of the split words v that have contexts in a shard, counted over all shards.  By pair: context, word and count,
+    of the words of the shard; by context in order: all tokens, and the successors with counts 0, 1, 2 and more."""
+
+    def __init__(self, deal: Deal, names: np.ndarray, present: np.ndarray, tables: dict[int, list[tuple[np.ndarray, np.ndarray]]]):
+        first = len(names) + np.cumsum(deal.ways.astype(np.int64)) - deal.ways.astype(np.int64)
+        self.contexts = present[present >= len(names)]
+        number = np.searchsorted(first, self.contexts, "right") - 1
+        self.begin = self.contexts[deal.hot[number] == BEGIN]
+        self.begin_word = int(np.searchsorted(names, BEGIN))
+        self.total = np.zeros(len(self.contexts), np.int64)
+        self.classes = np.zeros((len(self.contexts), 4))
+        parts = [(np.zeros(0, np.int64),) * 3]
+        for i, (context, n) in enumerate(zip(self.contexts, number)):
+            for h, c in tables.get(int(n), []):
+                self.total[i] += c.sum()
+                self.classes[i] += np.bincount(np.minimum(c, 3), minlength=4)
+                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                here = names[at] == h
+                parts.append((np.full(int(here.sum()), context), at[here], c[here]))
+        self.context, self.word, self.count = (np.concatenate(x) for x in zip(*parts))
+
+
 class Trie:
     """The model of the contexts of a shard, from its distinct trigrams in order of (v, u, w) and their counts; tokens and
     contexts are numbers of the shard."""
 
     def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, times: np.ndarray, n_contexts: int, n_words: int,
-                 p1: np.ndarray):
+                 p1: np.ndarray, d2: np.ndarray, d3: np.ndarray, split: "Split"):
         self.words = n_words
-        pair, at = distinct_pairs(v, w, n_words)
+        if len(split.begin):  # of split beginnings all trigrams are known from their pairs
+            mine = ~np.isin(v, split.begin)
+            of = np.isin(split.context, split.begin)
+            v, u, w, times = (np.concatenate([x[mine], y]) for x, y in (
+                (v, split.context[of]), (u, np.full(int(of.sum()), split.begin_word)), (w, split.word[of]), (times, split.count[of])))
+            order = np.lexsort((w, u, v))
+            v, u, w, times = v[order], u[order], w[order], times[order]
+        known = split.context * n_words + split.word
+        pair = np.union1d(v * n_words + w, known)
+        at = np.searchsorted(pair, v * n_words + w)
         counts = np.bincount(at, times, len(pair)).astype(np.int64)
+        counts[np.searchsorted(pair, known)] = split.count
         of = pair // n_words
         total = np.bincount(of, counts, n_contexts)
-        d = discounts(counts)[np.minimum(counts, 3)]
-        left = np.bincount(of, d, n_contexts) / np.maximum(total, 1)
+        total[split.contexts] = split.total
+        d = d2[np.minimum(counts, 3)]
+        kept = np.bincount(of, d, n_contexts)
+        kept[split.contexts] = split.classes @ d2
+        left = kept / np.maximum(total, 1)
         p2 = (counts - d) / total[of] + left[of] * p1[pair % n_words] if len(pair) else np.zeros(0)
         pointers = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n_contexts))])
         rank = at - pointers[v]  # of w among the successors of v
@@ -299,10 +343,14 @@ class Trie:
         triple = node * width + rank  # in order: the rank grows with w
         of3 = node
         total3 = np.bincount(of3, times, len(outer))
-        d3 = discounts(times)[np.minimum(times, 3)]
-        left3 = np.bincount(of3, d3, len(outer)) / np.maximum(total3, 1)
+        d = d3[np.minimum(times, 3)]
+        kept3 = np.bincount(of3, d, len(outer))
+        begins = np.flatnonzero(np.isin(outer // n_words, split.begin))
+        place = np.searchsorted(split.contexts, outer[begins] // n_words)
+        total3[begins], kept3[begins] = split.total[place], (split.classes @ d3)[place]
+        left3 = kept3 / np.maximum(total3, 1)
         lower = p2[pointers[outer[of3] // n_words] + triple % width] if len(triple) else np.zeros(0)
-        p3 = (times - d3) / total3[of3] + left3[of3] * lower if len(triple) else np.zeros(0)
+        p3 = (times - d) / total3[of3] + left3[of3] * lower if len(triple) else np.zeros(0)
 
         self.width, self.known = width, total > 0
         self.next = EliasFano(pair, n_contexts * n_words + 1)          # successors of v
@@ -346,17 +394,44 @@ class Trie:
         return out
 
 
-def shard_sums(deal: Deal, n_learnt: int, n_distinct: int):
-    """The grouped function of the shards: builds the trie of a shard and scores all its trigrams."""
-    floor = np.log10(n_learnt + n_distinct + 1)
+def split_pairs(docs: DataFrame, deal: Deal) -> DataFrame:
+    """(number, data, n0 to n5): training counts of the words after each split word, in a few buckets, and their counts of counts."""
+    buckets = min(16, deal.shards)
 
-    def run(dealt: pa.Table, counted: pa.Table) -> pa.Table:
-        hashes, counts = [], []
-        for data in counted.column("data").to_pylist():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, piece in _numbered(batches):
+            hashes, w, starts, row = trigrams(piece.column("text"))
+            at, number = deal.split_at(hashes, before(hashes, w, starts, 1))
+            mine = _learns(piece)[row[at]]
+            pair, counts = np.unique(number[mine].astype(np.int64) * len(hashes) + w[at[mine]], return_counts=True)
+            number, h = pair // len(hashes), hashes[pair % len(hashes)]
+            group = number * buckets + (mix(h) % np.uint64(buckets)).astype(np.int64)
+            groups = np.unique(group)
+            data = [packed([len(p)], steps_of(h[p]), counts[p]) for p in (np.flatnonzero(group == g) for g in groups)]
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        parts = []
+        for data in group.column("data").to_pylist():
             n, = heads(data, 1)
             h, c = unpacked(data, 1, (np.uint64, n), (np.int64, n))
-            hashes.append(np.cumsum(h, dtype=np.uint64)), counts.append(c)
-        parts, dictionaries, learnt, numbers = [], [], [], dealt.column("piece").to_pylist()
+            parts.append((np.cumsum(h, dtype=np.uint64), c))
+        h, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        c = np.bincount(of, np.concatenate([p[1] for p in parts]), len(h)).astype(np.int64)
+        number = group.column("bucket")[0].as_py() // buckets
+        return pa.table({"number": pa.array([number], pa.int32()), "data": [packed([len(h)], steps_of(h), c)],
+                         "spectrum": pa.array([spectrum(c).tolist()], pa.list_(pa.int64())),
+                         "begins": [bool(deal.hot[number] == BEGIN)]})
+
+    return docs.mapInArrow(run, "bucket long, data binary").groupBy("bucket").applyInArrow(
+        summed, "number int, data binary, spectrum array<long>, begins boolean")
+
+
+class Dealt:
+    """The trigrams that came to a shard: (context, u, w) in numbers of the shard, and the rows they are of."""
+
+    def __init__(self, deal: Deal, dealt: pa.Table):
+        parts, dictionaries, learnt = [], [], []
         for data in dealt.column("data").to_pylist():
             n, used, size, row_size, rows = heads(data, 5)
             kinds = {2: np.uint16, 4: np.uint32}
@@ -366,39 +441,84 @@ def shard_sums(deal: Deal, n_learnt: int, n_distinct: int):
             own[1] = np.cumsum(own[1], dtype=own[1].dtype)
             parts.append((own, np.cumsum(row, dtype=row.dtype)))
             learnt.append(np.unpackbits(bits, count=rows).astype(bool))
-        if not parts:
-            return pa.table({"piece": pa.array([], pa.int64()), "data": pa.array([], pa.binary()),
-                             "head": pa.array([], dealt.schema.field("head").type)})
-        names = np.unique(np.concatenate(dictionaries))
-        codes = [np.searchsorted(names, d).astype(np.int32) for d in dictionaries]
-        u, v, w = (np.concatenate([c[p[i]] for c, (p, _) in zip(codes, parts)]) for i in range(3))
+        self.names = np.unique(np.concatenate(dictionaries))
+        codes = [np.searchsorted(self.names, d).astype(np.int32) for d in dictionaries]
+        u, v, self.w = (np.concatenate([c[p[i]] for c, (p, _) in zip(codes, parts)]) for i in range(3))
         row = np.concatenate([r for _, r in parts]).astype(np.int32)
-        first = np.concatenate([[0], np.cumsum([len(x) for x in learnt])])
-        doc = row + np.repeat(first[:-1], [len(r) for _, r in parts])
-        trains = np.concatenate(learnt)[doc]
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in learnt])])
+        self.doc = row + np.repeat(self.first[:-1], [len(r) for _, r in parts])
+        trains = np.concatenate(learnt)[self.doc]
         del parts, dictionaries, codes
+        context, self.n_contexts = deal.contexts(self.names, v, u, row)
+        outer, node = distinct_pairs(context, u, len(self.names))
+        triple, self.at = distinct_pairs(node, self.w, len(self.names))
+        del context, node, u, v, row
+        #: By distinct trigram: (context, u) as one number, w, and how often it was learnt.
+        self.times = np.bincount(self.at[trains], minlength=len(triple))
+        self.pair, self.w3 = outer[triple // len(self.names)], triple % len(self.names)
+
+
+def shard_spectra(deal: Deal):
+    """The grouped function that gives the counts of counts of a shard's pairs and trigrams; pairs of split words, and trigrams of
+    split beginnings, are in more shards and left to ``split_pairs``."""
+    def run(group: pa.Table) -> pa.Table:
+        held = Dealt(deal, group)
+        n, known = len(held.names), held.times > 0
+        context, w, times = held.pair[known] // n, held.w3[known], held.times[known]
+        whole = context < n
+        _, at = distinct_pairs(context[whole], w[whole], n)
+        pairs = spectrum(np.bincount(at, times[whole]))
+        begins = np.isin(context, Split(deal, held.names, np.unique(context), {}).begin)
+        return pa.table({f"{k}{i}": [int(x)] for k, all_ in (("p", pairs), ("t", spectrum(times[~begins]))) for i, x in enumerate(all_)})
+
+    return run
+
+
+SPECTRA = [f"{k}{i}" for k in "pt" for i in range(6)]
+
+
+def shard_sums(deal: Deal, n_learnt: int, n_distinct: int):
+    """The grouped function of the shards: builds the trie of a shard and scores all its trigrams."""
+    floor = np.log10(n_learnt + n_distinct + 1)
+
+    def run(dealt: pa.Table, counted: pa.Table) -> pa.Table:
+        numbers = dealt.column("piece").to_pylist()
+        if not numbers:
+            return pa.table({"piece": pa.array([], pa.int64()), "data": pa.array([], pa.binary()),
+                             "head": pa.array([], dealt.schema.field("head").type)})
+        hashes, counts, tables, spectra = [], [], {}, np.zeros(12)
+        for number, data, of in zip(*(counted.column(c).to_pylist() for c in ("number", "data", "spectra"))):
+            if of is not None:
+                spectra += of
+                continue
+            n, = heads(data, 1)
+            h, c = unpacked(data, 1, (np.uint64, n), (np.int64, n))
+            h = np.cumsum(h, dtype=np.uint64)
+            if number >= 0:
+                tables.setdefault(number, []).append((h, c))
+            else:
+                hashes.append(h), counts.append(c)
+        held = Dealt(deal, dealt)
+        names, w, at, times, pair, w3 = held.names, held.w, held.at, held.times, held.pair, held.w3
         count = np.zeros(len(names), np.int64)  # of the words that are predicted here
         if hashes:
             h, c = np.concatenate(hashes), np.concatenate(counts)
             order = np.argsort(h)
-            at = np.minimum(np.searchsorted(h[order], names), len(h) - 1)
-            count = np.where(h[order][at] == names, c[order][at], 0)
+            place = np.minimum(np.searchsorted(h[order], names), len(h) - 1)
+            count = np.where(h[order][place] == names, c[order][place], 0)
         log_p1 = np.log10(count + 1.0) - floor
-        context, n_contexts = deal.contexts(names, v, u, row)
-        outer, node = distinct_pairs(context, u, len(names))
-        triple, at = distinct_pairs(node, w, len(names))
-        del context, node, u, v, row
-        times = np.bincount(at[trains], minlength=len(triple))
-        pair, w3 = outer[triple // len(names)], triple % len(names)
-        del triple
         known = np.flatnonzero(times)
-        trie = Trie(pair[known] // len(names), pair[known] % len(names), w3[known], times[known], n_contexts, len(names), 10 ** log_p1)
+        split = Split(deal, names, np.unique(pair // len(names)), tables)
+        trie = Trie(pair[known] // len(names), pair[known] % len(names), w3[known], times[known], held.n_contexts, len(names),
+                    10 ** log_p1, discounts(spectra[:6]), discounts(spectra[6:]), split)
+        del tables, split
         trie.mapped()
         score = np.empty(len(w3))
         for i in range(0, len(w3), 1 << 18):
             now = slice(i, i + (1 << 18))
             score[now] = trie.log10(pair[now] // len(names), pair[now] % len(names), w3[now], log_p1[w3[now]])
         score = score[at]
+        doc, first = held.doc, held.first
         total = int(first[-1])
         found = np.bincount(doc, minlength=total)
         sums = [np.bincount(doc, x, total) for x in (score, log_p1[w], count[w] > 0)]
@@ -417,14 +537,33 @@ def scored(docs: DataFrame, held: Column, shard_tokens: int = 2_000_000) -> Data
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
     batches_of(docs.sparkSession, 2 * PIECE)  # whole pieces: a row for each piece and shard is shuffled
-    often = frequent(docs)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    often = frequent(docs, max(512, 4 * size // shard_tokens))  # words of two bytes: 8 for each shard at most
     tokens, learnt = often.filter("h is null").select(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("learnt"), F.lit(0))).first()
     limit = shard_tokens // 2
     split = {r[0] & 0xFFFFFFFFFFFFFFFF: -(-r[1] // limit) for r in often.filter(F.col("h").isNotNull() & (F.col("n") > limit)).collect()}
     deal = Deal(max(1, -(-tokens // shard_tokens)), split)
     counts = written(word_counts(word_needs(docs, deal)), "word-counts")
     distinct = counts.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
-    sums = (to_shards(docs, deal).groupBy("shard").cogroup(counts.filter("shard >= 0").groupBy("shard"))
+    dealt = to_shards(docs, deal)
+    spark, nothing = docs.sparkSession, F.lit(None).cast("binary")
+    spectra = dealt.groupBy("shard").applyInArrow(shard_spectra(deal), ", ".join(f"{c} long" for c in SPECTRA))
+    sent = counts.filter("shard >= 0").select("shard", F.lit(-1).alias("number"), "data", F.lit(None).cast("array<long>").alias("spectra"))
+    if split:
+        pairs = written(split_pairs(docs, deal), "split-pairs")
+        to = {(i, int(s)) for i, (h, n) in enumerate(zip(deal.hot, deal.ways))
+              for s in deal.shard(h + np.uint64(1) + np.arange(int(n), dtype=np.uint64))}
+        holders = spark.createDataFrame(sorted(to), "number int, shard int")
+        sent = sent.unionByName(pairs.join(F.broadcast(holders), "number").select(
+            "shard", "number", "data", F.lit(None).cast("array<long>").alias("spectra")))
+        spectra = spectra.unionByName(pairs.select(
+            *(F.col("spectrum")[i].alias(f"p{i}") for i in range(6)),
+            *(F.when(F.col("begins"), F.col("spectrum")[i]).otherwise(0).alias(f"t{i}") for i in range(6))))
+    spectra = spectra.agg(F.array(*(F.coalesce(F.sum(c), F.lit(0)) for c in SPECTRA)).alias("spectra"))
+    everywhere = spark.range(deal.shards).select(F.col("id").cast("int").alias("shard"))
+    sent = sent.unionByName(everywhere.crossJoin(F.broadcast(spectra)).select(
+        "shard", F.lit(-1).alias("number"), nothing.alias("data"), "spectra"))
+    sums = (dealt.groupBy("shard").cogroup(sent.groupBy("shard"))
             .applyInArrow(shard_sums(deal, learnt, distinct),
                           "piece long, data binary, head array<struct<id: string, held: boolean, n: long>>"))
 

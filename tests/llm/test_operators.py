@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,18 @@ def test_language_model(docs, none):
     assert language_model.scored(none, held).count() == 0
 
 
+def test_language_model_does_not_depend_on_shards(spark):
+    rng = np.random.default_rng(4)
+    names = np.array(["the", "of", *(f"n{i}" for i in range(60))])
+    share = np.r_[0.3, 0.1, np.full(60, 0.01)]
+    rows = [(i, " ".join(rng.choice(names, int(rng.integers(1, 60)), p=share))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, few, many = ({r["doc_id"]: r["score"] for r in language_model.scored(docs, F.col("doc_id") % 7 == 2, n).collect()}
+                      for n in (4_000_000, 3_000, 200))
+    for got in (few, many):  # scores are sums of steps of 1/2048
+        assert max(abs(got[i] - one[i]) for i in one) < 0.02
+
+
 def test_packing(docs, none):
     import public_tokenizers
 
