@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.operators.assemble import FEATURES, assembler, slot_map
 from tabloom.operators.evaluate import CLASSIFICATION, MULTICLASS, REGRESSION, evaluate, make_evaluator
-from tabloom.operators.learners import LEARNERS, Setting
+from tabloom.operators.learners import LEARNERS, RACES, Setting
 from tabloom.operators.partitions import spread
 from tabloom.operators.scoring import LearnerScorer, MomentScorer, subset_scorer
 from tabloom.operators.search import cross_validate, grid_scores, grid_search, param_grid, tune
@@ -213,7 +213,7 @@ _BAYES_SQL = f"""WITH {LABELLED_SQL},
 
 
 def multiclass(spark, sf) -> DataFrame:
-    """Ten classes of embeddings: two learners, evaluated by F1 on held-out vectors."""
+    """Ten classes of embeddings: the race and naive Bayes, evaluated by F1 on held-out vectors."""
     df = load_table(spark, sf, "embeddings").select(
         "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias(FEATURES),
         F.col("label").cast("double").alias("label"))
@@ -223,7 +223,7 @@ def multiclass(spark, sf) -> DataFrame:
     try:
         width = slot_map(train, [FEATURES]).width
         rows = []
-        for name in ("logistic_regression", "naive_bayes"):
+        for name in (*RACES[MULTICLASS], "naive_bayes"):
             model = LEARNERS[name].estimator(Setting(width=width, classes=10)).fit(train)
             rows.append((name, evaluate(model.transform(test), evaluator).value))
     finally:
@@ -328,17 +328,18 @@ _FOLDS_SQL = f"""WITH {LABELLED_SQL}, parts AS (SELECT demand AS y, l_quantity A
   UNION ALL SELECT false, round(avg(without_a), 5) FROM errors"""
 
 
-def _grid(name: str) -> Callable:
-    """Single-split search over the learner's own grid."""
+def _grid(name: str, method: str = "single_split") -> Callable:
+    """Search over the learner's own grid."""
     def query(spark: SparkSession, sf: str) -> DataFrame:
         frame, _, _ = _search_frames(spark, sf, "flagged")
         try:
             setting = Setting(width=len(_CANDIDATES), non_negative=True)
             model, held_out = grid_search(frame, LEARNERS[name], setting, make_evaluator(MULTICLASS, "f1"), LINE_KEYS,
-                                          "single_split")
+                                          method)
         finally:
             frame.unpersist()
-        rows = grid_scores(model.getEstimatorParamMaps(), model.validationMetrics)
+        scores = model.validationMetrics if method == "single_split" else model.avgMetrics
+        rows = grid_scores(model.getEstimatorParamMaps(), scores)
         return spark.createDataFrame([(p, s, held_out.value) for p, s in rows],
                                      "params string, score double, best_on_held_out double")
     return query
@@ -346,31 +347,39 @@ def _grid(name: str) -> Callable:
 
 # --- whole runs
 
-def _job(label: str, task: str, learners: tuple[str, ...], budget: Budget = Budget(2, 1, 3, 3), **settings) -> AutoML:
+def _job(label: str, task: str, budget: Budget = Budget.of(3), **settings) -> AutoML:
+    """A run of the whole race, with the budget and the polynomial degree of the library."""
     other = "demand" if label == "flagged" else "flagged"
-    plan = AutoFeatures(label, ignore=(other, *LINE_KEYS), budget=2, degree=2, seed=3)
-    return AutoML(label, task, budget=budget, learners=learners, keys=tuple(LINE_KEYS), features=plan, seed=3, **settings)
+    plan = AutoFeatures(label, ignore=(other, *LINE_KEYS), budget=budget.generation, seed=3)
+    return AutoML(label, task, budget=budget, keys=tuple(LINE_KEYS), features=plan, seed=3, **settings)
 
 
-def _run(label: str, task: str, *learners: str, budget: Budget = Budget(2, 1, 3, 3)) -> Callable:
+def _run(label: str, task: str) -> Callable:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return _board_of(_job(label, task, learners, budget).run(labelled_lineitem(spark, sf)))
+        return _board_of(_job(label, task).run(labelled_lineitem(spark, sf)))
     return query
 
 
 def _board_of(result: AutoMLResult) -> DataFrame:
-    return results.ranked(result.leaderboard()).select(
+    """The learners by rank, then those that failed, with the reason."""
+    board = results.ranked(result.leaderboard()).select(
         "algorithm", "metric", "larger_is_better", "score", F.array_join("features", ",").alias("features"),
-        F.to_json("params").alias("params"))
+        F.to_json("params").alias("params"), F.lit(None).cast("string").alias("failure"))
+    return board.unionByName(_failures(board.sparkSession, result, "algorithm"), allowMissingColumns=True)
+
+
+def _failures(spark: SparkSession, result: AutoMLResult, name: str) -> DataFrame:
+    return spark.createDataFrame(sorted(result.failures.items()), f"{name} string, failure string")
 
 
 def baseline_vs_tuned(spark, sf) -> DataFrame:
-    """The default and the tuned learner on the same features and test rows."""
-    job = _job("flagged", CLASSIFICATION, ("decision_tree",), metric="f1", baseline=True)
-    run = job.run(labelled_lineitem(spark, sf)).best
-    return spark.createDataFrame([("baseline", run.plain.metric, run.plain.value),
-                                  ("tuned", run.score.metric, run.score.value)],
-                                 "model string, metric string, score double")
+    """Each learner with its default and with its tuned parameters on the same features and test rows."""
+    result = _job("flagged", CLASSIFICATION, metric="f1", baseline=True).run(labelled_lineitem(spark, sf))
+    rows = [(r.learner.name, model, score.metric, score.value)
+            for r in result.runs for model, score in (("baseline", r.plain), ("tuned", r.score))]
+    return spark.createDataFrame(rows, "learner string, model string, metric string, score double") \
+        .withColumn("failure", F.lit(None).cast("string")) \
+        .unionByName(_failures(spark, result, "learner"), allowMissingColumns=True)
 
 
 QUERIES = {
@@ -418,10 +427,11 @@ QUERIES = {
     "hpo_random": (_trials("random"), None),
     "hpo_tpe": (_trials("tpe"), None),
     "cross_validate": (cross_validation, _FOLDS_SQL),
+    "cross_validate_grid": (_grid("logistic_regression", "cross_validation"), None),
     "train_validation_split": (_grid("decision_tree"), None),
     "param_grid": (_grid("naive_bayes"), None),
-    "automl_classification": (_run("flagged", CLASSIFICATION, "logistic_regression", "decision_tree"), None),
-    "automl_regression": (_run("demand", REGRESSION, "linear_regression", "gradient_boosted_regression"), None),
-    "automl_leaderboard": (_run("demand", REGRESSION, budget=Budget(2, 1, 2, 2)), None),
+    "automl_classification": (_run("flagged", CLASSIFICATION), None),
+    "automl_regression": (_run("demand", REGRESSION), None),
+    "automl_leaderboard": (_run("demand", REGRESSION), None),
     "baseline_vs_tuned": (baseline_vs_tuned, None),
 }
