@@ -8,7 +8,9 @@ proves that few rows can reach the k-th best sum so far; these possible members
 all blocks meet in a window for each query, which gets at most k rows from each block.
 
 Edge cases: vectors that are NULL or hold NULL, NaN or infinity, and rows with a NULL id, take no part; shorter vectors are
-read as ending in zeros; integers beyond +-2^22 are held there, so that sums are exact; a query that repeats counts
+read as ending in zeros; where sums may
+leave the 53 bits of a float, pruning has a margin for rounding and scores are sums of Python integers; a score beyond 64 bits is an
+error, as in SQL; a query that repeats counts
 once (its smallest vector), candidates that repeat are listed each; ties go to the smaller id; an empty table gives no row.
 """
 
@@ -21,11 +23,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from tabloom.llm.common import table
 from tabloom.llm.vectors import against_all, matrix, whole
 
-MOST = 1 << 22
+EXACT = 2.0 ** 52
 
 
 def integers(x: np.ndarray, scale: float) -> np.ndarray:
-    return np.clip(np.floor(scale * x), -MOST, MOST)
+    return np.floor(scale * x)
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of x, all integers."""
+    if (np.abs(x).max(0, initial=0.0) * np.abs(q)).sum() <= EXACT:
+        return (x @ q).astype(np.int64)
+    of = [int(v) for v in q]
+    return np.array([sum(int(a) * b for a, b in zip(row, of)) for row in x], np.int64)
 
 
 class ImpactIndex:
@@ -47,6 +57,8 @@ class ImpactIndex:
         """Rows among which the k best are sure to be, with all that tie with the k-th."""
         n, width = self.x.shape
         part = q[self.dim] * self.value
+        size = 2 * np.maximum.reduceat(np.abs(part), self.first).sum()
+        slack = 0.0 if size <= EXACT else 4 * (width + 2) * size / EXACT
         gain = part - np.minimum.reduceat(part, self.first)[self.dim]
         order = np.argsort(-gain, kind="stable")
         order = order[gain[order] > 0]
@@ -64,7 +76,7 @@ class ImpactIndex:
             dims, place = np.unique(self.dim[rest], return_index=True)
             bound = gain[rest][place].sum()
             kth = np.partition(sums, n - k)[n - k] if k < n else 0.0
-            possible = np.flatnonzero(sums + bound >= kth)
+            possible = np.flatnonzero(sums + bound >= kth - slack)
             if len(possible) <= few or not len(dims):
                 return possible
         return np.arange(n)
@@ -85,7 +97,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, scale: float = 64.0) -> DataF
                 own = int((ids == key).sum())
                 rows_ = index.members(q, min(k + own, len(ids)), few=max(4 * (k + own), len(ids) // 16))
                 rows_ = rows_[ids[rows_] != key]
-                scores = (index.x[rows_] @ q).astype(np.int64)
+                scores = products(index.x[rows_], q)
                 best = np.lexsort((ids[rows_], -scores))[:k]
                 found.append((np.full(len(best), key), ids[rows_][best], scores[best]))
         q, v, s = (np.concatenate(c).astype(np.int64) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3

@@ -163,3 +163,11 @@ def test_searches(spark):
     near = ann.nearest(df, F.col("vec_id") == 0, 2).orderBy("rank").collect()
     assert [(r["query_id"], r["vec_id"]) for r in near] == [(0, 1), (0, 1)]
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0, 3).count() == ann.nearest(df.limit(0), F.col("vec_id") == 0, 2).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e5, 3.0]), (1, [7e4, 0.0]), (2, [8e4, 0.0]), (3, [9e6, 1.0]), (4, [9e6, 2.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 4)
+           .orderBy("rank").collect()]
+    score = lambda x: sum(int(64 * a) * int(64 * b) for a, b in zip(rows[0][1], x))
+    assert got == [(0, rank, i, score(rows[i][1])) for rank, i in enumerate((4, 3, 2, 1), 1)]
