@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tabloom.llm.ann import op5_nearest_neighbours
+from tabloom.llm.bpe import op13_bpe
 from tabloom.llm.chat import OP6_SQL, op6_chat_format
 from tabloom.llm.language import op10_language_id
 from tabloom.llm.language_model import op2_lm_score
@@ -11,6 +12,7 @@ from tabloom.llm.mixing import op1_mix_sources
 from tabloom.llm.near_duplicates import op4_minhash_near_dedup
 from tabloom.llm.packing import op8_pack_sequences
 from tabloom.llm.quality import op7_quality_classifier
+from tabloom.llm.resampling import OP12_SQL, op12_importance_resampling
 from tabloom.llm.topk import OP3_SQL, op3_exact_top_k
 
 _WORDS = r"length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -77,4 +79,6 @@ QUERIES = {
     "op8_pack_sequences": (op8_pack_sequences, None),
     "op9_line_dedup": (op9_line_dedup, None),
     "op10_language_id": (op10_language_id, None),
+    "op12_importance_resampling": (op12_importance_resampling, OP12_SQL),
+    "op13_bpe": (op13_bpe, None),
 }
