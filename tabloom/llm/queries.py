@@ -14,6 +14,7 @@ from tabloom.llm.packing import op8_pack_sequences
 from tabloom.llm.quality import op7_quality_classifier
 from tabloom.llm.resampling import OP12_SQL, op12_importance_resampling
 from tabloom.llm.topk import OP3_SQL, op3_exact_top_k
+from tabloom.llm.whitening import op11_embedding_whitening
 
 _WORDS = r"length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -79,6 +80,7 @@ QUERIES = {
     "op8_pack_sequences": (op8_pack_sequences, None),
     "op9_line_dedup": (op9_line_dedup, None),
     "op10_language_id": (op10_language_id, None),
+    "op11_embedding_whitening": (op11_embedding_whitening, None),
     "op12_importance_resampling": (op12_importance_resampling, OP12_SQL),
     "op13_bpe": (op13_bpe, None),
 }

@@ -71,7 +71,7 @@ def feature_buckets(texts: pa.Array, longest: int, buckets: int) -> tuple[np.nda
             more[more] = owner[at[more] + n - 1] == owner[at[more]]
             at, run = at[more], run[more]
             run, names = _coded(pc.binary_join_element_wise(
-                names.take(pa.array(run)), distinct.take(pa.array(codes[at + n - 1])), " "))
+                names.take(pa.array(run)), distinct.take(pa.array(codes[at + n - 1])), pa.scalar(" ", distinct.type)))
         crc = np.fromiter((zlib.crc32(w) for w in names.cast(pa.large_binary()).to_pylist()), np.int64, len(names))
         numbers.append((crc % buckets)[run])
         owners.append(owner[at])
