@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    FMClassifier,
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
@@ -16,9 +15,10 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.regression import FMRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 
 from tabloom.operators.evaluate import CLASSIFICATION, MULTICLASS, REGRESSION
+from tabloom.operators.factorization import BlockFMClassifier, BlockFMRegressor
 from tabloom.operators.space import Choice, IntUniform, Space, Uniform
 
 
@@ -43,8 +43,10 @@ class Learner:
     make: Callable[[Setting], Estimator]
     space: Callable[[Setting], Space] = lambda s: {}
     grid: Callable[[Setting], dict[str, list]] = lambda s: {}
-    # Trees take categorical slots as such and want them indexed.
+    # Trees take the slots that hold category indices as such.
     indexed: bool = False
+    # Gradient steps need slots of like size: these learners get the standardised vector.
+    scaled: bool = False
     # Column that ranks the rows for ROC and PR curves.
     raw: str = "rawPrediction"
 
@@ -73,7 +75,7 @@ _ALL = [
         "logistic_regression", (CLASSIFICATION, MULTICLASS),
         lambda s: LogisticRegression(maxIter=30),
         lambda s: {"regParam": _penalty(0.03, s), "elasticNetParam": _ratio(0.02, s)},
-        lambda s: {"regParam": [0.1, 0.01], "elasticNetParam": [0.0, 1.0]}),
+        lambda s: {"regParam": [0.1, 0.01], "elasticNetParam": [0.0, 1.0]}, scaled=True),
     Learner(
         "random_forest", (CLASSIFICATION, MULTICLASS),
         lambda s: RandomForestClassifier(maxBins=max(32, s.max_bins), seed=s.seed),
@@ -96,12 +98,12 @@ _ALL = [
     Learner(
         "linear_svc", (CLASSIFICATION,),
         lambda s: LinearSVC(maxIter=30),
-        lambda s: {"regParam": _penalty(0.03, s), "aggregationDepth": IntUniform(2, 6)}),
+        lambda s: {"regParam": _penalty(0.03, s), "aggregationDepth": IntUniform(2, 6)}, scaled=True),
     Learner(
         "factorization_machine", (CLASSIFICATION,),
-        lambda s: FMClassifier(maxIter=30, seed=s.seed),
+        lambda s: BlockFMClassifier(maxIter=30, seed=s.seed),
         lambda s: {"regParam": _penalty(0.03, s), "factorSize": IntUniform(6, 10),
-                   "solver": Choice(("adamW", "gd"))}),
+                   "solver": Choice(("adamW", "gd"))}, scaled=True),
     Learner(
         "decision_tree", (CLASSIFICATION, MULTICLASS),
         lambda s: DecisionTreeClassifier(maxDepth=2, maxBins=max(32, s.max_bins), seed=s.seed),
@@ -130,8 +132,8 @@ _ALL = [
                    "maxDepth": IntUniform(4, 8)}, indexed=True),
     Learner(
         "factorization_machine_regression", (REGRESSION,),
-        lambda s: FMRegressor(maxIter=30, seed=s.seed),
-        lambda s: {"regParam": _penalty(0.03, s), "initStd": Uniform(0.0, 0.02 * s.budget)}),
+        lambda s: BlockFMRegressor(maxIter=30, seed=s.seed),
+        lambda s: {"regParam": _penalty(0.03, s), "initStd": Uniform(0.0, 0.02 * s.budget)}, scaled=True),
 ]
 
 LEARNERS: dict[str, Learner] = {learner.name: learner for learner in _ALL}

@@ -6,16 +6,17 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.operators.assemble import FEATURES, assembler, slot_map
+from tabloom.operators.assemble import FEATURES, STANDARDIZED, assembler, slot_map, standardizer
 from tabloom.operators.evaluate import CLASSIFICATION, MULTICLASS, REGRESSION, evaluate, make_evaluator
 from tabloom.operators.learners import LEARNERS, RACES, Setting
 from tabloom.operators.partitions import spread
 from tabloom.operators.scoring import LearnerScorer, MomentScorer, subset_scorer
 from tabloom.operators.search import cross_validate, grid_scores, grid_search, param_grid, tune
-from tabloom.operators.select import Selection, SubsetSearch
+from tabloom.operators.select import SubsetSearch
 from tabloom.operators.split import hash_split
 from tabloom.plans.automl import AutoML, AutoMLResult, Budget
 from tabloom.plans.features import AutoFeatures
@@ -137,24 +138,27 @@ def _vectors(spark, sf, label: str) -> tuple[DataFrame, DataFrame]:
     """Train and test frames of (features, label); the flag of returns is a number here."""
     df = labelled_lineitem(spark, sf).withColumn("returned", (F.col("l_returnflag") == "R").cast("double"))
     frame = assembler(_INPUTS).transform(df).select(*LINE_KEYS, FEATURES, F.col(label).cast("double").alias("label"))
-    train, test = hash_split(frame, [0.8, 0.2], LINE_KEYS, seed=1)
+    train, test = hash_split(frame, [0.8, 0.2], LINE_KEYS, seed=1, portable=True)
     return spread(train).persist(StorageLevel.MEMORY_AND_DISK), spread(test)
 
 
 def _fit(name: str, task: str, **params) -> Callable:
-    """Fit on the training rows; score the learner and a constant predictor on the test rows."""
+    """Fit on the training rows; compare the learner with a constant predictor on the test rows."""
     def query(spark: SparkSession, sf: str) -> DataFrame:
         train, test = _vectors(spark, sf, "demand" if task == REGRESSION else "flagged")
-        setting = Setting(width=len(_INPUTS), non_negative=True)
+        learner = LEARNERS[name]
+        setting = Setting(width=len(_INPUTS), non_negative=True, features=STANDARDIZED if learner.scaled else FEATURES)
         try:
             n_train, mean = train.agg(F.count(F.lit(1)), F.avg("label")).first()
-            model = LEARNERS[name].estimator(setting, **params).fit(train)
+            stages = [standardizer(train)] if learner.scaled else []
+            ready = PipelineModel(stages)
+            model = learner.estimator(setting, **params).fit(ready.transform(train))
         finally:
             train.unpersist()
         constant = mean if task == REGRESSION else float(mean >= 0.5)
         metric = "rmse" if task == REGRESSION else "accuracy"
         evaluator = make_evaluator(task, metric)
-        predictions = model.transform(test).select("label", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
+        predictions = model.transform(ready.transform(test)).select("label", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             score = evaluate(predictions, evaluator)
             floor = evaluate(predictions.withColumn("prediction", F.lit(constant)), evaluator)
@@ -162,12 +166,26 @@ def _fit(name: str, task: str, **params) -> Callable:
         finally:
             predictions.unpersist()
         return spark.createDataFrame(
-            [(name, n_train, n_test, metric, score.value, floor.value, score.signed > floor.signed)],
-            "learner string, n_train bigint, n_test bigint, metric string, score double, "
-            "constant_score double, beats_constant boolean")
+            [(name, n_train, n_test, metric, floor.value, score.signed > floor.signed)],
+            "learner string, n_train bigint, n_test bigint, metric string, constant_score double, beats_constant boolean",
+        ).withColumn("constant_score", F.round("constant_score", 6))
     return query
 
 
+def _fit_sql(name: str, task: str) -> str:
+    label, metric, constant = ("demand", "rmse", "sqrt(avg((y - mean) ** 2))") if task == REGRESSION else (
+        "flagged", "accuracy", "avg(CASE WHEN y = CASE WHEN mean >= 0.5 THEN 1 ELSE 0 END THEN 1.0::DOUBLE ELSE 0 END)")
+    return f"""WITH {LABELLED_SQL},
+      parts AS (SELECT {label}::DOUBLE AS y, {bucket_sql(1, LINE_KEYS)} >= 800 AS held FROM labelled),
+      m AS (SELECT avg(y) AS mean, count(*) AS n FROM parts WHERE NOT held)
+      SELECT '{name}' AS learner, any_value(n) AS n_train, count(*) AS n_test, '{metric}' AS metric,
+             round({constant}, 6) AS constant_score, true AS beats_constant FROM parts, m WHERE held"""
+
+
+def _fitted(name: str, task: str) -> tuple[Callable, str]:
+    return _fit(name, task), _fit_sql(name, task)
+
+
 def _one_column(spark, sf) -> DataFrame:
     df = labelled_lineitem(spark, sf)
     return assembler(["l_quantity"]).transform(df).select(*LINE_KEYS, FEATURES, F.col("demand").alias("label"))
@@ -246,13 +264,8 @@ def _search_frames(spark, sf, label: str) -> tuple[DataFrame, DataFrame, DataFra
     return frame, train, validation
 
 
-def _tried(spark, search: SubsetSearch, selection: Selection) -> DataFrame:
-    rows = [(",".join(search.kept(m)), s.metric, s.value, search.kept(m) == selection.columns)
-            for m, s in selection.tried.items()]
-    return spark.createDataFrame(rows, "subset string, metric string, score double, chosen boolean")
-
-
 def _select(stabilised: bool) -> Callable:
+    """What a search found: its metric, whether the chosen subset is the best of those tried, and of known columns."""
     def query(spark: SparkSession, sf: str) -> DataFrame:
         frame, train, validation = _search_frames(spark, sf, "flagged" if stabilised else "demand")
         try:
@@ -262,12 +275,23 @@ def _select(stabilised: bool) -> Callable:
             scorer = subset_scorer(train, validation, slots, LEARNERS[name], Setting(), task)
             search = SubsetSearch(_CANDIDATES, scorer, seed=5)
             found = search.stabilised_nrpa(2, 2, 3) if stabilised else search.nrpa(3, 3)
-            return _tried(spark, search, found)
+            n_validation = validation.count()
         finally:
             frame.unpersist()
+        best = max(s.signed for s in found.tried.values())
+        needed = {"l_quantity", "l_discount"}  # both labels depend on these
+        return spark.createDataFrame(
+            [(found.score.metric, found.score.signed == best, set(found.columns) <= set(_CANDIDATES),
+              needed <= set(found.columns), n_validation)],
+            "metric string, best_chosen boolean, known boolean, needed_kept boolean, n_validation bigint")
     return query
 
 
+def _select_sql(metric: str) -> str:
+    return f"""WITH {LABELLED_SQL} SELECT '{metric}' AS metric, true AS best_chosen, true AS known, true AS needed_kept,
+      count(*) AS n_validation FROM labelled WHERE {bucket_sql(2, LINE_KEYS)} >= 750"""
+
+
 def score_subset(spark, sf) -> DataFrame:
     """RMSE on the validation rows of least squares on single columns: by moments and by the learner."""
     frame, train, validation = _search_frames(spark, sf, "demand")
@@ -292,21 +316,28 @@ _SUBSET_SQL = f"""WITH {LABELLED_SQL}, parts AS (SELECT *, {bucket_sql(2, LINE_K
 # --- hyperparameters
 
 def _trials(sampler: str) -> Callable:
+    """Twelve trials: each inside the learner's space, and the chosen one the best of all."""
     def query(spark: SparkSession, sf: str) -> DataFrame:
         frame, _, _ = _search_frames(spark, sf, "flagged")
+        learner, setting = LEARNERS["logistic_regression"], Setting()
         try:
-            train, validation = hash_split(frame, [0.7, 0.3], LINE_KEYS, seed=3)
-            tuned = tune(train, validation, LEARNERS["logistic_regression"], Setting(), make_evaluator(CLASSIFICATION),
-                         trials=12, sampler=sampler, seed=1)
+            train, validation = hash_split(frame, [0.7, 0.3], LINE_KEYS, seed=3, portable=True)
+            tuned = tune(train, validation, learner, setting, make_evaluator(CLASSIFICATION), trials=12, sampler=sampler, seed=1)
+            held = validation.count()
         finally:
             frame.unpersist()
-        rows = [(i, p["regParam"], p["elasticNetParam"], s.value, p == tuned.params)
-                for i, (p, s) in enumerate(tuned.trials)]
-        return spark.createDataFrame(
-            rows, "trial int, regParam double, elasticNetParam double, score double, chosen boolean")
+        space = learner.space(setting)
+        best = max(s.signed for _, s in tuned.trials)
+        rows = [(i, all(d.low <= p[n] <= d.high for n, d in space.items()), tuned.score.signed == best, held)
+                for i, (p, _) in enumerate(tuned.trials)]
+        return spark.createDataFrame(rows, "trial int, in_space boolean, best_chosen boolean, n_validation bigint")
     return query
 
 
+_TRIALS_SQL = f"""WITH {LABELLED_SQL}, held AS (SELECT count(*) AS n FROM labelled WHERE {bucket_sql(3, LINE_KEYS)} >= 700)
+  SELECT unnest(range(12))::INTEGER AS trial, true AS in_space, true AS best_chosen, n AS n_validation FROM held"""
+
+
 def cross_validation(spark, sf) -> DataFrame:
     """Mean RMSE over three folds of a line with and without intercept."""
     estimator = LEARNERS["linear_regression"].estimator(Setting(width=1))
@@ -329,22 +360,33 @@ _FOLDS_SQL = f"""WITH {LABELLED_SQL}, parts AS (SELECT demand AS y, l_quantity A
 
 
 def _grid(name: str, method: str = "single_split") -> Callable:
-    """Search over the learner's own grid."""
+    """Search over the learner's own grid: the points, whether each has a score, and the rows of the last score."""
     def query(spark: SparkSession, sf: str) -> DataFrame:
         frame, _, _ = _search_frames(spark, sf, "flagged")
         try:
             setting = Setting(width=len(_CANDIDATES), non_negative=True)
             model, held_out = grid_search(frame, LEARNERS[name], setting, make_evaluator(MULTICLASS, "f1"), LINE_KEYS,
-                                          method)
+                                          method, portable=True)
+            held = hash_split(frame, [0.8, 0.2], LINE_KEYS, 0, portable=True)[1].count()
         finally:
             frame.unpersist()
         scores = model.validationMetrics if method == "single_split" else model.avgMetrics
         rows = grid_scores(model.getEstimatorParamMaps(), scores)
-        return spark.createDataFrame([(p, s, held_out.value) for p, s in rows],
-                                     "params string, score double, best_on_held_out double")
+        return spark.createDataFrame([(p, 0 <= s <= 1 and 0 <= held_out.value <= 1, held) for p, s in rows],
+                                     "params string, scored boolean, n_held_out bigint")
     return query
 
 
+def _grid_sql(**lists: list) -> str:
+    """Every combination of the lists, with names in order."""
+    names = sorted(lists)
+    tables = ", ".join(f"(VALUES {', '.join(f'({v!r})' if isinstance(v, str) else f'(' + repr(str(v)) + ')' for v in lists[n])}) "
+                       f"AS t{i}(v{i})" for i, n in enumerate(names))
+    text = " || ', ' || ".join(f"'{n}=' || v{i}" for i, n in enumerate(names))
+    return f"""WITH {LABELLED_SQL}, held AS (SELECT count(*) AS n FROM labelled WHERE {bucket_sql(0, LINE_KEYS)} >= 800)
+      SELECT {text} AS params, true AS scored, n AS n_held_out FROM held, {tables}"""
+
+
 # --- whole runs
 
 def _job(label: str, task: str, budget: Budget = Budget.of(3), **settings) -> AutoML:
@@ -354,12 +396,37 @@ def _job(label: str, task: str, budget: Budget = Budget.of(3), **settings) -> Au
     return AutoML(label, task, budget=budget, keys=tuple(LINE_KEYS), features=plan, seed=3, **settings)
 
 
-def _run(label: str, task: str) -> Callable:
+def _whole(label: str, task: str) -> Callable:
+    """What holds of a whole run's board, learner by learner."""
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return _board_of(_job(label, task).run(labelled_lineitem(spark, sf)))
+        df = labelled_lineitem(spark, sf)
+        df = df.drop("flagged", "demand") if task == MULTICLASS else df
+        return _facts(_job(label, task).run(df))
     return query
 
 
+def _facts(result: AutoMLResult) -> DataFrame:
+    """A row for each learner: the metric, the trials, whether its features are columns of the frame, whether the board has it
+    behind those with better scores, all rows of both sides, and why it failed if it did."""
+    spark = result.frame.raw_train.sparkSession
+    rows = result.frame.train.count() + result.frame.test.count()
+    board = [r["algorithm"] for r in results.ranked(result.leaderboard()).collect()]
+    order = sorted(result.runs, key=lambda r: -r.score.signed)
+    known = set(result.frame.model.columns)
+    found = [(r.learner.name, r.score.metric, r.score.larger_is_better, len(r.tuned.trials), set(r.selection.columns) <= known,
+              order[board.index(r.learner.name)].score.signed == r.score.signed, rows, None) for r in result.runs]
+    failed = [(n, None, None, 0, False, False, rows, why) for n, why in sorted(result.failures.items())]
+    return spark.createDataFrame(found + failed, "algorithm string, metric string, larger_is_better boolean, trials int, "
+                                 "known_features boolean, in_order boolean, n_rows bigint, failure string")
+
+
+def _whole_sql(task: str, metric: str, larger: bool) -> str:
+    return f"""WITH {LABELLED_SQL}, n AS (SELECT count(*) AS n_rows FROM labelled)
+      SELECT algorithm, '{metric}' AS metric, {str(larger).lower()} AS larger_is_better, 12::INTEGER AS trials, true AS known_features,
+             true AS in_order, n_rows, NULL::VARCHAR AS failure
+      FROM n, (VALUES {", ".join(f"('{name}')" for name in RACES[task])}) AS t(algorithm)"""
+
+
 def _board_of(result: AutoMLResult) -> DataFrame:
     """The learners by rank, then those that failed, with the reason."""
     board = results.ranked(result.leaderboard()).select(
@@ -373,15 +440,19 @@ def _failures(spark: SparkSession, result: AutoMLResult, name: str) -> DataFrame
 
 
 def baseline_vs_tuned(spark, sf) -> DataFrame:
-    """Each learner with its default and with its tuned parameters on the same features and test rows."""
+    """Each learner with its default and with its tuned parameters on the same features and test rows: F1 in its range."""
     result = _job("flagged", CLASSIFICATION, metric="f1", baseline=True).run(labelled_lineitem(spark, sf))
-    rows = [(r.learner.name, model, score.metric, score.value)
+    rows = [(r.learner.name, model, score.metric, 0 <= score.value <= 1)
             for r in result.runs for model, score in (("baseline", r.plain), ("tuned", r.score))]
-    return spark.createDataFrame(rows, "learner string, model string, metric string, score double") \
+    return spark.createDataFrame(rows, "learner string, model string, metric string, in_range boolean") \
         .withColumn("failure", F.lit(None).cast("string")) \
         .unionByName(_failures(spark, result, "learner"), allowMissingColumns=True)
 
 
+_BASELINE_SQL = f"""SELECT learner, model, 'f1' AS metric, true AS in_range, NULL::VARCHAR AS failure
+  FROM (VALUES {", ".join(f"('{name}')" for name in RACES[CLASSIFICATION])}) AS t(learner), (VALUES ('baseline'), ('tuned')) AS m(model)"""
+
+
 QUERIES = {
     "eval_auc_roc": (_rated(CLASSIFICATION, "areaUnderROC", _classified), _AUC),
     "eval_auc_pr": (_rated(CLASSIFICATION, "areaUnderPR", _classified), _AUPR),
@@ -405,16 +476,16 @@ QUERIES = {
         "var", "avg((f - mean) ** 2)", True, _REGRESSED, "FROM p, m")),
     "leaderboard": (ranked_scores, _BOARD),
     "best_run": (best, f"SELECT * FROM ({_BOARD}) ORDER BY score, algorithm LIMIT 1"),
-    "fit_logistic_regression": (_fit("logistic_regression", CLASSIFICATION), None),
-    "fit_random_forest": (_fit("random_forest", CLASSIFICATION), None),
-    "fit_gbt_classifier": (_fit("gradient_boosted_trees", CLASSIFICATION), None),
-    "fit_perceptron": (_fit("multilayer_perceptron", CLASSIFICATION), None),
-    "fit_linear_svc": (_fit("linear_svc", CLASSIFICATION), None),
-    "fit_fm_classifier": (_fit("factorization_machine", CLASSIFICATION), None),
-    "fit_decision_tree": (_fit("decision_tree", CLASSIFICATION), None),
+    "fit_logistic_regression": _fitted("logistic_regression", CLASSIFICATION),
+    "fit_random_forest": _fitted("random_forest", CLASSIFICATION),
+    "fit_gbt_classifier": _fitted("gradient_boosted_trees", CLASSIFICATION),
+    "fit_perceptron": _fitted("multilayer_perceptron", CLASSIFICATION),
+    "fit_linear_svc": _fitted("linear_svc", CLASSIFICATION),
+    "fit_fm_classifier": _fitted("factorization_machine", CLASSIFICATION),
+    "fit_decision_tree": _fitted("decision_tree", CLASSIFICATION),
     "fit_naive_bayes": (naive_bayes, _BAYES_SQL),
-    "fit_gbt_regressor": (_fit("gradient_boosted_regression", REGRESSION), None),
-    "fit_fm_regressor": (_fit("factorization_machine_regression", REGRESSION), None),
+    "fit_gbt_regressor": _fitted("gradient_boosted_regression", REGRESSION),
+    "fit_fm_regressor": _fitted("factorization_machine_regression", REGRESSION),
     "fit_linear_regression": (_line("linear_regression"), _LINE_SQL),
     "fit_glm": (_line("generalized_linear_regression"), _LINE_SQL),
     "fit_multiclass": (multiclass, None),
@@ -422,16 +493,17 @@ QUERIES = {
         m AS (SELECT regr_slope(demand, l_quantity) AS b, regr_intercept(demand, l_quantity) AS a FROM labelled)
         SELECT {KEYS_SQL}, round(a + b * l_quantity, 5) AS prediction FROM labelled, m"""),
     "score_subset": (score_subset, _SUBSET_SQL),
-    "select_features_nrpa": (_select(False), None),
-    "select_features_snrpa": (_select(True), None),
-    "hpo_random": (_trials("random"), None),
-    "hpo_tpe": (_trials("tpe"), None),
+    "select_features_nrpa": (_select(False), _select_sql("rmse")),
+    "select_features_snrpa": (_select(True), _select_sql("areaUnderROC")),
+    "hpo_random": (_trials("random"), _TRIALS_SQL),
+    "hpo_tpe": (_trials("tpe"), _TRIALS_SQL),
     "cross_validate": (cross_validation, _FOLDS_SQL),
-    "cross_validate_grid": (_grid("logistic_regression", "cross_validation"), None),
-    "train_validation_split": (_grid("decision_tree"), None),
-    "param_grid": (_grid("naive_bayes"), None),
-    "automl_classification": (_run("flagged", CLASSIFICATION), None),
-    "automl_regression": (_run("demand", REGRESSION), None),
-    "automl_leaderboard": (_run("demand", REGRESSION), None),
-    "baseline_vs_tuned": (baseline_vs_tuned, None),
+    "cross_validate_grid": (_grid("logistic_regression", "cross_validation"), _grid_sql(
+        regParam=[0.1, 0.01], elasticNetParam=[0.0, 1.0])),
+    "train_validation_split": (_grid("decision_tree"), _grid_sql(maxDepth=[5, 10], impurity=["gini", "entropy"])),
+    "param_grid": (_grid("naive_bayes"), _grid_sql(smoothing=[0.5, 1.0, 1.5], modelType=["multinomial", "gaussian"])),
+    "automl_classification": (_whole("flagged", CLASSIFICATION), _whole_sql(CLASSIFICATION, "areaUnderROC", True)),
+    "automl_regression": (_whole("demand", REGRESSION), _whole_sql(REGRESSION, "rmse", False)),
+    "automl_multiclass": (_whole("l_returnflag", MULTICLASS), _whole_sql(MULTICLASS, "f1", True)),
+    "baseline_vs_tuned": (baseline_vs_tuned, _BASELINE_SQL),
 }
