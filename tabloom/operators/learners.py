@@ -133,7 +133,7 @@ _ALL = [
     Learner(
         "factorization_machine_regression", (REGRESSION,),
         lambda s: BlockFMRegressor(maxIter=30, seed=s.seed),
-        lambda s: {"regParam": _penalty(0.03, s), "initStd": Uniform(0.0, 0.02 * s.budget)}, scaled=True),
+        lambda s: {"regParam": _penalty(0.03, s), "initStd": Uniform(1e-6, 0.02 * s.budget)}, scaled=True),
 ]
 
 LEARNERS: dict[str, Learner] = {learner.name: learner for learner in _ALL}

@@ -17,9 +17,9 @@ def test_jobs_have_the_whole_budget(monkeypatch):
         assert (job.features.degree, job.features.budget) == (3, 3)
     ran = []
     monkeypatch.setattr(learning.AutoML, "run", lambda self, df: ran.append(self))
-    monkeypatch.setattr(learning, "_board_of", lambda result: None)
-    monkeypatch.setattr(learning, "labelled_lineitem", lambda spark, sf: None)
-    for name in ("automl_classification", "automl_regression", "automl_leaderboard"):
+    monkeypatch.setattr(learning, "_facts", lambda result: None)
+    monkeypatch.setattr(learning, "labelled_lineitem", lambda spark, sf: SimpleNamespace(drop=lambda *names: None))
+    for name in ("automl_classification", "automl_regression", "automl_multiclass"):
         learning.QUERIES[name][0](None, "")
     assert all(job.learners == () and job.budget == Budget.of(3) for job in ran) and len(ran) == 3
 
