@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabloom.functions.columns import as_number, ref
 from tabloom.operators.partitions import spread
 from tabloom.operators.quantiles import exact_quantiles
+from tabloom.operators.scratch import stored
 
 FLAG = "outlier"
 TREES = 100
@@ -76,27 +77,48 @@ def _grow(rows: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float,
     return [tuple(n) for n in nodes]
 
 
+def _steps(nodes: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tree as arrays (depth, feature, cut, children, path length) in which a row takes ``depth`` steps: leaves lead to
+    themselves."""
+    own, leaf = np.arange(len(nodes)), nodes["feature"].to_numpy() < 0
+    child = np.column_stack([np.where(leaf, own, nodes[side]) for side in ("left", "right")]).ravel().astype(np.int32)
+    depth, reached = 0, np.zeros(1, np.int32)
+    while not leaf[reached].all():
+        depth, reached = depth + 1, np.unique(child.reshape(-1, 2)[reached])
+    return (depth, np.where(leaf, 0, nodes["feature"]).astype(np.int32), np.where(leaf, np.inf, nodes["cut"]), child,
+            nodes["path"].to_numpy(dtype=float))
+
+
 def flag_by_isolation_forest(df: DataFrame, columns: Sequence[str], trees: int = TREES, sample: int = SAMPLE,
                              seed: int = 42, threshold: float = 0.5) -> DataFrame:
     """Outlier if the isolation score (in ``outlier_score``) is above ``threshold``.
 
-    Each tree is grown on ``min(sample, n)`` rows of its own draw, as the method defines; all rows are scored.  Equal
-    rows are counted first.  For each tree a hash of the values decides how many of the copies are drawn: their
-    share, rounded up or down by the hash.  So the draw depends on the values alone, not on partitions or retries, and copies
-    are drawn like any rows.  Trees grow in parallel tasks, and the forest has at most 2 * sample nodes per tree.
+    Each tree is grown on ``min(sample, n)`` rows of its own draw, as the method defines; all rows are scored.  Copies of a row are
+    counted by a 64-bit hash of its values, so only hashes and counts are shuffled.  One hash decides in how many trees a
+    value's copies are drawn together: their share, rounded up or down, from a first tree on in turn.  So the draw depends on
+    the values alone, not on partitions or retries, and copies are drawn like any rows.  The values of the rows that are drawn,
+    some ``trees * sample``, come from a second look at the columns.  Trees grow in parallel tasks, and the forest has at most
+    2 * sample nodes per tree.
     """
     columns = list(columns)
     complete = df.select([as_number(c).alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
     names = complete.columns
-    counted = complete.groupBy(*names).agg(F.count(F.lit(1)).alias("__copies"))
+    complete = complete.withColumn("__row", F.xxhash64(*names))
+    counted = complete.groupBy("__row").agg(F.count(F.lit(1)).alias("__copies"))
     n = complete.count()
     # Six deviations more than the sample, so that no tree falls short of it.
     share = min(1.0, (sample + 6 * sample ** 0.5 + 10) / max(n, 1))
-    draw = lambda t: F.xxhash64(F.lit(seed), t, *names) / float(1 << 64) + 0.5
-    drawn = counted.withColumn("__draw", F.explode(F.filter(F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.alias("tree"), F.floor(F.col("__copies") * share + draw(t)).alias("times"))),
-        lambda x: x.times > 0))).select("__draw.tree", "__draw.times", *names)
+    unit = F.xxhash64(F.lit(seed), "__row") / float(1 << 64) + 0.5
+    times = F.floor(F.col("__copies") * F.lit(share * trees) + unit).cast("long")
+    first = F.pmod(F.xxhash64(F.lit(seed + 1), "__row"), F.lit(trees))
+    turns = counted.select("__row", times.alias("__times"), first.alias("__first")).filter("__times > 0").select(
+        "__row", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1),
+                                       lambda i: F.pmod(F.col("__first") + i, F.lit(trees)))).alias("tree"))
+    drawn = stored(turns.groupBy("__row", "tree").agg(F.count(F.lit(1)).alias("times")), "forest-draw")
+    # Bounded by the draw: trees * (sample + six deviations) rows at most.
+    wanted = F.broadcast(drawn.select("__row").distinct())
+    values = complete.join(wanted, "__row", "left_semi").groupBy("__row").agg(F.max(F.struct(*names)).alias("__x"))
+    drawn = drawn.join(values, "__row").select(F.col("tree").cast("int").alias("tree"), "times", "__x.*")
 
     def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0])])
@@ -109,25 +131,20 @@ def flag_by_isolation_forest(df: DataFrame, columns: Sequence[str], trees: int =
 
     schema = "tree int, n int, node int, feature int, cut double, left int, right int, path double"
     nodes = drawn.groupBy("tree").applyInPandas(grow, schema).toPandas()
-    forest = [(int(g["n"].iloc[0]), g.sort_values("node")[["feature", "cut", "left", "right", "path"]].to_numpy())
-              for _, g in nodes.groupby("tree")]
+    forest = [(int(g["n"].iloc[0]), *_steps(g.sort_values("node"))) for _, g in nodes.groupby("tree")]
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def score(*parts: pd.Series) -> pd.Series:
         rows = np.column_stack([p.to_numpy(dtype=float) for p in parts])
+        flat, starts = rows.ravel(), np.arange(len(rows), dtype=np.int32) * rows.shape[1]
         total, expected = np.zeros(len(rows)), 0.0
-        for n, tree in shared.value:
-            feature, left, right = (tree[:, i].astype(int) for i in (0, 2, 3))
-            at = np.zeros(len(rows), dtype=int)
-            while True:
-                inner = np.flatnonzero(feature[at] >= 0)
-                if not len(inner):
-                    break
-                here = at[inner]
-                goes_left = rows[inner, feature[here]] <= tree[here, 1]
-                at[inner] = np.where(goes_left, left[here], right[here])
-            total += tree[at, 4]
+        for n, depth, feature, cut, child, path in shared.value:
+            at = np.zeros(len(rows), np.int32)
+            for _ in range(depth):
+                beyond = ~(flat[starts + feature[at]] <= cut[at])
+                at = child[2 * at + beyond]
+            total += path[at]
             expected += float(_average_path(n))
         return pd.Series(np.where(np.isnan(rows).any(axis=1), np.nan, 2.0 ** (-total / max(expected, 1e-12))))
 
