@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import inspect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,15 +47,34 @@ def give_back() -> None:
         trim(0)
 
 
-def in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` in batches of bounded bytes, by tasks that leave no free memory in their worker."""
-    batches_of(df.sparkSession, BATCH_BYTES)
+def tidy(run: Callable) -> Callable:
+    """A function of batches, or of groups, that leaves no free memory in its worker."""
+    if inspect.isgeneratorfunction(run):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from run(batches)
+            give_back()
+
+        return task
+    if len(inspect.signature(run).parameters) == 2:  # Spark counts the parameters
+        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = run(left, right)
+            give_back()
+            return out
+
+        return pair
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+    def group(rows: pa.Table) -> pa.Table:
+        out = run(rows)
         give_back()
+        return out
 
-    return df.mapInArrow(task, schema)
+    return group
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes, by tasks that leave no free memory in their worker."""
+    batches_of(df.sparkSession, BATCH_BYTES)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def crc32_of(column: str) -> Column:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import batches_of, crc32_of, mix, pieces, table, word_hashes, words, written
+from tabloom.llm.common import batches_of, crc32_of, mix, pieces, table, tidy, word_hashes, words, written
 from tabloom.llm.elias_fano import EliasFano
 
 MASK = np.uint64((1 << 56) - 1)
@@ -165,7 +165,7 @@ def frequent(docs: DataFrame, share: int = 512) -> DataFrame:
                 [pa.array([None, *map(int, names)], pa.int64()), pa.array([total, piece.num_rows, *counts[often].tolist()]),
                  pa.array([learnt, *[0] * len(names)])], ["h", "n", "learnt"])
 
-    return docs.mapInArrow(run, "h long, n long, learnt long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt"))
+    return docs.mapInArrow(tidy(run), "h long, n long, learnt long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt"))
 
 
 def word_needs(docs: DataFrame, deal: Deal) -> DataFrame:
@@ -196,7 +196,7 @@ def word_needs(docs: DataFrame, deal: Deal) -> DataFrame:
                                    sizes.astype(np.uint32), to[at].astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
-    return docs.mapInArrow(run, "bucket int, data binary")
+    return docs.mapInArrow(tidy(run), "bucket int, data binary")
 
 
 def word_counts(needs: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def word_counts(needs: DataFrame) -> DataFrame:
                          "distinct": pa.array([int((c > 0).sum()), *[0] * len(names)], pa.int64()),
                          "data": pa.array([b"", *data], pa.binary())})
 
-    return needs.groupBy("bucket").applyInArrow(run, "shard int, distinct long, data binary")
+    return needs.groupBy("bucket").applyInArrow(tidy(run), "shard int, distinct long, data binary")
 
 
 def to_shards(docs: DataFrame, deal: Deal) -> DataFrame:
@@ -258,7 +258,7 @@ def to_shards(docs: DataFrame, deal: Deal) -> DataFrame:
                 [pa.array(names, pa.int32()), pa.array([number] * len(names), pa.int64()), pa.array(data, pa.binary()),
                  pa.array(first[:len(names)], kind)], ["shard", "piece", "data", "head"])
 
-    return docs.mapInArrow(run, "shard int, piece long, data binary, head array<struct<id: string, held: boolean, n: long>>")
+    return docs.mapInArrow(tidy(run), "shard int, piece long, data binary, head array<struct<id: string, held: boolean, n: long>>")
 
 
 def spectrum(counts: np.ndarray) -> np.ndarray:
@@ -423,8 +423,8 @@ def split_pairs(docs: DataFrame, deal: Deal) -> DataFrame:
                          "spectrum": pa.array([spectrum(c).tolist()], pa.list_(pa.int64())),
                          "begins": [bool(deal.hot[number] == BEGIN)]})
 
-    return docs.mapInArrow(run, "bucket long, data binary").groupBy("bucket").applyInArrow(
-        summed, "number int, data binary, spectrum array<long>, begins boolean")
+    return docs.mapInArrow(tidy(run), "bucket long, data binary").groupBy("bucket").applyInArrow(
+        tidy(summed), "number int, data binary, spectrum array<long>, begins boolean")
 
 
 class Dealt:
@@ -532,7 +532,7 @@ def shard_sums(deal: Deal, n_learnt: int, n_distinct: int):
     return run
 
 
-def scored(docs: DataFrame, held: Column, shard_tokens: int = 2_000_000) -> DataFrame:
+def scored(docs: DataFrame, held: Column, shard_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
@@ -547,7 +547,7 @@ def scored(docs: DataFrame, held: Column, shard_tokens: int = 2_000_000) -> Data
     distinct = counts.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     dealt = to_shards(docs, deal)
     spark, nothing = docs.sparkSession, F.lit(None).cast("binary")
-    spectra = dealt.groupBy("shard").applyInArrow(shard_spectra(deal), ", ".join(f"{c} long" for c in SPECTRA))
+    spectra = dealt.groupBy("shard").applyInArrow(tidy(shard_spectra(deal)), ", ".join(f"{c} long" for c in SPECTRA))
     sent = counts.filter("shard >= 0").select("shard", F.lit(-1).alias("number"), "data", F.lit(None).cast("array<long>").alias("spectra"))
     if split:
         pairs = written(split_pairs(docs, deal), "split-pairs")
@@ -564,7 +564,7 @@ def scored(docs: DataFrame, held: Column, shard_tokens: int = 2_000_000) -> Data
     sent = sent.unionByName(everywhere.crossJoin(F.broadcast(spectra)).select(
         "shard", F.lit(-1).alias("number"), nothing.alias("data"), "spectra"))
     sums = (dealt.groupBy("shard").cogroup(sent.groupBy("shard"))
-            .applyInArrow(shard_sums(deal, learnt, distinct),
+            .applyInArrow(tidy(shard_sums(deal, learnt, distinct)),
                           "piece long, data binary, head array<struct<id: string, held: boolean, n: long>>"))
 
     def finish(group: pa.Table) -> pa.Table:
@@ -581,7 +581,7 @@ def scored(docs: DataFrame, held: Column, shard_tokens: int = 2_000_000) -> Data
                          "base_score": base, "score": score})
 
     out = sums.groupBy("piece").applyInArrow(
-        finish, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        tidy(finish), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known",
                       F.lit(learnt).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -133,9 +133,10 @@ def plain(texts: pa.Array) -> pa.Array:
 
 
 class Words:
-    """Ids of words by a tokenizer file, each distinct word encoded once while it is kept."""
+    """Ids of words by a tokenizer file, each distinct word encoded once while it is kept; of more than ``most`` the older
+    half goes."""
 
-    def __init__(self, path: str, end: int, most: int = 100_000):
+    def __init__(self, path: str, end: int, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
@@ -143,15 +144,22 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 1
         self.ids[0] = self.end
         self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.sizes[0], self.count = 1, 1  # entry 0 is the end id
 
+    def _drop_older(self) -> None:
+        """Keeps the newer half of the words; entry 0 stays."""
+        first, count = self.count // 2, self.count - self.count // 2 + 1
+        low, used = int(self.starts[first]), self.used - int(self.starts[first]) + 1
+        self.known = {w: i - first + 1 for w, i in self.known.items() if i >= first}
+        self.ids[1:used] = self.ids[low:self.used].copy()
+        self.starts[1:count] = self.starts[first:self.count] - low + 1
+        self.sizes[1:count] = self.sizes[first:self.count].copy()
+        self.used, self.count = used, count
+
     def _encoded(self, new: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word).  Words of letters only, of which each ends with the one id that the
         vocabulary marks as a word's end, are encoded many in a line."""
@@ -187,7 +195,7 @@ class Words:
         """(ids, starts): the ids of text i, the end id last, are ids[starts[i]:starts[i + 1]]."""
         starts, codes, distinct = words(plain(texts), lower=False)
         if self.count > self.most:
-            self._clear()
+            self._drop_older()
         names = distinct.to_pylist()
         self._learn(distinct.filter(pa.array([w not in self.known for w in names], pa.bool_())))
         entry = np.fromiter(map(self.known.get, names, [0] * len(names)), np.int64, len(names))
