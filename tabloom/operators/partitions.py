@@ -14,7 +14,7 @@ ROWS_PER_TASK = 50_000
 MOST_ROWS_PER_CORE = 5_000_000
 
 
-def even_partitions(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> int | None:
+def even_partitions(df: DataFrame, rows_per_task: int | None = None) -> int | None:
     """Partitions that suit a small table in few files; None for any other table.
 
     Fewer files than cores leave cores idle.  A table in many files, or without files to count, is left
@@ -26,10 +26,10 @@ def even_partitions(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> int |
     rows = df.count()
     if rows > cores * MOST_ROWS_PER_CORE:
         return None
-    return max(1, min(cores, -(-rows // rows_per_task)))
+    return max(1, min(cores, -(-rows // (rows_per_task or ROWS_PER_TASK))))
 
 
-def spread(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """``df`` over as many cores as its rows can use, if it is small and comes from few files."""
     partitions = even_partitions(df, rows_per_task)
     return df.repartition(partitions) if partitions else df
