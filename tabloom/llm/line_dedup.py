@@ -1,22 +1,27 @@
-r"""Line deduplication by common blocks of lines, and of words.
+r"""Line deduplication by pairs of documents: common blocks of lines, and of words.
 
-Lines that aren't blank are compared by 128 bits of hash, blanks at their ends apart.  The owner of a line is the
-document with the smallest id that has it.  A block is a run of shared lines that are neighbours, in the same order, in two
-documents.  Blocks of ``least_words`` words or more are deleted from the later document, wherever and however often they stand
-in it.  They are found without choosing pairs of documents: every such block is made of runs with just so many words, from
-a line on or back from a line, and of all documents with such a run, told by its hash, the one with the smallest id keeps it.  So a
-block is found whatever else owns its lines, common lines need no pairs, and the cost is two short rows for each shared line.
+Lines that aren't blank are compared by 128 bits of hash, blanks at their ends apart.  Two documents are a pair if they share
+something rare: a run of neighbouring shared lines that has just ``least_words`` words, from a line on or back from a
+line.  (One long line is such a run; common short lines make no pairs by themselves.)  Of all documents with a run, the one with
+the smallest id is the partner of every other, so a run gives one pair for each later document.  The lines of each pair's runs are
+aligned by patience diff, and aligned blocks of ``least_words`` words or more, neighbours in both documents, are deleted from the
+later one.  Lines that came out of the alignment are aligned again, against all lines of the partner, so that moved and repeated
+blocks go too; a run that four alignments have left is aligned with its occurrence in the partner alone.  As every common block is
+made of such runs, no block is lost, whatever documents own its lines, and a pair carries no more than the lines that made it.
 
-Shorter lines that are frequent are deleted from all documents but their owner: the more words a line has, the fewer documents
-it takes (``frequent``).  Lines of one or two words go in blocks only.  The first occurrence of a line is never deleted, since
-the owner of a line has no earlier document to share it with.
+Shorter lines that are frequent are deleted from all documents but their owner, the document with the smallest id that has
+them: the more words a line has, the fewer documents it takes (``frequent``).  Lines of one or two words go in blocks only.  The
+first occurrence of a line is never deleted, since the owner of a line has no earlier document to share it with.
 
 Passages that begin or end inside a line are found by words, whatever the line breaks: every run of ``passage`` words that
 an earlier document has too is deleted, word for word.  A run has a fingerprint, the least hash of the half as long runs
 in it, which is the same for most neighbouring runs; only runs whose fingerprint is in two documents are compared, by 128 bits.
+Neighbouring runs of one fingerprint are a stretch.  Equal stretches are compared as one row; the runs of a stretch are compared one
+by one only for the first document that has it.
 
 Only hashes and positions of lines and runs are shuffled; the texts move twice, to the fingerprints that are shared and when
-lines and words are taken out.  Lines and runs of many documents are split by the adaptive skew join.
+lines and words are taken out.  Lines and runs that hold more than one ten-thousandth of all rows are joined by broadcast (there are
+at most ten thousand of them), so their rows never meet in one task.
 
 Edge cases: NULL and empty texts have no lines and stay as they are; rows of one doc_id are one document and don't
 deduplicate each other; NULL ids take no part and stay as they are; texts without deletions stay as they are, byte for byte; in
@@ -42,6 +47,8 @@ from tabloom.llm.common import WORD, in_arrow, mix, pieces, table, word_hashes,
 _WORDS = re.compile(WORD)
 #: Odd bases of the two hashes of a run of words.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: A key with more than one in so many rows is hot.
+HOT_SHARE = 10_000
 
 
 def lines_of(text: str) -> Column:
@@ -94,11 +101,11 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def deleted_lines(first: list[tuple], later: list[tuple], least_words: int) -> list[int]:
-    """Places of the later document's lines in common blocks of one pair, by patience diff: the plain form that the tests hold
-    the blocks of all documents against.  Entries are (place, line, words) in order of place."""
+def deleted_lines(first: list[tuple], later: list[tuple], least_words: int, rounds: int = 4) -> list[int]:
+    """Places of the later document's lines in aligned blocks of one pair, by ``rounds`` of patience diff.  Entries are
+    (place, line, words) in order of place."""
     gone = []
-    while first and later:
+    for _ in range(rounds):
         aligned = patience([x[1] for x in first], [x[1] for x in later])
         found, block = set(), []
         for i, j in [*aligned, (None, None)]:
@@ -115,63 +122,134 @@ def deleted_lines(first: list[tuple], later: list[tuple], least_words: int) -> l
     return gone
 
 
-def blocks(seq: list[tuple], least_words: int) -> set[tuple[int, int, int, int]]:
-    """(place, lines, hash, other hash) of the least runs of neighbouring lines that have ``least_words`` words, from each line on
-    and back from each line: a common block of so many words is made of such runs.  Entries are (place, line, words)."""
+def aligned(runs: list[tuple[int, int, np.ndarray]], least_words: int) -> list[int]:
+    """Places of the later document's lines that go, of one pair, whose runs are (place, place in the partner, entries of lines:
+    two hashes and words)."""
+    first, later, seen = {}, {}, []
+    for at, owner_at, names in runs:
+        lines = [((h, g), w) for h, g, w in names.tolist()]
+        later.update(enumerate(lines, at))
+        first.update(enumerate(lines, owner_at))
+        seen.append((at, owner_at, lines))
+    entries = lambda places: [(p, *x) for p, x in sorted(places)]
+    gone = set(deleted_lines(entries(first.items()), entries(later.items()), least_words))
+    for at, owner_at, lines in seen:
+        if not gone.issuperset(range(at, at + len(lines))):
+            gone.update(deleted_lines(entries(enumerate(lines, owner_at)), entries(enumerate(lines, at)), least_words))
+    return sorted(gone)
+
+
+def runs_of(seq: list[tuple], least_words: int) -> set[tuple[int, bytes]]:
+    """(place, entries) of the least runs of neighbouring lines that have ``least_words`` words, from each line on and back from
+    each line: a common block of so many words is made of such runs.  Entries of ``seq`` are (place, hash, other hash,
+    words); those of a run are its hashes and words as 64-bit integers."""
     out = set()
     for step in (1, -1):
         lines = seq[::step]
         words_, stop = 0, 0
-        for i, (at, _, w) in enumerate(lines):
+        for i, (_, _, _, w) in enumerate(lines):
             if stop <= i:
                 words_, stop = w, i + 1
             while words_ < least_words and stop < len(lines) and lines[stop][0] == lines[stop - 1][0] + step:
-                words_, stop = words_ + lines[stop][2], stop + 1
+                words_, stop = words_ + lines[stop][3], stop + 1
             if words_ >= least_words:
                 run = lines[i:stop][::step]
-                names = np.array([x[1] for x in run], np.int64).tobytes()
-                h, g = (int(np.uint64(xxhash.xxh3_64_intdigest(names, seed)).astype(np.int64)) for seed in (0, 1))
-                out.add((run[0][0], len(run), h, g))
+                out.add((run[0][0], np.array([x[1:] for x in run], np.int64).tobytes()))
             words_ -= w
     return out
 
 
+def two_hashes(value: bytes) -> tuple[int, int]:
+    """128 bits of hash as two signed integers."""
+    digest = xxhash.xxh3_128_digest(value)
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
 def frequent(words: Column, documents: Column) -> Column:
     """Whether a line goes by itself: of three words or more, in more documents the shorter it is (34 for three words, 20 for
     five, 12 for nine)."""
     return (words >= 3) & (words * documents >= 100)
 
 
-def deletions(docs: DataFrame, least_words: int) -> DataFrame:
-    """doc_id, version and ``gone``, the sorted places of its deleted lines, of documents (doc_id, version, text) that lose any."""
-    line = F.trim(F.col("line"))
-    lines = (docs.select("doc_id", "version", F.posexplode(lines_of("text")).alias("at", "line"))
-             .select("doc_id", "version", "at", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"),
-                     F.regexp_count("line", F.lit(WORD)).alias("w")))
-    lines = written(lines, "lines")
-    shared = (lines.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.count_distinct("doc_id").alias("n"))
-              .filter("n > 1"))
-    marked = written(lines.join(shared, ["h", "g"]), "shared-lines")
-    sequences = marked.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("at", "h", "g", "w"))).alias("seq"))
+def met(rows: DataFrame, keys: DataFrame, total: int) -> DataFrame:
+    """``rows`` joined by (h, g) to ``keys``, one row for each, whose ``n_rows`` says how many of all ``total`` rows have it."""
+    hot = F.broadcast(keys.filter(F.col("n_rows") > total / HOT_SHARE).drop("n_rows"))
+    cold = keys.filter(F.col("n_rows") <= total / HOT_SHARE).drop("n_rows")
+    return (rows.join(hot, ["h", "g"])
+            .unionByName(rows.join(hot.select("h", "g"), ["h", "g"], "left_anti").join(cold, ["h", "g"])))
+
+
+def scanned(docs: DataFrame, passage: int) -> DataFrame:
+    """doc_id, version, the lines of each text that aren't blank as lists h, g (hashes) and w (words), and ``prints``, its distinct
+    fingerprints of runs of ``passage`` words."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                ends, digests, sizes = [0], [], []
+                for text in piece.column("text").cast(pa.binary()):
+                    for line in text.as_py().split(b"\n"):
+                        n = len(line.split())
+                        if n:
+                            digests.append(xxhash.xxh3_128_digest(line.strip(b" ")))
+                            sizes.append(n)
+                    ends.append(len(sizes))
+                hashes = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x))
+                         for x in (hashes[:, 0], hashes[:, 1], np.array(sizes, np.int32))]
+                starts, codes, distinct = words(piece.column("text"), lower=False)
+                counts, prints = fingerprints(starts, word_hashes(distinct)[codes], passage)
+                of = [np.unique(prints[s:s + n]) for s, n in zip(starts, counts)]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), piece.column("version"), *lists, pa.array(of, pa.list_(pa.int64()))],
+                    ["doc_id", "version", "h", "g", "w", "prints"])
+
     kind = docs.schema["doc_id"].dataType.simpleString()
+    return written(in_arrow(docs, scan, f"doc_id {kind}, version long, h array<long>, g array<long>, w array<int>, "
+                                        "prints array<long>"), "scan")
+
+
+def deletions(scan: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, version and ``gone``, the sorted places of its deleted lines, of scanned documents that lose any."""
+    lines = scan.select("doc_id", "version", F.posexplode(F.arrays_zip("h", "g", "w")).alias("at", "x")).select(
+        "doc_id", "version", "at", "x.h", "x.g", "x.w")
+    shared = written(lines.groupBy("h", "g")
+                     .agg(F.min("doc_id").alias("owner"), F.count_distinct("doc_id").alias("n"), F.count(F.lit(1)).alias("n_rows"))
+                     .filter("n > 1"), "shared")
+    total = scan.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0]
+    marked = written(met(lines, shared, total), "shared-lines")
+    sequences = marked.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("at", "h", "g", "w"))).alias("seq"))
+    kind = scan.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for i, seq in enumerate(batch.column("seq").to_pylist()):
-                found += [(i, *x) for x in blocks([(x["at"], (x["h"], x["g"]), x["w"]) for x in seq], least_words)]
-            row, first, size, h, g = zip(*found) if found else [()] * 5
+                found += [(i, at, *two_hashes(names), names) for at, names in runs_of([(*x.values(),) for x in seq], least_words)]
+            row, at, h, g, names = zip(*found) if found else [()] * 5
             rows = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("version").take(rows), pa.array(first, pa.int32()),
-                 pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64())],
-                ["doc_id", "version", "at", "size", "h", "g"])
+                [batch.column("doc_id").take(rows), batch.column("version").take(rows), pa.array(at, pa.int32()),
+                 pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(names, pa.binary())],
+                ["doc_id", "version", "at", "h", "g", "names"])
+
+    found = written(in_arrow(sequences, rare, f"doc_id {kind}, version long, at int, h long, g long, names binary"), "runs-of-lines")
+    first = (found.groupBy("h", "g").agg(F.min(F.struct("doc_id", "version", "at")).alias("first"), F.max("doc_id").alias("last"),
+                                         F.count(F.lit(1)).alias("n_rows"))
+             .filter("first.doc_id <> last")
+             .select("h", "g", "n_rows", F.col("first.doc_id").alias("owner"), F.col("first.version").alias("owner_version"),
+                     F.col("first.at").alias("owner_at")))
+    pairs = (met(found, written(first, "partners"), found.count()).filter("doc_id <> owner")
+             .groupBy("doc_id", "version", "owner", "owner_version")
+             .agg(F.collect_list(F.struct("at", "owner_at", "names")).alias("runs")))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [aligned([(x["at"], x["owner_at"], np.frombuffer(x["names"], np.int64).reshape(-1, 3)) for x in runs], least_words)
+                    for runs in batch.column("runs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(gone, pa.list_(pa.int32()))],
+                                             ["doc_id", "version", "gone"])
 
-    found = written(in_arrow(sequences, run, f"doc_id {kind}, version long, at int, size int, h long, g long"), "blocks")
-    first = (found.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-             .filter("owner <> last").drop("last"))
-    later = (found.join(first, ["h", "g"]).filter("doc_id <> owner").groupBy("doc_id", "version")
-             .agg(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("size") - 1))).alias("gone")))
+    later = in_arrow(pairs, align, f"doc_id {kind}, version long, gone array<int>")
     alone = (marked.filter((F.col("doc_id") != F.col("owner")) & frequent(F.col("w"), F.col("n")))
              .groupBy("doc_id", "version").agg(F.collect_list("at").alias("gone")))
     return (later.unionByName(alone).groupBy("doc_id", "version")
@@ -209,25 +287,27 @@ def fingerprints(starts: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.nda
     return np.minimum(np.maximum(np.diff(starts) - n + 1, 0), len(prints)), prints
 
 
-def passages(docs: DataFrame, gone: DataFrame, passage: int) -> DataFrame:
-    """doc_id, version and ``runs``: the words at which a run of ``passage`` words begins that an earlier document has too.
+def stretches(wanted: np.ndarray, prints: np.ndarray, longest: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(first, after) of the neighbouring wanted runs of one fingerprint, in parts of at most ``longest``."""
+    at = np.flatnonzero(wanted)
+    if not len(at):
+        return at, at
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > 1) | (np.diff(prints[at]) != 0)
+    begin = np.flatnonzero(new)
+    since = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+    begin = np.flatnonzero(since % longest == 0)
+    return at[begin], at[np.append(begin[1:], len(at)) - 1] + 1
 
-    Exact: a run is compared by 128 bits of hash once its fingerprint is known to be in two documents."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch):
-                starts, codes, distinct = words(piece.column("text"), lower=False)
-                counts, prints = fingerprints(starts, word_hashes(distinct)[codes], passage)
-                of = [np.unique(prints[s:s + n]) for s, n in zip(starts, counts)]
-                some = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id").take(pa.array(some)), piece.column("version").take(pa.array(some)),
-                     pa.array([of[i] for i in some], pa.list_(pa.int64()))], ["doc_id", "version", "prints"])
+def passages(docs: DataFrame, scan: DataFrame, gone: DataFrame, passage: int) -> DataFrame:
+    """doc_id, version and ``runs``: (at, n) where n runs of ``passage`` words begin, at word ``at`` and on, that an earlier
+    document has too.
 
-    prints = written(in_arrow(docs, printed, f"doc_id {kind}, version long, prints array<long>"), "prints")
-    prints = prints.select("doc_id", "version", F.explode("prints").alias("print"))
+    Exact: a run is compared by 128 bits of hash once its fingerprint is known to be in two documents.  The first document that
+    has a stretch has all its runs, so other documents lose them at once, and only its own runs are compared with other stretches."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = scan.select("doc_id", "version", F.explode("prints").alias("print"))
     shared = (prints.groupBy("print").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
               .filter("owner <> last").select("print"))
     hits = prints.join(shared, "print").groupBy("doc_id", "version").agg(F.collect_set("print").alias("prints"))
@@ -240,26 +320,45 @@ def passages(docs: DataFrame, gone: DataFrame, passage: int) -> DataFrame:
                 starts, codes, distinct = words(piece.column("text"), lower=False)
                 hashes = word_hashes(distinct)[codes]
                 counts, prints = fingerprints(starts, hashes, passage)
-                found = []
+                keys = np.stack([grams(hashes, base, passage) for base in BASES], 1).view(np.int64)
+                row, at, names, runs = [], [], [], []
                 for i, (s, n) in enumerate(zip(starts, counts)):
-                    wanted = np.isin(prints[s:s + n], piece.column("prints")[i].values.to_numpy())
+                    own = prints[s:s + n]
+                    wanted = np.isin(own, piece.column("prints")[i].values.to_numpy())
                     if n and piece.column("gone")[i].is_valid:  # runs of deleted lines alone are settled
                         lost = np.concatenate([[0], np.cumsum(words_gone(piece.column("text")[i].as_py(),
                                                                          piece.column("gone")[i].as_py()))])
                         wanted &= lost[passage:passage + n] - lost[:n] < passage
-                    found.append(np.flatnonzero(wanted))
-                row, at = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([*found, np.zeros(0, np.int64)])
-                keys = [grams(hashes, base, passage)[starts[row] + at].view(np.int64) for base in BASES]
-                rows = pa.array(row)
+                    for a, b in zip(*(x.tolist() for x in stretches(wanted, own))):
+                        runs.append(keys[s + a:s + b].tobytes())
+                        names.append(two_hashes(runs[-1]))
+                        row.append(i)
+                        at.append(a)
+                rows = pa.array(row, pa.int32())
+                held = np.frombuffer(b"".join(runs), np.int64).reshape(-1, 2)
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) // 16 for x in runs])]).astype(np.int32))
+                h, g = np.array(names, np.int64).reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id").take(rows), piece.column("version").take(rows), pa.array(at, pa.int32()),
-                     *map(pa.array, keys)], ["doc_id", "version", "at", "h", "g"])
-
-    runs = written(in_arrow(asked, candidates, f"doc_id {kind}, version long, at int, h long, g long"), "runs")
-    first = (runs.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+                    [piece.column("doc_id").take(rows), piece.column("version").take(rows), pa.array(at, pa.int32()), pa.array(h),
+                     pa.array(g), *(pa.ListArray.from_arrays(ends, pa.array(held[:, k])) for k in (0, 1))],
+                    ["doc_id", "version", "at", "h", "g", "hs", "gs"])
+
+    found = written(in_arrow(asked, candidates, f"doc_id {kind}, version long, at int, h long, g long, hs array<long>, "
+                                                "gs array<long>"), "stretches")
+    first = written(found.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n_rows")), "first-stretches")
+    total = found.count()
+    settled = (met(found.select("doc_id", "version", "at", F.size("hs").alias("n"), "h", "g"), first, total)
+               .filter("doc_id <> owner").select("doc_id", "version", "at", "n"))
+    runs = written(met(found, first, total).filter("doc_id = owner")
+                   .select("doc_id", "version", "at", F.posexplode(F.arrays_zip("hs", "gs")).alias("i", "x"))
+                   .select("doc_id", "version", (F.col("at") + F.col("i")).alias("at"), F.col("x.hs").alias("h"), F.col("x.gs").alias("g")),
+                   "runs-of-words")
+    again = (runs.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_rows"))
              .filter("owner <> last").drop("last"))
-    return (runs.join(first, ["h", "g"]).filter("doc_id <> owner").groupBy("doc_id", "version")
-            .agg(F.sort_array(F.collect_list("at")).alias("runs")))
+    later = (met(runs, written(again, "first-runs"), runs.count()).filter("doc_id <> owner")
+             .select("doc_id", "version", "at", F.lit(1).alias("n")))
+    return (settled.unionByName(later).groupBy("doc_id", "version")
+            .agg(F.collect_list(F.struct("at", "n")).alias("runs")))
 
 
 def words_gone(text: str, gone: list[int]) -> np.ndarray:
@@ -270,24 +369,25 @@ def words_gone(text: str, gone: list[int]) -> np.ndarray:
     return np.repeat(lost, counts)
 
 
-def without(text: str, gone: list[int], runs: list[int], passage: int) -> tuple[str, int]:
+def without(text: str, gone: list[int], runs: list[dict], passage: int) -> tuple[str, int]:
     """The text without the deleted lines and the words of the deleted runs, and how many lines are left out as a whole."""
     lost = words_gone(text, gone)
-    for i in runs:
-        lost[i:i + passage] = True
+    for run in runs:
+        lost[run["at"]:run["at"] + run["n"] + passage - 1] = True
     left, at, dropped = [], 0, 0
     for line in text.split("\n"):
-        spans = [m.span() for m in _WORDS.finditer(line)]
-        keep, at = ~lost[at:at + len(spans)], at + len(spans)
-        if not spans:
+        n = len(line.encode().split())
+        if not n:
             continue
-        if keep.all():
+        gaps, at = lost[at:at + n], at + n
+        if not gaps.any():
             left.append(line)
-        elif keep.any():
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]])))
-            left.append(" ".join(line[spans[a][0]:spans[b - 1][1]] for a, b in zip(edges[::2], edges[1::2])))
-        else:
+        elif gaps.all():
             dropped += 1
+        else:
+            spans = [m.span() for m in _WORDS.finditer(line)]
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], ~gaps, [False]])))
+            left.append(" ".join(line[spans[a][0]:spans[b - 1][1]] for a, b in zip(edges[::2], edges[1::2])))
     return "\n".join(left), dropped
 
 
@@ -296,11 +396,13 @@ def deduplicated(docs: DataFrame, least_words: int = 10, passage: int = 50) -> D
     n_deleted, the lines of which nothing is left."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     keyed = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
-    gone = written(deletions(keyed, least_words), "gone-lines")
-    runs = passages(keyed, gone, passage)
+    scan = scanned(keyed, passage)
+    gone = written(deletions(scan, least_words), "gone-lines")
+    runs = passages(keyed, scan, gone, passage)
     edits = gone.join(runs, ["doc_id", "version"], "full").select(
         F.col("doc_id").alias("_id"), F.col("version").alias("_version"),
-        F.struct(*(F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in ("gone", "runs"))).alias("_edits"))
+        F.struct(F.coalesce("gone", F.array().cast("array<int>")).alias("gone"),
+                 F.coalesce("runs", F.array().cast("array<struct<at:int,n:int>>")).alias("runs")).alias("_edits"))
     joined = docs.select(*own).join(
         edits, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left")
     lines = F.greatest(F.coalesce(F.size(lines_of("text")), F.lit(0)), F.lit(0))
