@@ -171,3 +171,19 @@ def test_top_k_of_large_components(spark):
            .orderBy("rank").collect()]
     score = lambda x: sum(int(64 * a) * int(64 * b) for a, b in zip(rows[0][1], x))
     assert got == [(0, rank, i, score(rows[i][1])) for rank, i in enumerate((4, 3, 2, 1), 1)]
+
+
+def test_top_k_over_several_blocks_is_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(0, 0.2, (400, 12)), 3)
+    x[100:120] = x[0]  # copies tie
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(40, x[40].tolist()), (40, (x[40] + 1).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("rank", F.lit(0))
+    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 7, row_block=64).collect()}
+    ints = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
+    want = set()
+    for key in range(0, 400, 20):
+        q = np.floor(64 * np.array(min(v for i, v in rows if i == key))).astype(int)
+        best = sorted((-int(q @ v), i) for i, v in ints if i != key)[:7]
+        want |= {(key, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
+    assert got == want

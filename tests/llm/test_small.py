@@ -74,3 +74,19 @@ def test_impact_index_proves_its_members():
     for q in rng.integers(-20, 20, (20, 16)).astype(float):
         scores = x @ q
         assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(index.members(q, 5, few=20).tolist())
+
+
+def test_impacts_prove_most_rows_away_on_real_vectors():
+    import pyarrow.parquet as pq
+
+    x = np.floor(64 * np.array([v for v in pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist()
+                                if v and all(c is not None and np.isfinite(c) for c in v)][:4000], float))
+    index = ImpactIndex(x)
+    asked, scored = x[::40], 0
+    for q in asked:
+        scores = x @ q
+        members = index.members(q, 20, few=40)
+        assert set(np.flatnonzero(scores >= np.sort(scores)[-20])) <= set(members.tolist())
+        scored += len(members)
+    assert index.read < 0.85 * len(asked) * sum(int(p.sum()) for p in index.postings)
+    assert scored < 0.05 * len(asked) * len(x)
