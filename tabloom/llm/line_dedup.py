@@ -17,7 +17,8 @@ Passages that begin or end inside a line are found by words, whatever the line b
 an earlier document has too is deleted, word for word.  A run has a fingerprint, the least hash of the half as long runs
 in it, which is the same for most neighbouring runs; only runs whose fingerprint is in two documents are compared, by 128 bits.
 Neighbouring runs of one fingerprint are a stretch.  Equal stretches are compared as one row; the runs of a stretch are compared one
-by one only for the first document that has it.
+by one only for the first document that has it, and only if another document is the first to have another stretch of that
+fingerprint.
 
 Only hashes and positions of lines and runs are shuffled; the texts move twice, to the fingerprints that are shared and when
 lines and words are taken out.  Lines and runs that hold more than one ten-thousandth of all rows are joined by broadcast (there are
@@ -305,7 +306,8 @@ def passages(docs: DataFrame, scan: DataFrame, gone: DataFrame, passage: int) ->
     document has too.
 
     Exact: a run is compared by 128 bits of hash once its fingerprint is known to be in two documents.  The first document that
-    has a stretch has all its runs, so other documents lose them at once, and only its own runs are compared with other stretches."""
+    has a stretch has all its runs, so other documents lose them at once, and only its own runs are compared with other stretches.
+    Equal runs have one fingerprint, so they are compared only where stretches of one fingerprint have different first documents."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = scan.select("doc_id", "version", F.explode("prints").alias("print"))
     shared = (prints.groupBy("print").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
@@ -321,7 +323,7 @@ def passages(docs: DataFrame, scan: DataFrame, gone: DataFrame, passage: int) ->
                 hashes = word_hashes(distinct)[codes]
                 counts, prints = fingerprints(starts, hashes, passage)
                 keys = np.stack([grams(hashes, base, passage) for base in BASES], 1).view(np.int64)
-                row, at, names, runs = [], [], [], []
+                row, at, names, of, runs = [], [], [], [], []
                 for i, (s, n) in enumerate(zip(starts, counts)):
                     own = prints[s:s + n]
                     wanted = np.isin(own, piece.column("prints")[i].values.to_numpy())
@@ -334,22 +336,28 @@ def passages(docs: DataFrame, scan: DataFrame, gone: DataFrame, passage: int) ->
                         names.append(two_hashes(runs[-1]))
                         row.append(i)
                         at.append(a)
+                        of.append(own[a])
                 rows = pa.array(row, pa.int32())
                 held = np.frombuffer(b"".join(runs), np.int64).reshape(-1, 2)
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(x) // 16 for x in runs])]).astype(np.int32))
                 h, g = np.array(names, np.int64).reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id").take(rows), piece.column("version").take(rows), pa.array(at, pa.int32()), pa.array(h),
-                     pa.array(g), *(pa.ListArray.from_arrays(ends, pa.array(held[:, k])) for k in (0, 1))],
-                    ["doc_id", "version", "at", "h", "g", "hs", "gs"])
-
-    found = written(in_arrow(asked, candidates, f"doc_id {kind}, version long, at int, h long, g long, hs array<long>, "
-                                                "gs array<long>"), "stretches")
-    first = written(found.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n_rows")), "first-stretches")
-    total = found.count()
-    settled = (met(found.select("doc_id", "version", "at", F.size("hs").alias("n"), "h", "g"), first, total)
+                     pa.array(g), pa.array(np.array(of, np.int64)), *(pa.ListArray.from_arrays(ends, pa.array(held[:, k])) for k in (0, 1))],
+                    ["doc_id", "version", "at", "h", "g", "print", "hs", "gs"])
+
+    found = written(in_arrow(asked, candidates, f"doc_id {kind}, version long, at int, h long, g long, print long, "
+                                                "hs array<long>, gs array<long>"), "stretches")
+    first = written(found.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"),
+                                                F.min("print").alias("print"), F.count(F.lit(1)).alias("n_rows")), "first-stretches")
+    total = first.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    settled = (met(found.select("doc_id", "version", "at", F.size("hs").alias("n"), "h", "g"),
+                   first.filter("owner <> last").select("h", "g", "owner", "n_rows"), total)
                .filter("doc_id <> owner").select("doc_id", "version", "at", "n"))
-    runs = written(met(found, first, total).filter("doc_id = owner")
+    several = (first.groupBy("print").agg(F.min("owner").alias("one"), F.max("owner").alias("other")).filter("one <> other")
+               .select("print"))
+    compared = written(first.join(several, "print", "left_semi").select("h", "g", "owner", "n_rows"), "compared")
+    runs = written(met(found.drop("print"), compared, total).filter("doc_id = owner")
                    .select("doc_id", "version", "at", F.posexplode(F.arrays_zip("hs", "gs")).alias("i", "x"))
                    .select("doc_id", "version", (F.col("at") + F.col("i")).alias("at"), F.col("x.hs").alias("h"), F.col("x.gs").alias("g")),
                    "runs-of-words")
