@@ -249,6 +249,23 @@ def offline(spark, sf) -> DataFrame:
         "eventsID", "EventTime", "event_id", "event_type", "value")
 
 
+def rerun(spark, sf) -> DataFrame:
+    """Two runs that share a group, each written twice: every run's rows are there once."""
+    root, rows = scratch_path(spark, "store"), _event_rows(spark, sf)
+    for run, part in (("a", rows.filter("event_id % 2 = 0")), ("b", rows.filter("event_id % 2 = 1"))) * 2:
+        store.write_feature_group(part, root, "events", run)
+    return store.read_feature_group(spark, root, "events").select(
+        "eventsID", "EventTime", "event_id", "event_type", "value")
+
+
+def upserted(spark, sf) -> DataFrame:
+    """The latest rows after merging a part of the events, then all, then all again."""
+    root, rows = scratch_path(spark, "store"), _event_rows(spark, sf)
+    for part in (rows.filter("event_id % 3 = 0"), rows, rows):
+        store.upsert_latest(part, root, "events", "eventsID", tie_break=["event_id"])
+    return store.read_latest(spark, root, "events").select("eventsID", "EventTime", "event_id", "event_type", "value")
+
+
 def latest(spark, sf) -> DataFrame:
     return store.latest_rows(_event_rows(spark, sf), "eventsID", tie_break=["event_id"]).select(
         "eventsID", "EventTime", "event_id", "event_type", "value")
@@ -257,6 +274,10 @@ def latest(spark, sf) -> DataFrame:
 _EVENTS = "CAST(user_id AS VARCHAR) AS eventsID, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS EventTime"
 
 
+_LATEST_SQL = f"""SELECT {_EVENTS}, event_id, event_type, value FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+
+
 def roundtrip(spark, sf) -> DataFrame:
     """Save and load a fitted chain of our own and built-in stages; compare every transformed row."""
     df = orders_with_gaps(spark, sf)
@@ -353,8 +374,9 @@ QUERIES = {
         UNION ALL SELECT 2, 'multiplied_o_totalprice_o_custkey', 'Fractional', count(o_totalprice * o_custkey) FROM orders
         UNION ALL SELECT 3, 'ordersID', 'String', NULL UNION ALL SELECT 4, 'EventTime', 'String', NULL"""),
     "feature_group_offline": (offline, f"SELECT {_EVENTS}, event_id, event_type, value FROM events"),
-    "feature_group_latest": (latest, f"""SELECT {_EVENTS}, event_id, event_type, value FROM events
-        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""),
+    "feature_group_latest": (latest, _LATEST_SQL),
+    "feature_group_rerun": (rerun, f"SELECT {_EVENTS}, event_id, event_type, value FROM events"),
+    "feature_group_upsert": (upserted, _LATEST_SQL),
     "model_roundtrip": (roundtrip, "SELECT count(*) AS n_rows, count(*) AS n_equal FROM orders"),
     "feature_columns": (feature_columns, None),
     "auto_features": (auto_features, None),

@@ -21,6 +21,7 @@ from tabloom.operators.split import hash_split
 from tabloom.plans.automl import AutoML, Budget, run_automl
 from tabloom.plans.features import AutoFeatures
 from tabloom.sources import results
+from tabloom.sources.feature_store import RUN
 
 COLUMNS = ["a", "b", "c", "d"]
 
@@ -278,6 +279,7 @@ def test_classification_run(spark, raw, tmp_path):
     assert board[0]["score"] > 0.9 and board[0]["algorithm"] == result.best.learner.name
     assert "price" not in result.frame.model.columns and "id" not in result.frame.model.columns
     result.save()
+    result.save()  # a run that is saved again replaces its own rows
     stored = results.read_leaderboard(spark, str(tmp_path))
     assert results.best_run(stored).first()["algorithm"] == result.best.learner.name
     loaded = results.load_model(result.model_path(result.best))
@@ -285,7 +287,8 @@ def test_classification_run(spark, raw, tmp_path):
     assert [r["prediction"] for r in loaded.transform(new).orderBy("id").collect()] == [
         r["prediction"] for r in result.best.model.transform(new).orderBy("id").collect()]
     path = result.write_feature_group(result.best, "toy", F.lit(7))  # the id of a record is the run's key
-    rows = spark.read.parquet(path)
+    assert result.write_feature_group(result.best, "toy", F.lit(7)) == path  # once more: the run's rows are replaced
+    rows = spark.read.parquet(path).drop(RUN)
     assert {int(r["toyID"]) for r in rows.collect()} == {r["id"] for r in result.frame.raw_train.select("id").collect()}
     assert rows.columns[:2] == ["toyID", "EventTime"] and rows.count() == result.frame.raw_train.count()
     defined = spark.read.parquet(str(tmp_path / "feature_definitions")).orderBy("position").collect()
