@@ -53,8 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_quality), ("lines", dedup_lines), ("near_duplicates", dedup_near), ("mixing", mix_sources),
           ("packing", pack)]
-#: A classifier and a tokenizer can't be written in SQL.  The tests hold the packing of ids against the tokenizer; the other
-#: stages have tests of their operators only.
+#: A classifier and a tokenizer can't be written in SQL.  A test holds each stage against a plain version of it.
 ORACLE_SQL = None
 
 
