@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
-from tabloom.operators import partitions
+from tabloom.operators import partitions, search
+from tabloom.operators.assemble import assembler
+from tabloom.operators.evaluate import MULTICLASS, make_evaluator
+from tabloom.operators.learners import LEARNERS, Setting
+from tabloom.operators.split import hash_split, split_number
 
 
 def _most(df) -> int:
@@ -23,3 +29,26 @@ def test_partitions_of_a_fit_are_bounded(spark, tmp_path, monkeypatch):
     assert partitions.bounded_partitions(spark.range(4000)) is None
     monkeypatch.setattr(partitions, "MOST_ROWS_PER_TASK", 1_000_000)
     assert partitions.bounded_partitions(many) is None
+
+
+def test_searches_keep_numbers_not_keys(spark, monkeypatch):
+    df = assembler(["x"]).transform(spark.range(300).selectExpr(
+        "id", "id % 7 AS x", "CAST(id % 7 > 3 AS double) AS label"))
+    seen = []
+    learner = LEARNERS["decision_tree"]
+    evaluator = make_evaluator(MULTICLASS, "f1")
+
+    @contextmanager
+    def watched(rows, rows_per_task=None):
+        seen.append((rows.columns, rows.count()))
+        with partitions.kept(rows, rows_per_task) as copy:
+            yield copy
+
+    monkeypatch.setattr(search, "kept", watched)
+    for method in ("cross_validation", "single_split"):
+        _, score = search.grid_search(df, learner, Setting(), evaluator, ["id"], method, portable=True)
+        assert score.value > 0.9
+    assert [(set(c), n) for c, n in seen] == [({"label", "features", "held", "fold"}, 300)] * 2
+    numbered = search._numbered(df, learner.estimator(Setting()), evaluator, {"fold": split_number([1, 1, 1], ["id"], 4, True)})
+    parts = hash_split(df, [1, 1, 1], ["id"], 4, portable=True)
+    assert [numbered.filter(F.col("fold") == i).count() for i in range(3)] == [p.count() for p in parts]
