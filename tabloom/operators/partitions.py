@@ -40,17 +40,18 @@ def bounded_partitions(df: DataFrame) -> int | None:
     return -(-rows // MOST_ROWS_PER_TASK) if (most or 0) > MOST_ROWS_PER_TASK else None
 
 
-def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
-    """``df`` over as many cores as its rows can use if it is small and comes from few files, and over as many partitions as
-    keep each of them bounded if it is large."""
-    partitions = even_partitions(df, rows_per_task) or bounded_partitions(df)
+def spread(df: DataFrame, rows_per_task: int | None = None, bounded: bool = False) -> DataFrame:
+    """``df`` over as many cores as its rows can use, if it is small and comes from few files.
+
+    ``bounded`` also deals out a large table, so that no partition grows with it: for rows that fits keep."""
+    partitions = even_partitions(df, rows_per_task) or (bounded_partitions(df) if bounded else None)
     return df.repartition(partitions) if partitions else df
 
 
 @contextmanager
 def kept(df: DataFrame, rows_per_task: int | None = None) -> Iterator[DataFrame]:
     """``df`` spread and kept for many passes, however large it is: for few columns that cost more to compute than to keep."""
-    copy = spread(df, rows_per_task).persist(StorageLevel.MEMORY_AND_DISK)
+    copy = spread(df, rows_per_task, bounded=True).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield copy
     finally:

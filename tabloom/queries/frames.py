@@ -309,7 +309,8 @@ def _auto(spark, sf):
     plan = AutoFeatures("flagged", ignore=("demand", *LINE_KEYS), budget=2, seed=3)
     roles = column_roles(df, "flagged").without(plan.ignore)
     df = used_columns(df, [*LINE_KEYS, "flagged", *roles.numeric, *roles.categorical])
-    with working_copy(df) as rows:
+    # No statistic is learned from the keys, so the copy that the fit reads goes without them.
+    with working_copy(df.drop(*LINE_KEYS)) as rows:
         return spread(df), plan.fit(rows)
 
 

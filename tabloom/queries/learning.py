@@ -139,7 +139,7 @@ def _vectors(spark, sf, label: str) -> tuple[DataFrame, DataFrame]:
     df = labelled_lineitem(spark, sf).withColumn("returned", (F.col("l_returnflag") == "R").cast("double"))
     frame = assembler(_INPUTS).transform(df).select(*LINE_KEYS, FEATURES, F.col(label).cast("double").alias("label"))
     train, test = (part.select(FEATURES, "label") for part in hash_split(frame, [0.8, 0.2], LINE_KEYS, seed=1, portable=True))
-    return spread(train).persist(StorageLevel.MEMORY_AND_DISK), spread(test)
+    return spread(train, bounded=True).persist(StorageLevel.MEMORY_AND_DISK), spread(test, bounded=True)
 
 
 def _fit(name: str, task: str, **params) -> Callable:
@@ -265,7 +265,7 @@ def _search_frames(spark, sf, label: str, weights=(0.75, 0.25), seed: int = 2) -
     """The kept frame and its two parts; the number of the part is kept in place of the keys, so no pass hashes them again."""
     frame = _candidates(spark, sf, label).select(
         FEATURES, "label", split_number(weights, LINE_KEYS, seed, portable=True).alias("part"))
-    frame = spread(frame).persist(StorageLevel.MEMORY_AND_DISK)
+    frame = spread(frame, bounded=True).persist(StorageLevel.MEMORY_AND_DISK)
     return frame, *(frame.filter(F.col("part") == i) for i in (0, 1))
 
 

@@ -11,6 +11,8 @@ from tabloom.operators.assemble import assembler
 from tabloom.operators.evaluate import MULTICLASS, make_evaluator
 from tabloom.operators.learners import LEARNERS, Setting
 from tabloom.operators.split import hash_split, split_number
+from tabloom.queries import frames
+from tabloom.queries.inputs import LINE_KEYS
 
 
 def _most(df) -> int:
@@ -24,9 +26,9 @@ def test_partitions_of_a_fit_are_bounded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(partitions, "MOST_ROWS_PER_TASK", 500)
     assert partitions.even_partitions(few) == 8 and partitions.even_partitions(many) is None
     for df, rows in ((few, 4000), (many, 8000)):
-        copy = partitions.spread(df)
+        copy = partitions.spread(df, bounded=True)
         assert copy.count() == rows and _most(copy) <= 600
-    assert partitions.bounded_partitions(spark.range(4000)) is None
+    assert partitions.bounded_partitions(spark.range(4000)) is None and partitions.spread(many) is many
     monkeypatch.setattr(partitions, "MOST_ROWS_PER_TASK", 1_000_000)
     assert partitions.bounded_partitions(many) is None
 
@@ -52,3 +54,18 @@ def test_searches_keep_numbers_not_keys(spark, monkeypatch):
     numbered = search._numbered(df, learner.estimator(Setting()), evaluator, {"fold": split_number([1, 1, 1], ["id"], 4, True)})
     parts = hash_split(df, [1, 1, 1], ["id"], 4, portable=True)
     assert [numbered.filter(F.col("fold") == i).count() for i in range(3)] == [p.count() for p in parts]
+
+
+def test_the_copy_of_the_feature_frame_has_no_keys(spark, monkeypatch):
+    copied = []
+
+    @contextmanager
+    def watched(df):
+        copied.append(df.columns)
+        with partitions.working_copy(df) as rows:
+            yield rows
+
+    monkeypatch.setattr(frames, "working_copy", watched)
+    df, model = frames._auto(spark, "/root/testdata/sf0.001")
+    assert not set(copied[0]) & set(LINE_KEYS) and set(LINE_KEYS) <= set(df.columns)
+    assert model.transform(df).count() == df.count() and not set(model.columns) & set(LINE_KEYS)
