@@ -6,20 +6,24 @@ to (count of w + 1) / (all tokens + distinct tokens + 1).  Discounts for counts
 counts of each order.
 
 The corpus is dealt to shards by v, about ``shard_tokens`` tokens each; a word with more than half of that as v is split
-further by u, and stands then for as many contexts (v, class of u); its pairs (v, w) are counted over all shards and sent to
-those that hold a class of it, and the counts of counts behind the discounts are sums over all shards, so neither the size of
-a shard nor their number changes a score.    The number of shards follows the input.  Each shard
+further by u, and stands then for as many contexts (v, class of u); its pairs (v, w) are counted over all shards, and the counts
+of counts behind the discounts are sums over all shards, so neither the size of a shard nor their number changes a score.  The
+number of shards follows the input.  Each shard
 holds its part of the model as a trie: contexts v; under each v its successors w and its contexts u; under each
 (v, u) the successors, named by their rank among the successors of v.  The levels and the pointers between them are
 Elias-Fano sequences; log probabilities and the masses left over are 16-bit steps.  The levels lie in a file that is mapped
-into memory.  A text's trigrams go to the shards, are looked up there by successor search, and the sums of each
+into memory.  A text's trigrams go to the shards, are looked up there by successor search, and the steps of each
 document come back.
 
-Jobs: (1) tokens, and words that are frequent in a piece of text, of which the driver gets those that are to be split,
-at most two for each shard; (2) counts of all words, and of the words
-after split words, sent to the shards that need them; (3) counts of counts of the trigrams that came to each shard; (4) trigrams to the shards, sums to the
-documents.  What is shuffled are compressed arrays, a row for each piece of text and shard.  Counts are exact but for equal
-56-bit hashes of different words.  A pair (u, v) isn't split, so one pair that makes up most of a corpus is one task.
+The most frequent ``COMMON`` words have codes, which all tasks know together with their counts; other words, and pairs of a
+split word, are named by hash, and their counts go only to the shards that ask for them.  So what a token costs to move does not
+grow with the number of shards.  Which words have codes changes sizes, never results.
+
+Jobs: (1) words that are frequent in a piece of text, of which the driver gets ``COMMON`` at most; (2) counts of all words, and of
+the words after split words, sent to the shards that need them; (3) counts of counts of the trigrams that came to each shard;
+(4) trigrams to the shards, steps to the documents.  What is shuffled are compressed arrays, a row for each piece of text and
+shard.  Counts are exact but for equal 56-bit hashes of different words or pairs.  A pair (u, v) isn't split, so one pair that
+makes up most of a corpus is one task.
 
 Edge cases: a NULL or empty text is one end; a NULL id trains and isn't held out; repeated rows count each time; without
 training rows every token has the probability 1 (N and V are 0); an empty table gives an empty result.  Other columns are not
@@ -43,6 +47,9 @@ MASK = np.uint64((1 << 56) - 1)
 BEGIN, END = np.uint64(0x297A4D3F84D5B5), np.uint64(0xE31DA4C2B2AE35)
 STEP = 1 / 2048  # of a stored log10
 PIECE = 32 << 20
+COMMON = 1 << 16
+LEAST_SHARE = 1 << 20  # a word with a code makes up one in so many tokens
+BLOCK = 1 << 12  # codes whose counts are summed together
 _CODEC = "zstd"
 
 
@@ -77,46 +84,76 @@ def steps_of(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
 
+def order_of(key: np.ndarray) -> np.ndarray:
+    """The places of the keys (not negative) in order, equal ones as they come."""
+    bits = max(1, len(key).bit_length())
+    if int(key.max(initial=0)).bit_length() + bits > 62:
+        return np.argsort(key, kind="stable")
+    return np.sort(key << bits | np.arange(len(key))) & ((1 << bits) - 1)
+
+
+def begins(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value begins in values in order."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def pair_hashes(number: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Names of the pairs (split word, w)."""
+    return mix(hashes ^ mix(number.astype(np.uint64) + np.uint64(1))) & MASK
+
+
 class Deal:
-    """Which shard a context goes to.  Words that are split have a number; their contexts are classes of u (for BEGIN,
-    of the row)."""
+    """Which shard a context goes to, and the codes of common words, by falling frequency.  Words that are split are common ones and
+    have a number; their contexts are classes of u (for BEGIN, of the row)."""
 
-    def __init__(self, shards: int, split: dict[int, int]):
-        self.shards = shards
+    def __init__(self, shards: int, common: np.ndarray, split: dict[int, int]):
+        self.shards, self.common = shards, common
+        self.by_hash = np.argsort(common)
         order = sorted(split)
         self.hot, self.ways = np.array(order, np.uint64), np.array([split[h] for h in order], np.uint64)
+        self.number = np.full(len(common) + 1, -1, np.int32)  # the last is that of any other word
+        self.number[self.codes(self.hot)] = np.arange(len(self.hot))
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """Codes of the words, -1 for words that have none."""
+        if not len(self.common):
+            return np.full(len(hashes), -1, np.int64)
+        code = self.by_hash[np.minimum(np.searchsorted(self.common, hashes, sorter=self.by_hash), len(self.common) - 1)]
+        return np.where(self.common[code] == hashes, code, -1)
 
     def shard(self, hashes: np.ndarray) -> np.ndarray:
         return (mix(hashes) % np.uint64(self.shards)).astype(np.int32)
 
-    def split_at(self, hashes: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``v`` of split words, and their numbers."""
-        if not len(self.hot):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        number = np.minimum(np.searchsorted(self.hot, hashes), len(self.hot) - 1)
-        number[self.hot[number] != hashes] = -1
-        at = np.flatnonzero(number[v] >= 0)
-        return at, number[v[at]]
-
     def kind(self, hashes: np.ndarray, at: np.ndarray, number: np.ndarray, u: np.ndarray, row: np.ndarray) -> np.ndarray:
         """The class of the split contexts."""
         of = np.where(self.hot[number] == BEGIN, row[at].astype(np.uint64), hashes[u[at]])
         return (mix(of) % self.ways[number]).astype(np.int64)
 
-    def shards_of(self, hashes: np.ndarray, v: np.ndarray, u: np.ndarray, row: np.ndarray) -> np.ndarray:
+    def shards_of(self, hashes: np.ndarray, numbers: np.ndarray, v: np.ndarray, u: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Shards of the contexts; ``numbers`` are those of the words, -1 for words that are whole."""
         out = self.shard(hashes)[v]
-        at, number = self.split_at(hashes, v)
+        at = np.flatnonzero(numbers[v] >= 0)
+        number = numbers[v[at]]
         out[at] = self.shard(self.hot[number] + np.uint64(1) + self.kind(hashes, at, number, u, row).astype(np.uint64))
         return out
 
+    def firsts(self, n_words: int) -> np.ndarray:
+        """Number of the first context of each split word, above all words."""
+        return n_words + np.cumsum(self.ways.astype(np.int64)) - self.ways.astype(np.int64)
+
     def contexts(self, hashes: np.ndarray, v: np.ndarray, u: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, int]:
-        """(number of the context, how many there may be): v itself, or a number above all words."""
+        """(number of the context, how many there may be): v itself, or a number above all words.  Words are codes, or numbers above."""
         out = v.astype(np.int64)
-        at, number = self.split_at(hashes, v)
-        first = len(hashes) + np.cumsum(self.ways.astype(np.int64)) - self.ways.astype(np.int64)
-        out[at] = first[number] + self.kind(hashes, at, number, u, row)
+        numbers = self.number[np.minimum(v, len(self.common))]
+        at = np.flatnonzero(numbers >= 0)
+        number = numbers[at]
+        out[at] = self.firsts(len(hashes))[number] + self.kind(hashes, at, number, u, row)
         return out, len(hashes) + int(self.ways.sum())
 
+    def numbers(self, contexts: np.ndarray, n_words: int) -> np.ndarray:
+        """The split words of the contexts."""
+        return np.searchsorted(self.firsts(n_words), contexts, "right") - 1
+
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the distinct tokens in order, codes of w, starts of the texts, row of each token)."""
@@ -151,7 +188,7 @@ def _learns(piece: pa.RecordBatch) -> np.ndarray:
     return ~piece.column("held").to_numpy(zero_copy_only=False)
 
 
-def frequent(docs: DataFrame, share: int = 512) -> DataFrame:
+def frequent(docs: DataFrame, share: int = 1 << 18) -> DataFrame:
     """(h, n, learnt): tokens in all and in training rows (h NULL), and words that make up 1/share of a piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, piece in _numbered(batches):
@@ -160,105 +197,147 @@ def frequent(docs: DataFrame, share: int = 512) -> DataFrame:
             total, learnt = int(sizes.sum()), int(sizes[_learns(piece)].sum())
             counts = np.bincount(codes, minlength=len(distinct))
             often = np.flatnonzero(counts * share >= total)
-            names = [BEGIN, *(word_hashes(distinct.take(pa.array(often))) & MASK)]
+            names = [BEGIN, END, *(word_hashes(distinct.take(pa.array(often))) & MASK)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *map(int, names)], pa.int64()), pa.array([total, piece.num_rows, *counts[often].tolist()]),
+                [pa.array([None, *map(int, names)], pa.int64()), pa.array([total, *[piece.num_rows] * 2, *counts[often].tolist()]),
                  pa.array([learnt, *[0] * len(names)])], ["h", "n", "learnt"])
 
     return docs.mapInArrow(tidy(run), "h long, n long, learnt long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt"))
 
 
+class Tokens:
+    """The tokens of a piece: (u, v, w) as places in ``hashes``, its distinct words in order; rows and shards."""
+
+    def __init__(self, deal: Deal, piece: pa.RecordBatch):
+        self.hashes, self.w, self.starts, self.row = trigrams(piece.column("text"))
+        self.v, self.u = (before(self.hashes, self.w, self.starts, k) for k in (1, 2))
+        self.code = deal.codes(self.hashes)
+        self.number = deal.number[self.code]
+        self.shard = deal.shards_of(self.hashes, self.number, self.v, self.u, self.row)
+
+
 def word_needs(docs: DataFrame, deal: Deal) -> DataFrame:
-    """(bucket, data): distinct words of a piece with their training counts and the shards that predict them."""
+    """(bucket, data): words of a piece that have no code, and pairs of split words, with their training counts and the shards that
+    predict them; for a bucket below 0, training counts of a block of common words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, piece in _numbered(batches):
-            hashes, w, starts, row = trigrams(piece.column("text"))
-            v, u = before(hashes, w, starts, 1), before(hashes, w, starts, 2)
-            shard = deal.shards_of(hashes, v, u, row)
-            counts = np.bincount(w[_learns(piece)[row]], minlength=len(hashes))
-            pair = w.astype(np.int64) * deal.shards + shard
+            t = Tokens(deal, piece)
+            n, learns = len(t.hashes), _learns(piece)[t.row]
+            counts = np.bincount(t.w[learns], minlength=n)
+            common, of = np.zeros(len(deal.common), np.uint32), np.flatnonzero(t.code >= 0)
+            common[t.code[of]] = counts[of]
+            blocks = [common[i:i + BLOCK] for i in range(0, len(common), BLOCK)]
+            names, data = [-1 - b for b in range(len(blocks))], [packed([len(x)], x) for x in blocks]
+            rare, after = np.flatnonzero(t.code[t.w] < 0), np.flatnonzero(t.number[t.v] >= 0)
+            of = np.concatenate([t.w[rare].astype(np.int64), (t.number[t.v[after]] + np.int64(1)) * n + t.w[after]])
+            at = np.concatenate([rare, after])
+            pair = of * deal.shards + t.shard[at] << 1 | learns[at]
             pair.sort()
-            pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])]
-            word, to = pair // deal.shards, pair % deal.shards
-            used = word[np.concatenate([[True], word[1:] != word[:-1]])]
-            bucket = (hashes[used] % np.uint64(deal.shards)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            lists = np.bincount(word, minlength=len(hashes))[used]
-            first = np.cumsum(lists) - lists
-            names, data, edges = [], [], np.searchsorted(bucket[order], np.arange(deal.shards + 1))
-            for b in np.unique(bucket):
-                part = order[edges[b]:edges[b + 1]]
+            new = begins(pair >> 1)
+            to = pair[new] >> 1
+            learnt = np.add.reduceat(pair & 1, new) if len(new) else new
+            of, to = to // deal.shards, to % deal.shards
+            first = begins(of)
+            lists = np.diff(np.append(first, len(of)))
+            counts = np.add.reduceat(learnt, first) if len(first) else first
+            number, word = of[first] // n, of[first] % n
+            key = np.where(number > 0, pair_hashes(number, t.hashes[word]), t.hashes[word])
+            order = order_of(key.view(np.int64))
+            key = key[order]
+            bucket = ((key >> np.uint64(24)) * np.uint64(deal.shards) >> np.uint64(32)).astype(np.int64)
+            edges = np.append(begins(bucket), len(bucket))
+            for a, b in zip(edges[:-1], edges[1:]):
+                part = order[a:b]
                 sizes = lists[part]
                 at = np.repeat(first[part] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-                head = [len(part), len(at)]
-                names.append(int(b))
-                data.append(packed(head, steps_of(hashes[used][part]), counts[used][part].astype(np.uint32),
-                                   sizes.astype(np.uint32), to[at].astype(np.uint32)))
+                names.append(int(bucket[a]))
+                data.append(packed([len(part), len(at)], steps_of(key[a:b]), counts[part].astype(np.uint32),
+                                   number[part].astype(np.uint32), sizes.astype(np.uint32), to[at].astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
     return docs.mapInArrow(tidy(run), "bucket int, data binary")
 
 
 def word_counts(needs: DataFrame) -> DataFrame:
-    """(shard, distinct, data): for each shard the words of a bucket that it predicts, with their counts; ``distinct`` is the number
-    of training words of the bucket, in its row for shard -1."""
+    """(shard, distinct, data, split): for each shard the words and pairs of a bucket that it predicts, with their counts;
+    ``distinct`` is the number of training words of the bucket, in its row for shard -1, and ``split`` there holds all tokens and the
+    counts of counts after each split word.  Shards below -1 hold the counts of a block of common words."""
     def run(group: pa.Table) -> pa.Table:
-        words_, counts, sizes, to = [], [], [], []
-        for data in group.column("data").to_pylist():
+        bucket, rows = group.column("bucket")[0].as_py(), group.column("data").to_pylist()
+        kind = pa.list_(pa.struct([("number", pa.int32()), ("sums", pa.list_(pa.int64()))]))
+        if bucket < 0:
+            c = sum(unpacked(data, 1, (np.uint32, heads(data, 1)[0]))[0].astype(np.int64) for data in rows)
+            return pa.table({"shard": pa.array([bucket - 1], pa.int32()), "distinct": pa.array([int((c > 0).sum())], pa.int64()),
+                             "data": pa.array([c.tobytes()], pa.binary()), "split": pa.array([[]], kind)})
+        words_, counts, numbers, sizes, to = [], [], [], [], []
+        for data in rows:
             n, m = heads(data, 2)
-            h, c, s, t = unpacked(data, 2, (np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint32, m))
-            words_.append(np.cumsum(h, dtype=np.uint64)), counts.append(c), sizes.append(s), to.append(t)
+            h, c, k, s, t = unpacked(data, 2, (np.uint64, n), *[(np.uint32, n)] * 3, (np.uint32, m))
+            words_.append(np.cumsum(h, dtype=np.uint64)), counts.append(c), numbers.append(k), sizes.append(s), to.append(t)
         h, of = np.unique(np.concatenate(words_), return_inverse=True)
         c = np.bincount(of, np.concatenate(counts), len(h)).astype(np.int64)
-        shard, word = np.concatenate(to).astype(np.int64), np.repeat(of, np.concatenate(sizes))
-        pair = np.unique(shard * len(h) + word)
+        number = np.zeros(len(h), np.int64)
+        number[of] = np.concatenate(numbers)
+        pair = np.concatenate(to).astype(np.int64) * len(h) + np.repeat(of, np.concatenate(sizes))
+        pair.sort()
+        pair = pair[begins(pair)]
         shard, word = pair // len(h), pair % len(h)
-        names, edges = np.unique(shard, return_index=True)
-        edges = np.append(edges, len(shard))
+        edges = begins(shard)
+        names, edges = shard[edges], np.append(edges, len(shard))
         data = [packed([len(p)], steps_of(h[p]), c[p])
                 for p in (word[a:b] for a, b in zip(edges[:-1], edges[1:]))]
+        sums = np.bincount(number * 6 + np.minimum(c, 5), minlength=6 * (int(number.max()) + 1)).reshape(-1, 6)
+        totals = np.bincount(number, c)
+        split = [{"number": int(i) - 1, "sums": [int(totals[i]), *sums[i].tolist()]} for i in np.unique(number[number > 0])]
         return pa.table({"shard": pa.array([-1, *names.tolist()], pa.int32()),
-                         "distinct": pa.array([int((c > 0).sum()), *[0] * len(names)], pa.int64()),
-                         "data": pa.array([b"", *data], pa.binary())})
+                         "distinct": pa.array([int(((c > 0) & (number == 0)).sum()), *[0] * len(names)], pa.int64()),
+                         "data": pa.array([b"", *data], pa.binary()), "split": pa.array([split, *[[]] * len(names)], kind)})
+
+    return needs.groupBy("bucket").applyInArrow(
+        tidy(run), "shard int, distinct long, data binary, split array<struct<number: int, sums: array<long>>>")
 
-    return needs.groupBy("bucket").applyInArrow(tidy(run), "shard int, distinct long, data binary")
 
+_HEAD = pa.list_(pa.struct([("id", pa.string()), ("held", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64())]))
+_HEAD_SQL = "array<struct<id: string, held: boolean, n: long, known: long, base: double>>"
 
-def to_shards(docs: DataFrame, deal: Deal) -> DataFrame:
-    """(shard, piece, data, head): the trigrams of a piece for each shard; one of the rows also has the piece's rows."""
+
+def to_shards(docs: DataFrame, deal: Deal, common: np.ndarray, floor: float) -> DataFrame:
+    """(shard, piece, data, head): the trigrams of a piece for each shard; one of the rows also has the piece's rows, with what their
+    common words, of so many in the training rows, add to the base score."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_p1 = np.log10(np.append(common, 0) + 1.0) - floor
         for number, piece in _numbered(batches):
-            hashes, w, starts, row = trigrams(piece.column("text"))
-            v, u = before(hashes, w, starts, 1), before(hashes, w, starts, 2)
-            shard = deal.shards_of(hashes, v, u, row)
-            learns = _learns(piece)
-            order = np.argsort(shard.astype(np.int64) << 32 | v, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(deal.shards + 1))
+            t = Tokens(deal, piece)
+            held = ~_learns(piece)
+            n = len(deal.common)
+            code = np.where(t.code >= 0, t.code, n + np.arange(len(t.hashes)))  # in order of hash above the common ones
+            order = order_of(t.shard * np.int64(n + len(t.hashes)) + code[t.v])
+            edges = np.searchsorted(t.shard[order], np.arange(deal.shards + 1))
             names, data = [], []
-            place = np.zeros(len(hashes), np.int32)
+            place = np.arange(n + len(t.hashes))
             for s in np.flatnonzero(np.diff(edges)):
                 part = order[edges[s]:edges[s + 1]]
-                met = np.zeros(len(hashes), bool)
-                for codes in (own := [x[part] for x in (u, v, w)]):
-                    met[codes] = True
-                used = np.flatnonzero(met)
-                place[used] = np.arange(len(used), dtype=np.int32)
-                kind = np.uint16 if len(used) < 1 << 16 else np.uint32
-                own = [place[codes].astype(kind) for codes in own]
-                rows = small(row[part])
-                head = [len(part), len(used), own[0].itemsize, rows.itemsize, piece.num_rows]
+                own = code[np.concatenate([t.u[part], t.v[part], t.w[part]])]
+                rare = own[own >= n]
+                rare.sort()
+                rare = rare[begins(rare)]
+                place[rare] = n + np.arange(len(rare))
+                kind = np.uint16 if n + len(rare) < 1 << 16 else np.uint32
+                u, v, w = place[own].astype(kind).reshape(3, -1)
+                rows = small(t.row[part] * 2 + held[t.row[part]])
+                head = [len(part), len(rare), u.itemsize, rows.itemsize]
                 names.append(int(s))
-                data.append(packed(head, steps_of(hashes[used]), own[0], steps_of(own[1]), own[2], steps_of(rows),
-                                   np.packbits(learns)))
-            ids = piece.column("doc_id").cast(pa.string()).to_pylist()
-            columns = [ids, (~learns).tolist(), np.diff(starts).tolist()]
-            first = [[{"id": i, "held": h, "n": n} for i, h, n in zip(*columns)]] + [None] * (len(names) - 1)
-            kind = pa.list_(pa.struct([("id", pa.string()), ("held", pa.bool_()), ("n", pa.int64())]))
+                data.append(packed(head, steps_of(t.hashes[rare - n]), u, steps_of(v), w, steps_of(rows)))
+            known = np.append(common > 0, False)[t.code] & (t.code >= 0)
+            base = np.where(t.code >= 0, log_p1[t.code], 0.0)
+            columns = [piece.column("doc_id").cast(pa.string()).to_pylist(), held.tolist(), np.diff(t.starts).tolist(),
+                       *(np.bincount(t.row, x[t.w], piece.num_rows).astype(kind).tolist() for x, kind in ((known, int), (base, float)))]
+            first = [[dict(zip(("id", "held", "n", "known", "base"), x)) for x in zip(*columns)]] + [None] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.int32()), pa.array([number] * len(names), pa.int64()), pa.array(data, pa.binary()),
-                 pa.array(first[:len(names)], kind)], ["shard", "piece", "data", "head"])
+                 pa.array(first[:len(names)], _HEAD)], ["shard", "piece", "data", "head"])
 
-    return docs.mapInArrow(tidy(run), "shard int, piece long, data binary, head array<struct<id: string, held: boolean, n: long>>")
+    return docs.mapInArrow(tidy(run), f"shard int, piece long, data binary, head {_HEAD_SQL}")
 
 
 def spectrum(counts: np.ndarray) -> np.ndarray:
@@ -286,26 +365,39 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray
 
 
 class Split:
-    """Pairs (v, w) of the split words v that have contexts in a shard, counted over all shards.  By pair: context, word and count,
-    of the words of the shard; by context in order: all tokens, and the successors with counts 0, 1, 2 and more."""
-
-    def __init__(self, deal: Deal, names: np.ndarray, present: np.ndarray, tables: dict[int, list[tuple[np.ndarray, np.ndarray]]]):
-        first = len(names) + np.cumsum(deal.ways.astype(np.int64)) - deal.ways.astype(np.int64)
-        self.contexts = present[present >= len(names)]
-        number = np.searchsorted(first, self.contexts, "right") - 1
-        self.begin = self.contexts[deal.hot[number] == BEGIN]
-        self.begin_word = int(np.searchsorted(names, BEGIN))
-        self.total = np.zeros(len(self.contexts), np.int64)
-        self.classes = np.zeros((len(self.contexts), 4))
-        parts = [(np.zeros(0, np.int64),) * 3]
-        for i, (context, n) in enumerate(zip(self.contexts, number)):
-            for h, c in tables.get(int(n), []):
-                self.total[i] += c.sum()
-                self.classes[i] += np.bincount(np.minimum(c, 3), minlength=4)
-                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                here = names[at] == h
-                parts.append((np.full(int(here.sum()), context), at[here], c[here]))
-        self.context, self.word, self.count = (np.concatenate(x) for x in zip(*parts))
+    """Pairs (v, w) of the split words v that have contexts in a shard, counted over all shards.  By pair that is met here: context,
+    word and count; by context in order: all tokens, and the successors with counts 0, 1, 2 and more."""
+
+    def __init__(self, deal: Deal, held: "Dealt", counted: "Counted", sums: np.ndarray):
+        n = len(held.names)
+        split = held.context >= n
+        pair = held.context[split] * n + held.w3[split]
+        pair.sort()
+        pair = pair[begins(pair)]
+        context, word = pair // n, pair % n
+        self.contexts = context[begins(context)]
+        number = deal.numbers(self.contexts, n)
+        self.begin, self.begin_word = self.contexts[deal.hot[number] == BEGIN], held.begin_word
+        self.total = sums[number, 0]
+        self.classes = np.concatenate([sums[number, 1:4], sums[number, 4:].sum(1, keepdims=True)], 1).astype(float)
+        count = counted.of(pair_hashes(deal.numbers(context, n) + 1, held.names[word]))
+        known = count > 0
+        self.context, self.word, self.count = context[known], word[known], count[known]
+
+
+class Counted:
+    """Counts by hash."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        h, c = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *parts))
+        order = np.argsort(h)
+        self.h, self.c = h[order], c[order]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.h):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, self.c[at], 0)
 
 
 class Trie:
@@ -376,100 +468,90 @@ class Trie:
             level.replace([np.asarray(x) for x in back[3 * i:3 * i + 3]])
         self.values = [np.asarray(x) for x in back[12:]]
 
-    def log10(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, log_p1: np.ndarray) -> np.ndarray:
+    def find(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(steps, alone): minus the log probability in steps; of words that are ``alone``, what is added to that of the word itself."""
         p2, left, p3, left3 = self.values
-        out = log_p1.copy()
-        out -= np.where(self.known[v], left[v] * STEP, 0)
+        out = np.where(self.known[v], left[v], 0).astype(np.int64)
         pair = self.next.find(v * self.words + w)
         seen = pair >= 0
-        out[seen] = -p2[pair[seen]].astype(float) * STEP
+        out[seen] = p2[pair[seen]]
         node = self.outer.find(v * self.words + u)
         inner = np.flatnonzero(node >= 0)
         triple = np.full(len(inner), -1)
         both = seen[inner]
         rank = pair[inner[both]] - self.start.get(v[inner[both]])
         triple[both] = self.last.find(node[inner[both]] * self.width + rank)
-        out[inner] -= left3[node[inner]].astype(float) * STEP
-        out[inner[triple >= 0]] = -p3[triple[triple >= 0]].astype(float) * STEP
-        return out
-
-
-def split_pairs(docs: DataFrame, deal: Deal) -> DataFrame:
-    """(number, data, n0 to n5): training counts of the words after each split word, in a few buckets, and their counts of counts."""
-    buckets = min(16, deal.shards)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, piece in _numbered(batches):
-            hashes, w, starts, row = trigrams(piece.column("text"))
-            at, number = deal.split_at(hashes, before(hashes, w, starts, 1))
-            mine = _learns(piece)[row[at]]
-            pair, counts = np.unique(number[mine].astype(np.int64) * len(hashes) + w[at[mine]], return_counts=True)
-            number, h = pair // len(hashes), hashes[pair % len(hashes)]
-            group = number * buckets + (mix(h) % np.uint64(buckets)).astype(np.int64)
-            groups = np.unique(group)
-            data = [packed([len(p)], steps_of(h[p]), counts[p]) for p in (np.flatnonzero(group == g) for g in groups)]
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
-
-    def summed(group: pa.Table) -> pa.Table:
-        parts = []
-        for data in group.column("data").to_pylist():
-            n, = heads(data, 1)
-            h, c = unpacked(data, 1, (np.uint64, n), (np.int64, n))
-            parts.append((np.cumsum(h, dtype=np.uint64), c))
-        h, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        c = np.bincount(of, np.concatenate([p[1] for p in parts]), len(h)).astype(np.int64)
-        number = group.column("bucket")[0].as_py() // buckets
-        return pa.table({"number": pa.array([number], pa.int32()), "data": [packed([len(h)], steps_of(h), c)],
-                         "spectrum": pa.array([spectrum(c).tolist()], pa.list_(pa.int64())),
-                         "begins": [bool(deal.hot[number] == BEGIN)]})
-
-    return docs.mapInArrow(tidy(run), "bucket long, data binary").groupBy("bucket").applyInArrow(
-        tidy(summed), "number int, data binary, spectrum array<long>, begins boolean")
+        out[inner] += left3[node[inner]]
+        out[inner[triple >= 0]] = p3[triple[triple >= 0]]
+        return out, ~seen
 
 
 class Dealt:
-    """The trigrams that came to a shard: (context, u, w) in numbers of the shard, and the rows they are of."""
+    """The trigrams that came to a shard: (context, u, w) in numbers of the shard, codes first, and the pieces and rows they are of."""
 
-    def __init__(self, deal: Deal, dealt: pa.Table):
-        parts, dictionaries, learnt = [], [], []
+    def __init__(self, deal: Deal, dealt: pa.Table, inverse: bool = True):
+        parts, dictionaries, rows = [], [], []
         for data in dealt.column("data").to_pylist():
-            n, used, size, row_size, rows = heads(data, 5)
+            n, rare, size, row_size = heads(data, 4)
             kinds = {2: np.uint16, 4: np.uint32}
-            h, *own, row, bits = unpacked(data, 5, (np.uint64, used), *[(kinds[size], n)] * 3, (kinds[row_size], n),
-                                             (np.uint8, -(-rows // 8)))
+            h, u, v, w, row = unpacked(data, 4, (np.uint64, rare), *[(kinds[size], n)] * 3, (kinds[row_size], n))
             dictionaries.append(np.cumsum(h, dtype=np.uint64))
-            own[1] = np.cumsum(own[1], dtype=own[1].dtype)
-            parts.append((own, np.cumsum(row, dtype=row.dtype)))
-            learnt.append(np.unpackbits(bits, count=rows).astype(bool))
-        self.names = np.unique(np.concatenate(dictionaries))
-        codes = [np.searchsorted(self.names, d).astype(np.int32) for d in dictionaries]
-        u, v, self.w = (np.concatenate([c[p[i]] for c, (p, _) in zip(codes, parts)]) for i in range(3))
-        row = np.concatenate([r for _, r in parts]).astype(np.int32)
-        self.first = np.concatenate([[0], np.cumsum([len(x) for x in learnt])])
-        self.doc = row + np.repeat(self.first[:-1], [len(r) for _, r in parts])
-        trains = np.concatenate(learnt)[self.doc]
-        del parts, dictionaries, codes
+            parts.append((u, np.cumsum(v, dtype=v.dtype), w))
+            rows.append(np.cumsum(row, dtype=row.dtype).astype(np.int64))
+        rare = np.unique(np.concatenate(dictionaries))
+        n = len(deal.common)
+        self.names = np.concatenate([deal.common, rare])
+        self.begin_word = int(np.flatnonzero(self.names == BEGIN)[0]) if (self.names == BEGIN).any() else 0
+        places = [np.concatenate([np.arange(n, dtype=np.int32), n + np.searchsorted(rare, d).astype(np.int32)]) for d in dictionaries]
+        u, v, w = (np.concatenate([c[p[i]] for c, p in zip(places, parts)]) for i in range(3))
+        self.sizes = np.array([len(r) for r in rows])
+        row = np.concatenate(rows)
+        del parts, dictionaries, places, rows
+        trains = row & 1 == 0
+        row >>= 1
         context, self.n_contexts = deal.contexts(self.names, v, u, row)
-        outer, node = distinct_pairs(context, u, len(self.names))
-        triple, self.at = distinct_pairs(node, self.w, len(self.names))
-        del context, node, u, v, row
-        #: By distinct trigram: (context, u) as one number, w, and how often it was learnt.
-        self.times = np.bincount(self.at[trains], minlength=len(triple))
-        self.pair, self.w3 = outer[triple // len(self.names)], triple % len(self.names)
+        del v
+        words_ = len(self.names)
+        if self.n_contexts * words_ * words_ >= 1 << 62:  # (context, u) by number
+            outer, context = distinct_pairs(context, u, words_)
+        else:
+            outer, context = None, context * words_ + u
+        key = context * words_ + w
+        del context, u
+        if inverse:  # of each token: word, row, and place of its trigram
+            self.w, self.row = w, row
+            order = np.argsort(key)
+            key = key[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            self.at = np.empty(len(key), np.int32)
+            self.at[order] = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            self.times = np.add.reduceat(trains[order].astype(np.int64), first)
+        else:
+            key = key[trains]
+            key.sort()
+            first = begins(key)
+            self.times = np.diff(np.append(first, len(key)))
+        #: By distinct trigram: context, u and w, and how often it was learnt.
+        pair, self.w3 = np.divmod(key[first], words_)
+        self.context, self.u3 = np.divmod(pair if outer is None else outer[pair], words_)
 
 
 def shard_spectra(deal: Deal):
     """The grouped function that gives the counts of counts of a shard's pairs and trigrams; pairs of split words, and trigrams of
-    split beginnings, are in more shards and left to ``split_pairs``."""
+    split beginnings, are in more shards and left to ``word_counts``."""
     def run(group: pa.Table) -> pa.Table:
-        held = Dealt(deal, group)
-        n, known = len(held.names), held.times > 0
-        context, w, times = held.pair[known] // n, held.w3[known], held.times[known]
-        whole = context < n
-        _, at = distinct_pairs(context[whole], w[whole], n)
-        pairs = spectrum(np.bincount(at, times[whole]))
-        begins = np.isin(context, Split(deal, held.names, np.unique(context), {}).begin)
-        return pa.table({f"{k}{i}": [int(x)] for k, all_ in (("p", pairs), ("t", spectrum(times[~begins]))) for i, x in enumerate(all_)})
+        held = Dealt(deal, group, inverse=False)
+        n = len(held.names)
+        whole = held.context < n
+        pair = held.context[whole] * n + held.w3[whole]
+        order = order_of(pair)
+        first = begins(pair[order])
+        pairs = spectrum(np.add.reduceat(held.times[whole][order], first) if len(first) else first)
+        split = np.flatnonzero(~whole)
+        begin = split[deal.hot[deal.numbers(held.context[split], n)] == BEGIN] if len(split) else split
+        triples = spectrum(held.times) - spectrum(held.times[begin])
+        return pa.table({f"{k}{i}": [int(x)] for k, all_ in (("p", pairs), ("t", triples)) for i, x in enumerate(all_)})
 
     return run
 
@@ -477,56 +559,48 @@ def shard_spectra(deal: Deal):
 SPECTRA = [f"{k}{i}" for k in "pt" for i in range(6)]
 
 
-def shard_sums(deal: Deal, n_learnt: int, n_distinct: int):
-    """The grouped function of the shards: builds the trie of a shard and scores all its trigrams."""
-    floor = np.log10(n_learnt + n_distinct + 1)
-
+def shard_sums(deal: Deal, common: np.ndarray, sums: np.ndarray, floor: float):
+    """The grouped function of the shards: builds the trie of a shard and finds all its trigrams.  ``common`` are the counts of the
+    common words; ``sums`` has all tokens and the counts of counts after each split word."""
     def run(dealt: pa.Table, counted: pa.Table) -> pa.Table:
         numbers = dealt.column("piece").to_pylist()
         if not numbers:
             return pa.table({"piece": pa.array([], pa.int64()), "data": pa.array([], pa.binary()),
                              "head": pa.array([], dealt.schema.field("head").type)})
-        hashes, counts, tables, spectra = [], [], {}, np.zeros(12)
-        for number, data, of in zip(*(counted.column(c).to_pylist() for c in ("number", "data", "spectra"))):
+        parts, spectra = [], np.zeros(12)
+        for data, of in zip(*(counted.column(c).to_pylist() for c in ("data", "spectra"))):
             if of is not None:
                 spectra += of
                 continue
             n, = heads(data, 1)
             h, c = unpacked(data, 1, (np.uint64, n), (np.int64, n))
-            h = np.cumsum(h, dtype=np.uint64)
-            if number >= 0:
-                tables.setdefault(number, []).append((h, c))
-            else:
-                hashes.append(h), counts.append(c)
+            parts.append((np.cumsum(h, dtype=np.uint64), c))
+        counts = Counted(parts)
         held = Dealt(deal, dealt)
-        names, w, at, times, pair, w3 = held.names, held.w, held.at, held.times, held.pair, held.w3
-        count = np.zeros(len(names), np.int64)  # of the words that are predicted here
-        if hashes:
-            h, c = np.concatenate(hashes), np.concatenate(counts)
-            order = np.argsort(h)
-            place = np.minimum(np.searchsorted(h[order], names), len(h) - 1)
-            count = np.where(h[order][place] == names, c[order][place], 0)
+        context, u3, w3, at, times = held.context, held.u3, held.w3, held.at, held.times
+        names, codes = held.names, len(deal.common)
+        count = np.concatenate([common, counts.of(names[codes:])])  # right for the words that are predicted here
         log_p1 = np.log10(count + 1.0) - floor
         known = np.flatnonzero(times)
-        split = Split(deal, names, np.unique(pair // len(names)), tables)
-        trie = Trie(pair[known] // len(names), pair[known] % len(names), w3[known], times[known], held.n_contexts, len(names),
-                    10 ** log_p1, discounts(spectra[:6]), discounts(spectra[6:]), split)
-        del tables, split
+        trie = Trie(context[known], u3[known], w3[known], times[known], held.n_contexts, len(names),
+                    10 ** log_p1, discounts(spectra[:6]), discounts(spectra[6:]), Split(deal, held, counts, sums))
+        del parts, counts, log_p1
         trie.mapped()
-        score = np.empty(len(w3))
+        found, alone = np.empty(len(w3), np.int32), np.empty(len(w3), bool)
         for i in range(0, len(w3), 1 << 18):
             now = slice(i, i + (1 << 18))
-            score[now] = trie.log10(pair[now] // len(names), pair[now] % len(names), w3[now], log_p1[w3[now]])
-        score = score[at]
-        doc, first = held.doc, held.first
-        total = int(first[-1])
-        found = np.bincount(doc, minlength=total)
-        sums = [np.bincount(doc, x, total) for x in (score, log_p1[w], count[w] > 0)]
-        out = []
-        for low, high in zip(first[:-1], first[1:]):
-            at = np.flatnonzero(found[low:high])
-            out.append(packed([len(at)], at.astype(np.uint32), sums[0][low:high][at], sums[1][low:high][at],
-                              sums[2][low:high][at].astype(np.uint32)))
+            found[now], alone[now] = trie.find(context[now], u3[now], w3[now])
+        del trie
+        found, alone, rare = found[at], alone[at], held.w >= codes
+        out, stop = [], np.cumsum(held.sizes)
+        for low, high in zip(stop - held.sizes, stop):
+            order = low + order_of(held.row[low:high])
+            row = held.row[order]
+            first = begins(row)
+            told = order[alone[order] | rare[order]]  # words whose own probability counts
+            out.append(packed([len(first), len(told)], steps_of(row[first].astype(np.uint32)),
+                              np.add.reduceat(found[order], first).astype(np.uint32), steps_of(held.row[told].astype(np.uint32)),
+                              count[held.w[told]], (alone[told] * 2 + rare[told]).astype(np.uint8)))
         return pa.table({"piece": pa.array(numbers, pa.int64()), "data": pa.array(out, pa.binary()), "head": dealt.column("head")})
 
     return run
@@ -537,50 +611,52 @@ def scored(docs: DataFrame, held: Column, shard_tokens: int = 1_000_000) -> Data
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
     batches_of(docs.sparkSession, 2 * PIECE)  # whole pieces: a row for each piece and shard is shuffled
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    often = frequent(docs, max(512, 4 * size // shard_tokens))  # words of two bytes: 8 for each shard at most
+    often = written(frequent(docs), "frequent-words")
     tokens, learnt = often.filter("h is null").select(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("learnt"), F.lit(0))).first()
+    # The share bounds what the driver gets, however many partitions send their most frequent words.
+    common = often.filter(F.col("h").isNotNull() & (F.col("n") * LEAST_SHARE >= tokens)).orderBy(F.col("n").desc(), "h").limit(COMMON).collect()
     limit = shard_tokens // 2
-    split = {r[0] & 0xFFFFFFFFFFFFFFFF: -(-r[1] // limit) for r in often.filter(F.col("h").isNotNull() & (F.col("n") > limit)).collect()}
-    deal = Deal(max(1, -(-tokens // shard_tokens)), split)
+    split = {h: -(-n // limit) for h, n, _ in common if n > limit}
+    deal = Deal(max(1, -(-tokens // shard_tokens)), np.array([r[0] for r in common], np.uint64), split)
     counts = written(word_counts(word_needs(docs, deal)), "word-counts")
     distinct = counts.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
-    dealt = to_shards(docs, deal)
+    blocks = counts.filter("shard < -1").orderBy(F.col("shard").desc()).select("data").collect()
+    number = np.frombuffer(b"".join(r[0] for r in blocks), np.int64)
+    after = (counts.select(F.explode("split").alias("x")).groupBy("x.number")
+             .agg(*(F.sum(F.col("x.sums")[i]) for i in range(7))).collect()) if split else []
+    sums = np.zeros((len(split), 7), np.int64)
+    for at, *of in after:
+        sums[at] = of
+    floor = float(np.log10(learnt + distinct + 1))
+    dealt = to_shards(docs, deal, number, floor)
     spark, nothing = docs.sparkSession, F.lit(None).cast("binary")
     spectra = dealt.groupBy("shard").applyInArrow(tidy(shard_spectra(deal)), ", ".join(f"{c} long" for c in SPECTRA))
-    sent = counts.filter("shard >= 0").select("shard", F.lit(-1).alias("number"), "data", F.lit(None).cast("array<long>").alias("spectra"))
-    if split:
-        pairs = written(split_pairs(docs, deal), "split-pairs")
-        to = {(i, int(s)) for i, (h, n) in enumerate(zip(deal.hot, deal.ways))
-              for s in deal.shard(h + np.uint64(1) + np.arange(int(n), dtype=np.uint64))}
-        holders = spark.createDataFrame(sorted(to), "number int, shard int")
-        sent = sent.unionByName(pairs.join(F.broadcast(holders), "number").select(
-            "shard", "number", "data", F.lit(None).cast("array<long>").alias("spectra")))
-        spectra = spectra.unionByName(pairs.select(
-            *(F.col("spectrum")[i].alias(f"p{i}") for i in range(6)),
-            *(F.when(F.col("begins"), F.col("spectrum")[i]).otherwise(0).alias(f"t{i}") for i in range(6))))
-    spectra = spectra.agg(F.array(*(F.coalesce(F.sum(c), F.lit(0)) for c in SPECTRA)).alias("spectra"))
+    known = np.concatenate([sums[:, 1:].sum(0), sums[deal.hot == BEGIN, 1:].sum(0)]).tolist()  # pairs and beginnings that are split
+    spectra = spectra.agg(F.array(*(F.coalesce(F.sum(c), F.lit(0)) + F.lit(int(k)) for c, k in zip(SPECTRA, known))).alias("spectra"))
+    sent = counts.filter("shard >= 0").select("shard", "data", F.lit(None).cast("array<long>").alias("spectra"))
     everywhere = spark.range(deal.shards).select(F.col("id").cast("int").alias("shard"))
-    sent = sent.unionByName(everywhere.crossJoin(F.broadcast(spectra)).select(
-        "shard", F.lit(-1).alias("number"), nothing.alias("data"), "spectra"))
-    sums = (dealt.groupBy("shard").cogroup(sent.groupBy("shard"))
-            .applyInArrow(tidy(shard_sums(deal, learnt, distinct)),
-                          "piece long, data binary, head array<struct<id: string, held: boolean, n: long>>"))
+    sent = sent.unionByName(everywhere.crossJoin(F.broadcast(spectra)).select("shard", nothing.alias("data"), "spectra"))
+    found = (dealt.groupBy("shard").cogroup(sent.groupBy("shard"))
+             .applyInArrow(tidy(shard_sums(deal, number, sums, floor)), f"piece long, data binary, head {_HEAD_SQL}"))
 
     def finish(group: pa.Table) -> pa.Table:
         head = next(h for h in group.column("head").to_pylist() if h is not None)
-        score, base, known = np.zeros(len(head)), np.zeros(len(head)), np.zeros(len(head), np.int64)
+        known, base = np.array([x["known"] for x in head]), np.array([x["base"] for x in head])
+        taken, score = np.zeros(len(head), np.int64), np.zeros(len(head))
         for data in sorted(group.column("data").to_pylist()):
-            n, = heads(data, 1)
-            at, a, b, c = unpacked(data, 1, (np.uint32, n), (np.float64, n), (np.float64, n), (np.uint32, n))
-            score[at] += a
-            base[at] += b
-            known[at] += c
+            n, m = heads(data, 2)
+            at, steps_, row, count, flags = unpacked(data, 2, (np.uint32, n), (np.uint32, n), (np.uint32, m), (np.int64, m), (np.uint8, m))
+            taken[np.cumsum(at, dtype=np.uint32)] += steps_
+            row = np.cumsum(row, dtype=np.uint32)
+            log_p1, rare, alone = np.log10(count + 1.0) - floor, flags & 1 > 0, flags & 2 > 0
+            score += np.bincount(row[alone], log_p1[alone], len(head))
+            base += np.bincount(row[rare], log_p1[rare], len(head))
+            known += np.bincount(row[rare & (count > 0)], minlength=len(head))
         return pa.table({"doc_id": pa.array([x["id"] for x in head], pa.string()), "held_out": [x["held"] for x in head],
                          "n_tokens": pa.array([x["n"] for x in head], pa.int64()), "n_known": known,
-                         "base_score": base, "score": score})
+                         "base_score": base, "score": score - taken * STEP})
 
-    out = sums.groupBy("piece").applyInArrow(
+    out = found.groupBy("piece").applyInArrow(
         tidy(finish), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known",
                       F.lit(learnt).cast("long").alias("train_tokens"), "base_score", "score")

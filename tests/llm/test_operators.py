@@ -133,6 +133,25 @@ def test_language_model_does_not_depend_on_shards(spark):
         assert max(abs(got[i] - one[i]) for i in one) < 0.02
 
 
+def test_language_model_sends_a_token_at_one_price_however_many_shards(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in np.minimum(rng.zipf(1.3, 300), 5000)) for _ in range(1000)]
+    docs = spark.createDataFrame([(i, t, i % 7 == 2) for i, t in enumerate(texts)], "doc_id long, text string, held boolean").coalesce(1)
+    language_model.batches_of(spark, 2 * language_model.PIECE)
+    common = [r[0] for r in language_model.frequent(docs).filter("h is not null").orderBy(F.col("n").desc()).collect()]
+
+    def sent(shards):
+        # A word is split into as many classes as shards hold it, as in a corpus that needs them.
+        deal = language_model.Deal(shards, np.array(common, np.uint64), {common[0]: shards // 4})
+        parts = language_model.to_shards(docs, deal, np.ones(len(common), np.int64), 6.0).agg(F.sum(F.octet_length("data"))).first()[0]
+        counts = language_model.word_counts(language_model.word_needs(docs, deal))
+        return parts, counts.filter("shard >= 0").agg(F.sum(F.octet_length("data"))).first()[0]
+
+    few, many = sent(8), sent(128)
+    # With lists of all words for each shard, trigrams took 1.21 times as much and counts 6.0 times.
+    assert many[0] < 1.1 * few[0] and sum(many) < 1.4 * sum(few)
+
+
 def test_packing(docs, none):
     import public_tokenizers
 
