@@ -20,8 +20,8 @@ Neighbouring runs of one fingerprint are a stretch.  Equal stretches are compare
 by one only for the first document that has it, and only if another document is the first to have another stretch of that
 fingerprint.
 
-Only hashes and positions of lines and runs are shuffled; the texts move twice, to the fingerprints that are shared and when
-lines and words are taken out.  Lines and runs that hold more than one ten-thousandth of all rows are joined by broadcast (there are
+Only hashes and positions of lines and runs are shuffled, and texts only of documents that have shared fingerprints or that lose
+lines or words: filters of their ids keep the others where they are.  Lines and runs that hold more than one ten-thousandth of all rows are joined by broadcast (there are
 at most ten thousand of them), so their rows never meet in one task.
 
 Edge cases: NULL and empty texts have no lines and stay as they are; rows of one doc_id are one document and don't
@@ -43,18 +43,56 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import WORD, in_arrow, mix, pieces, table, word_hashes, words, written
+from tabloom.llm.common import WORD, in_arrow, mix, pieces, raw_bytes, table, tidy, word_hashes, words, written
 
 _WORDS = re.compile(WORD)
 #: Odd bases of the two hashes of a run of words.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: A key with more than one in so many rows is hot.
 HOT_SHARE = 10_000
+#: Bits of a filter of documents for each of them, and at most; bits of a block of it.
+BITS_EACH, MOST_BITS, BLOCK_BITS = 16, 1 << 27, 1 << 18
+_IS_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-def lines_of(text: str) -> Column:
-    """The lines of a text that aren't blank."""
-    return F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(WORD))
+def n_lines_of(text: str) -> Column:
+    """How many lines of a text aren't blank: from the first sign of a word to the end of the line is one match."""
+    return F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D][^\n]*"))
+
+
+class Few:
+    """A filter of document ids: ``may_hold`` is true for all that are in ``ids`` and for few others, so that the texts of the others
+    need not be shuffled.  It takes 16 MB at most; for more than some ten million ids it lets more of the others pass."""
+
+    def __init__(self, ids: DataFrame):
+        self.bits = min(MOST_BITS, max(BLOCK_BITS, 1 << (BITS_EACH * ids.count()).bit_length()))
+
+        def block(group: pa.Table) -> pa.Table:
+            held = np.zeros(BLOCK_BITS, bool)
+            bit = group.column("bit").to_numpy()
+            held[bit % BLOCK_BITS] = True
+            return pa.table({"block": [int(bit[0] // BLOCK_BITS)], "held": pa.array([np.packbits(held).tobytes()], pa.binary())})
+
+        rows = (ids.select(self._bit("doc_id").alias("bit")).groupBy(F.expr(f"bit div {BLOCK_BITS}")).applyInArrow(
+            tidy(block), "block long, held binary").collect())
+        blocks = {r[0]: bytes(r[1]) for r in rows}
+        empty = bytes(BLOCK_BITS // 8)
+        held = b"".join(blocks.get(i, empty) for i in range(self.bits // BLOCK_BITS))
+        sent = ids.sparkSession.sparkContext.broadcast(held)
+
+        @F.arrow_udf("boolean")
+        def test(bit: pa.Array) -> pa.Array:
+            at = bit.to_numpy(zero_copy_only=False)
+            found = np.frombuffer(sent.value, np.uint8)[at >> 3]
+            return pa.array((found >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+        self._test = test
+
+    def _bit(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(1), F.col(column)), F.lit(self.bits))
+
+    def may_hold(self, column: str) -> Column:
+        return self._test(self._bit(column))
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -180,29 +218,53 @@ def met(rows: DataFrame, keys: DataFrame, total: int) -> DataFrame:
             .unionByName(rows.join(hot.select("h", "g"), ["h", "g"], "left_anti").join(cold, ["h", "g"])))
 
 
+def line_hashes(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(ends, digests, words): of the lines that aren't blank, 128 bits of hash and how many words; those of text i are
+    ``digests[ends[i]:ends[i + 1]]``."""
+    raw, offsets = raw_bytes(texts)
+    word = _IS_WORD[raw]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    inner = offsets[(offsets > 0) & (offsets < len(raw))]
+    begins[inner] = word[inner]  # a text begins a word
+    cuts = np.flatnonzero(raw == 10)
+    of = np.searchsorted(cuts, offsets)  # line feeds before each text
+    texts_ = np.arange(len(offsets) - 1)
+    # A line begins with its text or after a line feed, and ends before the next line feed or with its text.
+    low = np.insert(cuts + 1, of[:-1], offsets[:-1])
+    high = np.insert(cuts, of[1:], offsets[1:])
+    owner = np.repeat(texts_, np.diff(of) + 1)
+    before = np.concatenate([[0], np.cumsum(begins)])
+    counts = before[high] - before[low]
+    full = np.flatnonzero(counts)
+    data, digest = raw.tobytes(), xxhash.xxh3_128_digest
+    digests = [digest(data[a:b].strip(b" ")) for a, b in zip(low[full].tolist(), high[full].tolist())]
+    return np.searchsorted(owner[full], np.arange(len(offsets))), digests, counts[full]
+
+
 def scanned(docs: DataFrame, passage: int) -> DataFrame:
     """doc_id, version, the lines of each text that aren't blank as lists h, g (hashes) and w (words), and ``prints``, its distinct
     fingerprints of runs of ``passage`` words."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                ends, digests, sizes = [0], [], []
-                for text in piece.column("text").cast(pa.binary()):
-                    for line in text.as_py().split(b"\n"):
-                        n = len(line.split())
-                        if n:
-                            digests.append(xxhash.xxh3_128_digest(line.strip(b" ")))
-                            sizes.append(n)
-                    ends.append(len(sizes))
+                ends, digests, sizes = line_hashes(piece.column("text"))
                 hashes = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x))
-                         for x in (hashes[:, 0], hashes[:, 1], np.array(sizes, np.int32))]
+                         for x in (hashes[:, 0], hashes[:, 1], sizes.astype(np.int32))]
                 starts, codes, distinct = words(piece.column("text"), lower=False)
                 counts, prints = fingerprints(starts, word_hashes(distinct)[codes], passage)
-                of = [np.unique(prints[s:s + n]) for s, n in zip(starts, counts)]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("version"), *lists, pa.array(of, pa.list_(pa.int64()))],
-                    ["doc_id", "version", "h", "g", "w", "prints"])
+                # One for each stretch of neighbours; a print that comes back later in a text stands twice.
+                at = np.repeat(starts[:-1] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+                own = prints[at]
+                new = np.ones(len(own), bool)
+                new[1:] = own[1:] != own[:-1]
+                first = np.cumsum(counts) - counts
+                new[first[counts > 0]] = True
+                ends = np.concatenate([[0], np.cumsum(new)])[np.append(first, len(own))]
+                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own[new])))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("version"), *lists],
+                                                 ["doc_id", "version", "h", "g", "w", "prints"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return written(in_arrow(docs, scan, f"doc_id {kind}, version long, h array<long>, g array<long>, w array<int>, "
@@ -312,8 +374,8 @@ def passages(docs: DataFrame, scan: DataFrame, gone: DataFrame, passage: int) ->
     prints = scan.select("doc_id", "version", F.explode("prints").alias("print"))
     shared = (prints.groupBy("print").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
               .filter("owner <> last").select("print"))
-    hits = prints.join(shared, "print").groupBy("doc_id", "version").agg(F.collect_set("print").alias("prints"))
-    asked = docs.join(hits, ["doc_id", "version"]).join(gone, ["doc_id", "version"], "left").select(
+    hits = written(prints.join(shared, "print").groupBy("doc_id", "version").agg(F.collect_set("print").alias("prints")), "hits")
+    asked = docs.filter(Few(hits).may_hold("doc_id")).join(hits, ["doc_id", "version"]).join(gone, ["doc_id", "version"], "left").select(
         "doc_id", "version", "text", "prints", "gone")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,15 +469,16 @@ def deduplicated(docs: DataFrame, least_words: int = 10, passage: int = 50) -> D
     scan = scanned(keyed, passage)
     gone = written(deletions(scan, least_words), "gone-lines")
     runs = passages(keyed, scan, gone, passage)
-    edits = gone.join(runs, ["doc_id", "version"], "full").select(
-        F.col("doc_id").alias("_id"), F.col("version").alias("_version"),
-        F.struct(F.coalesce("gone", F.array().cast("array<int>")).alias("gone"),
-                 F.coalesce("runs", F.array().cast("array<struct<at:int,n:int>>")).alias("runs")).alias("_edits"))
-    joined = docs.select(*own).join(
-        edits, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left")
-    lines = F.greatest(F.coalesce(F.size(lines_of("text")), F.lit(0)), F.lit(0))
-    joined = joined.withColumn("n_lines", lines).withColumn("n_deleted", F.lit(0)).select(*own, "n_lines", "n_deleted", "_edits")
-    schema = joined.drop("_edits").schema
+    edits = written(gone.join(runs, ["doc_id", "version"], "full").select(
+        "doc_id", "version", F.struct(F.coalesce("gone", F.array().cast("array<int>")).alias("gone"),
+                                      F.coalesce("runs", F.array().cast("array<struct<at:int,n:int>>")).alias("runs")).alias("_edits")),
+        "edits")
+    docs = docs.select(*own, F.coalesce(n_lines_of("text"), F.lit(0)).alias("n_lines"), F.lit(0).alias("n_deleted"))
+    schema = docs.schema
+    may_change = F.coalesce(Few(edits).may_hold("doc_id") & F.col("text").isNotNull(), F.lit(False))
+    edits = edits.withColumnsRenamed({"doc_id": "_id", "version": "_version"})
+    joined = docs.filter(may_change).join(
+        edits, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left").drop("_id", "_version")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -433,7 +496,7 @@ def deduplicated(docs: DataFrame, least_words: int = 10, passage: int = 50) -> D
             columns = {c: batch.column(c) for c in schema.names} | {"text": texts, "n_deleted": pa.array(dropped)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return in_arrow(joined, run, schema)
+    return in_arrow(joined, run, schema).unionByName(docs.filter(~may_change))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

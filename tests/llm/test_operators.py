@@ -96,6 +96,29 @@ def test_line_dedup_finds_passages_inside_lines(spark):
     assert got == {rows[0]: 0, (2, "x y\nz"): 0, rows[2]: 0, rows[3]: 0}
 
 
+def test_line_dedup_keeps_texts_without_edits_where_they_are(spark):
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id")
+    may_hold = line_dedup.Few(ids).may_hold("doc_id")
+    told = spark.range(3000).withColumnRenamed("id", "doc_id").select("doc_id", may_hold.alias("may")).collect()
+    assert all(r["may"] for r in told if r["doc_id"] % 3 == 0) and sum(r["may"] for r in told) < 1100
+    rows = [(i, f"{PASSAGE}\n" * (i < 2) + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(50)]
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and sorted(map(tuple, out.select("doc_id", "text").collect())) == [rows[0], (1, rows[1][1].split("\n")[1]), *rows[2:]]
+
+
+def test_line_hashes_are_those_of_split_lines():
+    import pyarrow as pa
+    import xxhash
+
+    texts = ["", "a b\n\n  c \td\r\n", "x", "\n", " \x0b\ny\nz z z", "", "é\u00a0q\n \u2003"]
+    ends, digests, sizes = line_dedup.line_hashes(pa.array(["dropped", *texts])[1:])
+    lines = [[x for x in t.encode().split(b"\n") if x.split()] for t in texts]
+    assert np.diff(ends).tolist() == [len(x) for x in lines]
+    assert digests == [xxhash.xxh3_128_digest(x.strip(b" ")) for t in lines for x in t]
+    assert sizes.tolist() == [len(x.split()) for t in lines for x in t]
+
+
 def test_classifiers(spark, docs, none):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (3, 0), (5, None), (77, 1)], "doc_id long, quality int")
     stats = quality.with_statistics(docs)
