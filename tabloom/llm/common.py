@@ -120,6 +120,40 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, starts) of the words of texts that lie one after the other, text i from ``offsets[i]`` on: word k is
+    ``raw[begin[k]:end[k]]``, and those of text i are ``starts[i]`` to ``starts[i + 1]``."""
+    space = (raw == 0x20) | (raw - np.uint8(0x09) < 5)
+    begins, last = ~space, ~space
+    begins[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(raw))]  # a text begins a word and ends one
+    begins[inner], last[inner - 1] = ~space[inner], ~space[inner - 1]
+    begin = np.flatnonzero(begins)
+    return begin, np.flatnonzero(last) + 1, np.searchsorted(begin, offsets)
+
+
+def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, longest: int = 256) -> np.ndarray:
+    """64 bits of hash of each ``raw[begin[k]:end[k]]``, eight bytes of all at a time; spans above ``longest`` bytes one by one."""
+    eight = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+    def taken(h: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return mix((h ^ (eight[at] & masks[np.minimum(left, 8)])) + np.uint64(0x9E3779B97F4A7C15))
+
+    size = end - begin
+    out = taken(mix(size.astype(np.uint64)), begin, size)
+    k = np.flatnonzero((size > 8) & (size <= longest))
+    at, left = begin[k] + 8, size[k] - 8
+    while len(k):
+        out[k] = taken(out[k], at, left)
+        more = left > 8
+        k, at, left = k[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > longest):
+        out[k] = xxhash.xxh3_64_intdigest(raw[begin[k]:end[k]])
+    return out
+
+
 def word_hashes(distinct: pa.Array) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))

@@ -16,9 +16,10 @@ first occurrence of a line is never deleted, since the owner of a line has no ea
 Passages that begin or end inside a line are found by words, whatever the line breaks: every run of ``passage`` words that
 an earlier document has too is deleted, word for word.  A run has a fingerprint, the least hash of the half as long runs
 in it, which is the same for most neighbouring runs; only runs whose fingerprint is in two documents are compared, by 128 bits.
-Neighbouring runs of one fingerprint are a stretch.  Equal stretches are compared as one row; the runs of a stretch are compared one
-by one only for the first document that has it, and only if another document is the first to have another stretch of that
-fingerprint.
+Neighbouring runs of one fingerprint are a stretch.  Stretches are compared run by run in groups of fingerprints.  For fingerprints
+of more than ``MOST_STRETCHES`` stretches (a passage that many documents have), equal stretches are compared as one row; the runs of
+such a stretch are compared one by one only for the first document that has it, and only if another document is the first to have
+another stretch of that fingerprint.
 
 Only hashes and positions of lines and runs are shuffled, and texts only of documents that have shared fingerprints or that lose
 lines or words: filters of their ids keep the others where they are.  Lines and runs that hold more than one ten-thousandth of all rows are joined by broadcast (there are
@@ -32,10 +33,10 @@ gives an empty result.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +44,16 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import WORD, in_arrow, mix, pieces, raw_bytes, table, tidy, word_hashes, words, written
+from tabloom.llm.common import in_arrow, mix, pieces, raw_bytes, span_hashes, table, tidy, word_spans, written
 
-_WORDS = re.compile(WORD)
 #: Odd bases of the two hashes of a run of words.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: A key with more than one in so many rows is hot.
 HOT_SHARE = 10_000
 #: Bits of a filter of documents for each of them, and at most; bits of a block of it.
 BITS_EACH, MOST_BITS, BLOCK_BITS = 16, 1 << 27, 1 << 18
-_IS_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Stretches of one fingerprint that are compared in a group at most, and in a group about.
+MOST_STRETCHES, GROUP_STRETCHES = 1_000, 4_000
 
 
 def n_lines_of(text: str) -> Column:
@@ -164,6 +165,8 @@ def deleted_lines(first: list[tuple], later: list[tuple], least_words: int, roun
 def aligned(runs: list[tuple[int, int, np.ndarray]], least_words: int) -> list[int]:
     """Places of the later document's lines that go, of one pair, whose runs are (place, place in the partner, entries of lines:
     two hashes and words)."""
+    if len({at - owner_at for at, owner_at, _ in runs}) == 1:  # the same lines in the same order align as they stand
+        return sorted({p for at, _, names in runs for p in range(at, at + len(names))})
     first, later, seen = {}, {}, []
     for at, owner_at, names in runs:
         lines = [((h, g), w) for h, g, w in names.tolist()]
@@ -178,30 +181,24 @@ def aligned(runs: list[tuple[int, int, np.ndarray]], least_words: int) -> list[i
     return sorted(gone)
 
 
-def runs_of(seq: list[tuple], least_words: int) -> set[tuple[int, bytes]]:
-    """(place, entries) of the least runs of neighbouring lines that have ``least_words`` words, from each line on and back from
-    each line: a common block of so many words is made of such runs.  Entries of ``seq`` are (place, hash, other hash,
-    words); those of a run are its hashes and words as 64-bit integers."""
-    out = set()
-    for step in (1, -1):
-        lines = seq[::step]
-        words_, stop = 0, 0
-        for i, (_, _, _, w) in enumerate(lines):
-            if stop <= i:
-                words_, stop = w, i + 1
-            while words_ < least_words and stop < len(lines) and lines[stop][0] == lines[stop - 1][0] + step:
-                words_, stop = words_ + lines[stop][3], stop + 1
-            if words_ >= least_words:
-                run = lines[i:stop][::step]
-                out.add((run[0][0], np.array([x[1:] for x in run], np.int64).tobytes()))
-            words_ -= w
-    return out
-
-
-def two_hashes(value: bytes) -> tuple[int, int]:
-    """128 bits of hash as two signed integers."""
-    digest = xxhash.xxh3_128_digest(value)
-    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+def runs_of(starts: np.ndarray, at: np.ndarray, words_: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, after) of the least runs of neighbouring lines that have ``least_words`` words, from each line on and back from
+    each line: a common block of so many words is made of such runs.  The lines of document i are ``starts[i]`` to
+    ``starts[i + 1]``, in order of their places ``at``."""
+    n = len(at)
+    new = np.ones(n, bool)
+    new[1:] = np.diff(at) != 1
+    new[starts[:-1][np.diff(starts) > 0]] = True
+    begin = np.flatnonzero(new)
+    sizes = np.diff(np.append(begin, n))
+    low, high = np.repeat(begin, sizes), np.repeat(begin + sizes, sizes)
+    before = np.concatenate([[0], np.cumsum(words_)])
+    place = np.arange(n)
+    after = np.searchsorted(before, before[:-1] + least_words)
+    first = np.searchsorted(before, before[1:] - least_words, "right") - 1
+    on, back = after <= high, first >= low
+    found = np.unique(np.stack([np.append(place[on], first[back]), np.append(after[on], place[back] + 1)], 1), axis=0)
+    return found[:, 0], found[:, 1]
 
 
 def frequent(words: Column, documents: Column) -> Column:
@@ -218,28 +215,32 @@ def met(rows: DataFrame, keys: DataFrame, total: int) -> DataFrame:
             .unionByName(rows.join(hot.select("h", "g"), ["h", "g"], "left_anti").join(cold, ["h", "g"])))
 
 
-def line_hashes(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(ends, digests, words): of the lines that aren't blank, 128 bits of hash and how many words; those of text i are
-    ``digests[ends[i]:ends[i + 1]]``."""
-    raw, offsets = raw_bytes(texts)
-    word = _IS_WORD[raw]
-    begins = word.copy()
-    begins[1:] &= ~word[:-1]
-    inner = offsets[(offsets > 0) & (offsets < len(raw))]
-    begins[inner] = word[inner]  # a text begins a word
+def lines_of(raw: np.ndarray, offsets: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(ends, low, high, words): the bytes of the lines that aren't blank and how many words they have; those of text i are
+    ``ends[i]`` to ``ends[i + 1]``.  ``begin`` says where words begin."""
     cuts = np.flatnonzero(raw == 10)
     of = np.searchsorted(cuts, offsets)  # line feeds before each text
-    texts_ = np.arange(len(offsets) - 1)
     # A line begins with its text or after a line feed, and ends before the next line feed or with its text.
     low = np.insert(cuts + 1, of[:-1], offsets[:-1])
     high = np.insert(cuts, of[1:], offsets[1:])
-    owner = np.repeat(texts_, np.diff(of) + 1)
-    before = np.concatenate([[0], np.cumsum(begins)])
-    counts = before[high] - before[low]
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(of) + 1)
+    counts = np.searchsorted(begin, high) - np.searchsorted(begin, low)
     full = np.flatnonzero(counts)
+    return np.searchsorted(owner[full], np.arange(len(offsets))), low[full], high[full], counts[full]
+
+
+def line_digests(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[bytes]:
+    """128 bits of hash of each line, without the blanks at its ends."""
     data, digest = raw.tobytes(), xxhash.xxh3_128_digest
-    digests = [digest(data[a:b].strip(b" ")) for a, b in zip(low[full].tolist(), high[full].tolist())]
-    return np.searchsorted(owner[full], np.arange(len(offsets))), digests, counts[full]
+    return [digest(data[a:b].strip(b" ")) for a, b in zip(low.tolist(), high.tolist())]
+
+
+def line_hashes(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(ends, digests, words): of the lines that aren't blank, 128 bits of hash and how many words; those of text i are
+    ``digests[ends[i]:ends[i + 1]]``."""
+    raw, offsets = raw_bytes(texts)
+    ends, low, high, counts = lines_of(raw, offsets, word_spans(raw, offsets)[0])
+    return ends, line_digests(raw, low, high), counts
 
 
 def scanned(docs: DataFrame, passage: int) -> DataFrame:
@@ -248,20 +249,17 @@ def scanned(docs: DataFrame, passage: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                ends, digests, sizes = line_hashes(piece.column("text"))
-                hashes = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+                raw, offsets = raw_bytes(piece.column("text"))
+                begin, end, starts = word_spans(raw, offsets)
+                ends, low, high, sizes = lines_of(raw, offsets, begin)
+                hashes = np.frombuffer(b"".join(line_digests(raw, low, high)), ">i8").astype(np.int64).reshape(-1, 2)
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x))
                          for x in (hashes[:, 0], hashes[:, 1], sizes.astype(np.int32))]
-                starts, codes, distinct = words(piece.column("text"), lower=False)
-                counts, prints = fingerprints(starts, word_hashes(distinct)[codes], passage)
+                counts, prints = fingerprints(starts, span_hashes(raw, begin, end), passage)
                 # One for each stretch of neighbours; a print that comes back later in a text stands twice.
-                at = np.repeat(starts[:-1] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-                own = prints[at]
-                new = np.ones(len(own), bool)
-                new[1:] = own[1:] != own[:-1]
-                first = np.cumsum(counts) - counts
-                new[first[counts > 0]] = True
-                ends = np.concatenate([[0], np.cumsum(new)])[np.append(first, len(own))]
+                own = prints[within(starts, counts)]
+                new = changes(own, counts)
+                ends = np.concatenate([[0], np.cumsum(new)])[np.concatenate([[0], np.cumsum(counts)])]
                 lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own[new])))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("version"), *lists],
                                                  ["doc_id", "version", "h", "g", "w", "prints"])
@@ -285,14 +283,18 @@ def deletions(scan: DataFrame, least_words: int) -> DataFrame:
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for i, seq in enumerate(batch.column("seq").to_pylist()):
-                found += [(i, at, *two_hashes(names), names) for at, names in runs_of([(*x.values(),) for x in seq], least_words)]
-            row, at, h, g, names = zip(*found) if found else [()] * 5
-            rows = pa.array(row, pa.int32())
+            seq = batch.column("seq")
+            starts = np.concatenate([[0], np.cumsum(pc.list_value_length(seq).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            lines = seq.flatten()
+            at, *entries = (pc.struct_field(lines, x).to_numpy(zero_copy_only=False) for x in ("at", "h", "g", "w"))
+            first, after = runs_of(starts, at, entries[2], least_words)
+            data = np.stack(entries, 1).astype(np.int64).tobytes()  # 24 bytes a line
+            names = [data[24 * a:24 * b] for a, b in zip(first.tolist(), after.tolist())]
+            rows = pa.array(np.searchsorted(starts, first, "right") - 1, pa.int32())
+            h, g = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names)), ">i8").astype(np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("version").take(rows), pa.array(at, pa.int32()),
-                 pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(names, pa.binary())],
+                [batch.column("doc_id").take(rows), batch.column("version").take(rows), pa.array(at[first], pa.int32()),
+                 pa.array(h), pa.array(g), pa.array(names, pa.binary())],
                 ["doc_id", "version", "at", "h", "g", "names"])
 
     found = written(in_arrow(sequences, rare, f"doc_id {kind}, version long, at int, h long, g long, names binary"), "runs-of-lines")
@@ -307,8 +309,11 @@ def deletions(scan: DataFrame, least_words: int) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [aligned([(x["at"], x["owner_at"], np.frombuffer(x["names"], np.int64).reshape(-1, 3)) for x in runs], least_words)
-                    for runs in batch.column("runs").to_pylist()]
+            runs = batch.column("runs")
+            stops = np.cumsum(pc.list_value_length(runs).to_numpy(zero_copy_only=False)).tolist()
+            at, owner_at, names = (pc.struct_field(runs.flatten(), x).to_pylist() for x in ("at", "owner_at", "names"))
+            every = list(zip(at, owner_at, (np.frombuffer(x, np.int64).reshape(-1, 3) for x in names)))
+            gone = [aligned(every[a:b], least_words) for a, b in zip([0, *stops], stops)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(gone, pa.list_(pa.int32()))],
                                              ["doc_id", "version", "gone"])
 
@@ -350,13 +355,30 @@ def fingerprints(starts: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.nda
     return np.minimum(np.maximum(np.diff(starts) - n + 1, 0), len(prints)), prints
 
 
-def stretches(wanted: np.ndarray, prints: np.ndarray, longest: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(first, after) of the neighbouring wanted runs of one fingerprint, in parts of at most ``longest``."""
+def within(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places ``starts[i]`` to ``starts[i] + counts[i]`` of all texts, one after the other."""
+    return np.repeat(starts[:-1] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+
+
+def changes(prints: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether an entry differs from the one before it in its text; text i has the next ``counts[i]``."""
+    new = np.ones(len(prints), bool)
+    new[1:] = prints[1:] != prints[:-1]
+    new[(np.cumsum(counts) - counts)[counts > 0]] = True
+    return new
+
+
+def stretches(wanted: np.ndarray, prints: np.ndarray, longest: int = 64, new: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first, after) of the neighbouring wanted runs of one fingerprint, in parts of at most ``longest``.  ``new`` says where
+    fingerprints change, if it is known."""
     at = np.flatnonzero(wanted)
     if not len(at):
         return at, at
-    new = np.ones(len(at), bool)
-    new[1:] = (np.diff(at) > 1) | (np.diff(prints[at]) != 0)
+    if new is None:
+        new = changes(prints, np.array([len(prints)]))
+    new = new[at]
+    new[0] = True
+    new[1:] |= np.diff(at) > 1
     begin = np.flatnonzero(new)
     since = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
     begin = np.flatnonzero(since % longest == 0)
@@ -367,49 +389,98 @@ def passages(docs: DataFrame, scan: DataFrame, gone: DataFrame, passage: int) ->
     """doc_id, version and ``runs``: (at, n) where n runs of ``passage`` words begin, at word ``at`` and on, that an earlier
     document has too.
 
-    Exact: a run is compared by 128 bits of hash once its fingerprint is known to be in two documents.  The first document that
-    has a stretch has all its runs, so other documents lose them at once, and only its own runs are compared with other stretches.
-    Equal runs have one fingerprint, so they are compared only where stretches of one fingerprint have different first documents."""
+    Exact: a run is compared by 128 bits of hash once its fingerprint is known to be in two documents.  Equal runs have one
+    fingerprint, so all of them meet in its group, or among the rows of fingerprints of many stretches."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = scan.select("doc_id", "version", F.explode("prints").alias("print"))
+    prints = scan.select("doc_id", "version", F.explode("prints").alias("print")).repartition("print")
     shared = (prints.groupBy("print").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
               .filter("owner <> last").select("print"))
-    hits = written(prints.join(shared, "print").groupBy("doc_id", "version").agg(F.collect_set("print").alias("prints")), "hits")
-    asked = docs.filter(Few(hits).may_hold("doc_id")).join(hits, ["doc_id", "version"]).join(gone, ["doc_id", "version"], "left").select(
+    hits = written(prints.join(shared.hint("shuffle_hash"), "print").groupBy("doc_id", "version").agg(F.collect_set("print").alias("prints")), "hits")
+    asked = docs.filter(Few(hits).may_hold("doc_id")).join(hits.hint("shuffle_hash"), ["doc_id", "version"]).join(
+        gone.hint("shuffle_hash"), ["doc_id", "version"], "left").select(
         "doc_id", "version", "text", "prints", "gone")
 
+    longest = min(64, passage)  # the first and the last run of a stretch have all its words
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                starts, codes, distinct = words(piece.column("text"), lower=False)
-                hashes = word_hashes(distinct)[codes]
+                raw, offsets = raw_bytes(piece.column("text"))
+                begin, end, starts = word_spans(raw, offsets)
+                hashes = span_hashes(raw, begin, end)
                 counts, prints = fingerprints(starts, hashes, passage)
-                keys = np.stack([grams(hashes, base, passage) for base in BASES], 1).view(np.int64)
-                row, at, names, of, runs = [], [], [], [], []
-                for i, (s, n) in enumerate(zip(starts, counts)):
-                    own = prints[s:s + n]
-                    wanted = np.isin(own, piece.column("prints")[i].values.to_numpy())
-                    if n and piece.column("gone")[i].is_valid:  # runs of deleted lines alone are settled
-                        lost = np.concatenate([[0], np.cumsum(words_gone(piece.column("text")[i].as_py(),
-                                                                         piece.column("gone")[i].as_py()))])
-                        wanted &= lost[passage:passage + n] - lost[:n] < passage
-                    for a, b in zip(*(x.tolist() for x in stretches(wanted, own))):
-                        runs.append(keys[s + a:s + b].tobytes())
-                        names.append(two_hashes(runs[-1]))
-                        row.append(i)
-                        at.append(a)
-                        of.append(own[a])
+                place = within(starts, counts)
+                own = prints[place]
+                new = changes(own, counts)
+                # Prints that another text of the piece asks for are in two documents, so this one asks for them too.
+                sought = np.unique(piece.column("prints").flatten().to_numpy(zero_copy_only=False))
+                wanted = np.isin(own[new], sought)[np.cumsum(new) - 1] if len(own) else np.zeros(0, bool)
+                # Runs of deleted lines alone are settled.
+                lost = np.concatenate([[0], np.cumsum(words_gone(lines_of(raw, offsets, begin), piece.column("gone")))])
+                wanted &= lost[place + passage] - lost[place] < passage
+                first, after = stretches(wanted, own, longest, new)
+                row = np.searchsorted(np.cumsum(counts), first, "right")
                 rows = pa.array(row, pa.int32())
-                held = np.frombuffer(b"".join(runs), np.int64).reshape(-1, 2)
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) // 16 for x in runs])]).astype(np.int32))
-                h, g = np.array(names, np.int64).reshape(-1, 2).T
+                keys = [grams(hashes, base, passage).view(np.int64) for base in BASES]
+                sizes = after - first
+                names = [(mix(k[place[first]].view(np.uint64) ^ mix(k[place[after - 1]].view(np.uint64) + sizes.astype(np.uint64)))
+                          .view(np.int64)) for k in keys]
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                held = place[wanted]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id").take(rows), piece.column("version").take(rows), pa.array(at, pa.int32()), pa.array(h),
-                     pa.array(g), pa.array(np.array(of, np.int64)), *(pa.ListArray.from_arrays(ends, pa.array(held[:, k])) for k in (0, 1))],
+                    [piece.column("doc_id").take(rows), piece.column("version").take(rows), pa.array(place[first] - starts[row], pa.int32()),
+                     *(pa.array(x) for x in (*names, own[first])), *(pa.ListArray.from_arrays(ends, pa.array(k[held])) for k in keys)],
                     ["doc_id", "version", "at", "h", "g", "print", "hs", "gs"])
 
     found = written(in_arrow(asked, candidates, f"doc_id {kind}, version long, at int, h long, g long, print long, "
                                                 "hs array<long>, gs array<long>"), "stretches")
+    many = written(found.groupBy("print").count().filter(F.col("count") > MOST_STRETCHES).select("print"), "prints-of-many")
+    if many.isEmpty():
+        lost = in_groups(found)
+    else:
+        lost = in_groups(found.join(many, "print", "left_anti")).unionByName(by_rows(found.join(many, "print", "left_semi")))
+    return lost.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+
+
+def in_groups(found: DataFrame) -> DataFrame:
+    """doc_id, version, at, n: neighbouring runs of the stretches that an earlier document has too, compared in groups of
+    fingerprints, each of few stretches."""
+    def compared(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        coded = rows.column("doc_id").combine_chunks().dictionary_encode()
+        rank = np.empty(len(coded.dictionary), np.int64)
+        rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+        hs, gs = (rows.column(c).combine_chunks() for c in ("hs", "gs"))
+        sizes = pc.list_value_length(hs).to_numpy(zero_copy_only=False)
+        hs, gs = (x.flatten().to_numpy(zero_copy_only=False) for x in (hs, gs))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        documents = rank[coded.indices.to_numpy(zero_copy_only=False)][row]
+        order = np.lexsort((gs, hs))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(hs[order]) != 0) | (np.diff(gs[order]) != 0)
+        owners = np.minimum.reduceat(documents[order], np.flatnonzero(new)) if len(order) else documents
+        lost = np.zeros(len(order), bool)
+        lost[order] = documents[order] != owners[np.cumsum(new) - 1]
+        at = np.flatnonzero(lost)
+        begins = np.ones(len(at), bool)
+        begins[1:] = (np.diff(at) > 1) | (np.diff(row[at]) != 0)
+        first = at[begins]
+        n = np.diff(np.append(np.flatnonzero(begins), len(at)))
+        of = row[first]
+        place = rows.column("at").to_numpy()[of] + first - (np.cumsum(sizes) - sizes)[of]
+        return pa.table({"doc_id": rows.column("doc_id").take(pa.array(of)), "version": rows.column("version").take(pa.array(of)),
+                         "at": pa.array(place, pa.int32()), "n": pa.array(n, pa.int32())})
+
+    groups = found.count() // GROUP_STRETCHES + 1
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return (found.select("doc_id", "version", "at", "hs", "gs", F.pmod(F.xxhash64("print"), F.lit(groups)).alias("part"))
+            .groupBy("part").applyInArrow(tidy(compared), f"doc_id {kind}, version long, at int, n int"))
+
+
+def by_rows(found: DataFrame) -> DataFrame:
+    """As ``in_groups`` for fingerprints of many stretches: equal stretches and then runs are compared as rows.  The first document
+    that has a stretch has all its runs, so other documents lose them at once, and only its own runs are compared with other
+    stretches, where those of one fingerprint have different first documents."""
     first = written(found.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"),
                                                 F.min("print").alias("print"), F.count(F.lit(1)).alias("n_rows")), "first-stretches")
     total = first.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
@@ -427,38 +498,69 @@ def passages(docs: DataFrame, scan: DataFrame, gone: DataFrame, passage: int) ->
              .filter("owner <> last").drop("last"))
     later = (met(runs, written(again, "first-runs"), runs.count()).filter("doc_id <> owner")
              .select("doc_id", "version", "at", F.lit(1).alias("n")))
-    return (settled.unionByName(later).groupBy("doc_id", "version")
-            .agg(F.collect_list(F.struct("at", "n")).alias("runs")))
+    return settled.unionByName(later)
 
 
-def words_gone(text: str, gone: list[int]) -> np.ndarray:
-    """For each word of a text whether it stands in a deleted line."""
-    counts = [n for n in (len(x.split()) for x in text.encode().split(b"\n")) if n]
+def words_gone(lines: tuple[np.ndarray, ...], gone: pa.Array) -> np.ndarray:
+    """For each word of the texts whether it stands in a deleted line; ``gone`` has the places of a text's deleted lines or NULL."""
+    ends, _, _, counts = lines
+    sizes = pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False)
     lost = np.zeros(len(counts), bool)
-    lost[gone] = True
+    lost[np.repeat(ends[:-1], sizes) + gone.flatten().to_numpy(zero_copy_only=False)] = True
     return np.repeat(lost, counts)
 
 
-def without(text: str, gone: list[int], runs: list[dict], passage: int) -> tuple[str, int]:
-    """The text without the deleted lines and the words of the deleted runs, and how many lines are left out as a whole."""
-    lost = words_gone(text, gone)
-    for run in runs:
-        lost[run["at"]:run["at"] + run["n"] + passage - 1] = True
-    left, at, dropped = [], 0, 0
-    for line in text.split("\n"):
-        n = len(line.encode().split())
-        if not n:
-            continue
-        gaps, at = lost[at:at + n], at + n
-        if not gaps.any():
-            left.append(line)
-        elif gaps.all():
-            dropped += 1
-        else:
-            spans = [m.span() for m in _WORDS.finditer(line)]
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], ~gaps, [False]])))
-            left.append(" ".join(line[spans[a][0]:spans[b - 1][1]] for a, b in zip(edges[::2], edges[1::2])))
-    return "\n".join(left), dropped
+def without(texts: pa.Array, edits: pa.Array, passage: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(texts, lines, dropped): the texts without the deleted lines and the words of the deleted runs, how many lines that aren't
+    blank there were, and how many of them are left out as a whole.  A text whose ``edits`` are NULL stays."""
+    raw, offsets = raw_bytes(texts)
+    begin, end, starts = word_spans(raw, offsets)
+    lines = ends, low, high, counts = lines_of(raw, offsets, begin)
+    edited = edits.is_valid().to_numpy(zero_copy_only=False)
+    field = lambda name: pc.struct_field(edits, name)
+    lost = words_gone(lines, field("gone"))
+    runs = field("runs")
+    of = np.repeat(starts[:-1], pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False))
+    runs = runs.flatten()
+    at, n = (pc.struct_field(runs, x).to_numpy(zero_copy_only=False) for x in ("at", "n"))
+    depth = np.zeros(len(begin) + 1, np.int64)
+    np.add.at(depth, of + at, 1)
+    np.add.at(depth, of + at + n + passage - 1, -1)
+    lost |= np.cumsum(depth[:-1]) > 0
+    first = np.cumsum(counts) - counts  # word of each line
+    gaps = np.concatenate([[0], np.cumsum(lost)])
+    gaps = gaps[first + counts] - gaps[first]
+    owner = np.repeat(np.arange(len(texts)), np.diff(ends))
+    whole = edited[owner] & (gaps == 0)
+    part = edited[owner] & (gaps > 0) & (gaps < counts)
+    # Words left of lines that lose some: from one that follows a gap or begins its line to one before a gap or at the end.
+    left = ~lost & np.repeat(part, counts)
+    heads, tails = left.copy(), left.copy()
+    heads[1:] &= ~left[:-1]
+    tails[:-1] &= ~left[1:]
+    edge = first[part]
+    heads[edge] = left[edge]
+    edge = (first + counts - 1)[part]
+    tails[edge] = left[edge]
+    line = np.repeat(np.arange(len(counts)), counts)[heads]
+    # What is left, as spans of bytes with their line; of a text that stays, all.
+    stays = np.flatnonzero(~edited)
+    lows = np.concatenate([low[whole], begin[heads], offsets[:-1][stays]])
+    highs = np.concatenate([high[whole], end[tails], offsets[1:][stays]])
+    in_text = np.concatenate([owner[whole], owner[line], stays])
+    in_line = np.concatenate([np.flatnonzero(whole), line, np.full(len(stays), -1)])
+    order = np.lexsort((lows, in_text))
+    lows, highs, in_text, in_line = lows[order], highs[order], in_text[order], in_line[order]
+    same = np.zeros(len(order), np.int64)  # 0: begins a text, 1: a line, 2: goes on
+    same[1:] = (in_text[1:] == in_text[:-1]) * (1 + (in_line[1:] == in_line[:-1]))
+    data, signs = raw.tobytes(), (b"", b"\n", b" ")
+    out = b"".join(chain.from_iterable((signs[k], data[a:b]) for k, a, b in zip(same.tolist(), lows.tolist(), highs.tolist())))
+    sizes = np.bincount(in_text, weights=highs - lows + (same > 0), minlength=len(texts)).astype(np.int64)
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    new = pa.Array.from_buffers(texts.type, len(texts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(kind)),
+                                                         pa.py_buffer(out)])
+    dropped = np.bincount(owner[edited[owner] & (gaps == counts)], minlength=len(texts))
+    return new, np.diff(ends), dropped
 
 
 def deduplicated(docs: DataFrame, least_words: int = 10, passage: int = 50) -> DataFrame:
@@ -473,30 +575,23 @@ def deduplicated(docs: DataFrame, least_words: int = 10, passage: int = 50) -> D
         "doc_id", "version", F.struct(F.coalesce("gone", F.array().cast("array<int>")).alias("gone"),
                                       F.coalesce("runs", F.array().cast("array<struct<at:int,n:int>>")).alias("runs")).alias("_edits")),
         "edits")
-    docs = docs.select(*own, F.coalesce(n_lines_of("text"), F.lit(0)).alias("n_lines"), F.lit(0).alias("n_deleted"))
-    schema = docs.schema
+    docs = docs.select(*own)
     may_change = F.coalesce(Few(edits).may_hold("doc_id") & F.col("text").isNotNull(), F.lit(False))
-    edits = edits.withColumnsRenamed({"doc_id": "_id", "version": "_version"})
+    edits = edits.withColumnsRenamed({"doc_id": "_id", "version": "_version"}).hint("shuffle_hash")
     joined = docs.filter(may_change).join(
         edits, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left").drop("_id", "_version")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            edits = batch.column("_edits")
-            at = np.flatnonzero(edits.is_valid().to_numpy(zero_copy_only=False))
-            texts, dropped = batch.column("text"), np.zeros(batch.num_rows, np.int32)
-            if len(at):
-                new = []
-                for i in at:
-                    text, dropped[i] = without(texts[i].as_py(), *edits[i].as_py().values(), passage)
-                    new.append(text)
-                mask = np.zeros(batch.num_rows, bool)
-                mask[at] = True
-                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
-            columns = {c: batch.column(c) for c in schema.names} | {"text": texts, "n_deleted": pa.array(dropped)}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    return in_arrow(joined, run, schema).unionByName(docs.filter(~may_change))
+            for piece in pieces(batch):
+                text, lines, dropped = without(piece.column("text"), piece.column("_edits"), passage)
+                columns = {c: piece.column(c) for c in own} | {"text": text} | {
+                    c: pa.array(x, pa.int32()) for c, x in (("n_lines", lines), ("n_deleted", dropped))}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    schema = docs.withColumns({"n_lines": F.lit(0), "n_deleted": F.lit(0)}).schema
+    same = docs.filter(~may_change).select(*own, F.coalesce(n_lines_of("text"), F.lit(0)).alias("n_lines"), F.lit(0).alias("n_deleted"))
+    return in_arrow(joined, run, schema).unionByName(same)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

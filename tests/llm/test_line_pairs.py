@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from tabloom.llm import line_dedup
+from tabloom.llm.common import raw_bytes, span_hashes, word_spans
 
 LEAST, PASSAGE = 10, 50
 
@@ -74,3 +76,40 @@ def test_broken_alignments_lose_no_run():
     line = {c: (ord(c), 0, 6) for c in "abc"}
     run = lambda at, owner_at, text: (at, owner_at, np.array([line[c] for c in text]))
     assert line_dedup.aligned([run(0, 5, "ab"), run(4, 2, "ba"), run(8, 5, "ab")], 10) == [0, 1, 4, 5, 8, 9]
+
+
+def test_many_stretches_of_a_fingerprint_are_compared_by_rows(spark, monkeypatch):
+    said = " ".join(f"s{i}" for i in range(90)).split()
+    rows = [(d, f"own{d} " + " ".join([*said[d % 7:40 + d], f"new{d}", *said[3 * d:]])) for d in range(20)]
+    rows += [(20, rows[4][1]), (21, "x " + rows[5][1] + " " + rows[5][1])]
+    got, names = [], []
+    write = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: names.append(name) or write(df, name))
+    for most in (1_000, 3, 0):
+        monkeypatch.setattr(line_dedup, "MOST_STRETCHES", most)
+        out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        got.append({r["doc_id"]: r["text"].split() for r in out.collect()})
+        assert ("runs-of-words" in names) == (most < 1_000)  # few stretches need no row for each run
+    assert got == [kept(rows)] * 3
+
+
+def test_word_hashes_tell_words_apart():
+    said = ["a", "b", "ab", "ba", "a\0", "\0a", "é", "x" * 8, "x" * 9, "x" * 16, "x" * 17, "x" * 300, "x" * 301]
+    texts = pa.array(["\x0b a\tb  ab\r\nba ", "", " \n", " ".join(said), "tail", "a"])
+    raw, offsets = raw_bytes(texts)
+    begin, end, starts = word_spans(raw, offsets)
+    words = [raw[a:b].tobytes().decode() for a, b in zip(begin, end)]
+    assert words == [w for t in texts.to_pylist() for w in t.encode().split() for w in [w.decode()]]
+    assert list(np.diff(starts)) == [len(t.encode().split()) for t in texts.to_pylist()]
+    hashes = span_hashes(raw, begin, end).tolist()
+    assert len(set(hashes)) == len(set(words)) == len(dict(zip(words, hashes))) == len(set(zip(words, hashes)))
+
+
+def test_texts_without_lines_and_runs():
+    texts = pa.array(["dropped", "a b\n\n c d \ne", "k  l\tm n o", "stays\n\n as it is ", "gone", ""])[1:]
+    edits = pa.array([{"gone": [1], "runs": []}, {"gone": [], "runs": [{"at": 2, "n": 1}]}, None, {"gone": [0], "runs": []},
+                      {"gone": [], "runs": []}],
+                     pa.struct({"gone": pa.list_(pa.int32()), "runs": pa.list_(pa.struct({"at": pa.int32(), "n": pa.int32()}))}))
+    new, lines, dropped = line_dedup.without(texts, edits, 2)
+    assert new.to_pylist() == ["a b\ne", "k  l o", "stays\n\n as it is ", "", ""]
+    assert lines.tolist() == [3, 1, 2, 1, 0] and dropped.tolist() == [1, 0, 0, 1, 0]
