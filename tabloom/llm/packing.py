@@ -32,6 +32,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.llm.common import in_arrow, pieces, table, words
 
+#: Text that a task holds as words at once.
+PIECE_BYTES = 1 << 20
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -136,7 +139,7 @@ class Words:
     """Ids of words by a tokenizer file, each distinct word encoded once while it is kept; of more than ``most`` the older
     half goes."""
 
-    def __init__(self, path: str, end: int, most: int = 400_000):
+    def __init__(self, path: str, end: int, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
@@ -238,11 +241,11 @@ def packed(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
         for batch in batches:
             key_type = batch.column(key).type
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, PIECE_BYTES):
                 ids, starts = encoder.encode(piece.column(text))
                 for k, low, high in zip(piece.column(key).to_pylist(), starts[:-1], starts[1:]):
-                    loss = np.ones(high - low, np.int64)
-                    loss[0] = 0
+                    loss = np.ones(high - low, bool)
+                    loss[0] = False
                     packer.add(k, ids[low:high].copy(), loss)
                 if packer.out:
                     yield out()

@@ -50,3 +50,14 @@ def test_query_holds_every_id_once(spark):
             assert offset == at
             at += n
         assert at <= 2048 and (at & (at - 1)) == 0
+
+
+def test_words_that_are_kept_are_few_enough_for_every_worker_of_an_executor():
+    encoder = packing.Words(PATH, 1)
+    text = ""
+    for k in range(8):
+        text = " ".join(f"w{k}x{i}" for i in range(50_000))
+        ids, _ = encoder.encode(pa.array([text]))
+        assert len(encoder.known) <= 250_000
+    plain = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == [*plain, 1]
